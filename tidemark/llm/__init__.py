@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from . import exact_dedup
+from . import exact_dedup, ngram_jaccard
 
 
 def queries() -> dict:
-    return {"op6_exact_dedup": exact_dedup.op6_exact_dedup}
+    return {"op5_ngram_jaccard": ngram_jaccard.op5_ngram_jaccard, "op6_exact_dedup": exact_dedup.op6_exact_dedup}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_exact_dedup": exact_dedup.OP6_SQL}
+    return {"op5_ngram_jaccard": ngram_jaccard.OP5_SQL, "op6_exact_dedup": exact_dedup.OP6_SQL}
