@@ -62,9 +62,14 @@ def groups(column: pa.Array, size: int = 2 << 20) -> Iterator[tuple[int, int, np
         row = end
 
 
-def boundaries(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+#: Splits at every ASCII character other than letters and digits.
+MARKS = np.ones(256, bool)
+MARKS[48:58] = MARKS[65:91] = MARKS[97:123] = MARKS[128:] = False
+
+
+def boundaries(data: np.ndarray, at: np.ndarray, space: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(starts, ends, first word of each row and the number of words); no word crosses a row's end."""
-    inside = ~SPACE[data]
+    inside = ~space[data]
     start, end = inside.copy(), inside.copy()
     start[1:] &= ~inside[:-1]
     end[:-1] &= ~inside[1:]
