@@ -2,12 +2,23 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, ngram_jaccard
+from . import exact_dedup, line_dedup, ngram_jaccard, packing, quality, toxicity
 
 
 def queries() -> dict:
-    return {"op5_ngram_jaccard": ngram_jaccard.op5_ngram_jaccard, "op6_exact_dedup": exact_dedup.op6_exact_dedup}
+    return {
+        "op1_line_dedup": line_dedup.op1_line_dedup,
+        "op5_ngram_jaccard": ngram_jaccard.op5_ngram_jaccard,
+        "op6_exact_dedup": exact_dedup.op6_exact_dedup,
+        "op7_packing": packing.op7_packing,
+        "op8_quality": quality.op8_quality,
+        "op9_toxicity": toxicity.op9_toxicity,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_ngram_jaccard": ngram_jaccard.OP5_SQL, "op6_exact_dedup": exact_dedup.OP6_SQL}
+    return {
+        "op1_line_dedup": line_dedup.OP1_SQL,
+        "op5_ngram_jaccard": ngram_jaccard.OP5_SQL,
+        "op6_exact_dedup": exact_dedup.OP6_SQL,
+    }
