@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, line_dedup, ngram_jaccard, packing, quality, toxicity
+from . import chat, decontaminate, exact_dedup, line_dedup, ngram_jaccard, packing, quality, toxicity
 
 
 def queries() -> dict:
     return {
         "op1_line_dedup": line_dedup.op1_line_dedup,
+        "op3_decontaminate": decontaminate.op3_decontaminate,
+        "op4_chat_format": chat.op4_chat_format,
         "op5_ngram_jaccard": ngram_jaccard.op5_ngram_jaccard,
         "op6_exact_dedup": exact_dedup.op6_exact_dedup,
         "op7_packing": packing.op7_packing,
@@ -19,6 +21,7 @@ def queries() -> dict:
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_line_dedup": line_dedup.OP1_SQL,
+        "op4_chat_format": chat.OP4_SQL,
         "op5_ngram_jaccard": ngram_jaccard.OP5_SQL,
         "op6_exact_dedup": exact_dedup.OP6_SQL,
     }
