@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, exact_dedup, line_dedup, ngram_jaccard, packing, quality, toxicity
+from . import chat, decontaminate, exact_dedup, line_dedup, ngram_jaccard, packing, quality, secrets, toxicity
 
 
 def queries() -> dict:
@@ -15,6 +15,7 @@ def queries() -> dict:
         "op7_packing": packing.op7_packing,
         "op8_quality": quality.op8_quality,
         "op9_toxicity": toxicity.op9_toxicity,
+        "op10_secrets": secrets.op10_secrets,
     }
 
 
