@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, exact_dedup, line_dedup, ngram_jaccard, packing, quality, secrets, toxicity
+from . import chat, decontaminate, exact_dedup, line_dedup, ngram_jaccard, packing, pii, quality, secrets, toxicity
 
 
 def queries() -> dict:
     return {
         "op1_line_dedup": line_dedup.op1_line_dedup,
+        "op2_pii": pii.op2_pii,
         "op3_decontaminate": decontaminate.op3_decontaminate,
         "op4_chat_format": chat.op4_chat_format,
         "op5_ngram_jaccard": ngram_jaccard.op5_ngram_jaccard,
