@@ -28,14 +28,12 @@ def finite(x: Column) -> Column:
 
 
 def normal_cdf(x: Column) -> Column:
-    """The standard normal distribution function, by Hart's rational approximation in West's form (double precision)."""
+    """The standard normal distribution function: its Taylor-like series phi(x) * (x + x^3/3 + x^5/15 + ...) + 1/2 in the middle, and the
+    continued fraction of the tail beyond 3; better than 1e-12. Each is a fold over a short sequence, so plans stay small."""
+    near = F.aggregate(F.sequence(F.lit(1), F.lit(60)), F.struct(x.alias("term"), x.alias("sum")), lambda s, k: F.struct((s["term"] * x * x / (2 * k + 1)).alias("term"), (s["sum"] + s["term"] * x * x / (2 * k + 1)).alias("sum")), lambda s: 0.5 + s["sum"] * normal_pdf(x))
     a = F.abs(x)
-    e = F.exp(-a * a / 2)
-    top = (((((0.0352624965998911 * a + 0.700383064443688) * a + 6.37396220353165) * a + 33.912866078383) * a + 112.079291497871) * a + 221.213596169931) * a + 220.206867912376
-    low = ((((((0.0883883476483184 * a + 1.75566716318264) * a + 16.064177579207) * a + 86.7807322029461) * a + 296.564248779674) * a + 637.333633378831) * a + 793.826512519948) * a + 440.413735824752
-    tail = e / (a + 1 / (a + 2 / (a + 3 / (a + 4 / (a + 0.65))))) / 2.506628274631
-    below = F.when(a > 37, F.lit(0.0)).when(a < 7.07106781186547, e * top / low).otherwise(tail)
-    return F.when(x > 0, 1 - below).otherwise(below)
+    tail = normal_pdf(x) / F.aggregate(F.sequence(F.lit(60), F.lit(1), F.lit(-1)), a, lambda f, k: a + k / f)
+    return F.when(a <= 3, near).when(x > 0, 1 - tail).otherwise(tail)
 
 
 def normal_pdf(x: Column) -> Column:

@@ -1,3 +1,3 @@
 """The queries of the market operators, registered on import."""
 
-from . import indicators, panels  # noqa: F401
+from . import indicators, panels, volatility  # noqa: F401
