@@ -1,3 +1,3 @@
 """The queries of the market operators, registered on import."""
 
-from . import indicators, panels, rotation, volatility  # noqa: F401
+from . import evaluation, indicators, panels, rotation, volatility  # noqa: F401
