@@ -2,12 +2,14 @@
 
 The overlaps are entries of the product of the sparse document-by-shingle matrix with its transpose. The product is
 formed in blocks of columns (a shuffle partition holds all rows of its shingles), partial overlap counts are added up
-per pair, and pairs whose size or count cannot reach the threshold go. Two documents of similarity 0.8 share a shingle
-among the first n - ceil(0.8 n) + 1 of each under any one order of shingles, so only those columns are multiplied; the
-order puts rare shingles first, by a fixed-size table of counts over the whole corpus. Pairs left are verified on the
-texts. Equal sets are folded into one class first, and a first pass links each column's documents to a few hubs and merges
-what is similar, so that a large family of near copies costs links in proportion to its size; the product then runs on
-pairs that are still apart, and misses none.
+per pair, and pairs whose size or count cannot reach the threshold go. What bounds derived from the sizes rule out is not
+multiplied at all. Under any one order of shingles, two linked documents share at least ``common(n)`` shingles of their
+prefixes, the first n - ceil(0.8 n) + n // 10 + 1 of a set; the order puts rare shingles first, by a fixed-size table of
+counts over the whole corpus. The prefixes are then cut a second time, now by the exact number of rows of each column:
+a document keeps its rarest columns but for common(n) - 1, and most documents, which share fewer, keep none. Pairs left
+are verified on the texts. Equal sets are folded into one class first, and a first pass links each column's documents to
+a few hubs and merges what is similar, so that a large family of near copies costs links in proportion to its size; the
+product then runs on the pairs that are still apart, and misses none.
 """
 
 from __future__ import annotations
@@ -16,7 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textwords
@@ -24,8 +26,18 @@ from .common import components, discard, lookup_join, stage, table
 
 #: Counters of the corpus-wide table of shingle counts (fixed, whatever the input), and the parts they are summed in.
 COUNTERS, PARTS = 1 << 22, 64
-#: Passes that link each column's documents to a hub.
-HUB_PASSES = 3
+#: Hubs that each column's documents are linked to, in one pass after the other.
+HUBS = (4, 16, 24)
+
+
+def least_overlap(n: int, percent: int) -> int:
+    """Shingles that a set of n shares with any set it links with, at least."""
+    return -(-n * percent // 100)
+
+
+def common(n: Column, percent: int) -> Column:
+    """Prefix shingles that a set of n shares with any set it links with, at least: n // 10 + 1 for the smallest such set."""
+    return F.floor(F.ceil(n * percent / 100) / 10) + 1
 
 
 def shingle_sets(column: pa.Array, n: int) -> Iterator[np.ndarray]:
@@ -107,7 +119,7 @@ def signatures(docs: DataFrame, n: int, percent: int) -> DataFrame:
                     sizes.append(len(x))
                     h1.append(int(textwords.mix(x + np.uint64(1)).sum(dtype=np.uint64).view(np.int64)))
                     h2.append(int(textwords.mix(x ^ np.uint64(0xA5A5A5A5A5A5A5A5)).sum(dtype=np.uint64).view(np.int64)))
-                    m = len(x) - -(-len(x) * percent // 100) + 1 if len(x) else 0
+                    m = len(x) - least_overlap(len(x), percent) + len(x) // 10 + 1 if len(x) else 0
                     order = np.argsort(rank[(x >> np.uint64(42)).astype(np.int64)], kind="stable")[:m]
                     prefixes.append(x[order].view(np.int64))
             ends = np.cumsum([0, *map(len, prefixes)])
@@ -117,8 +129,8 @@ def signatures(docs: DataFrame, n: int, percent: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(sign, "doc_id long, n_shingles long, h1 long, h2 long, prefix array<long>")
 
 
-def verified(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose texts' sets are similar enough. A document in very many pairs is dealt over all partitions."""
+def verified(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
+    """The pairs (a, b) whose sets are similar enough; texts: id, text. A document in very many pairs is dealt over all partitions."""
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: tuple = (None, None)
@@ -133,7 +145,6 @@ def verified(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFra
                 keep.append(bool(both) and 100 * both >= percent * (len(a) + len(b) - both))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    texts = docs.filter("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("id"), "text")
     salted = pairs.select("a", "b", F.pmod(F.xxhash64("b"), F.lit(1009)).alias("salt"))
     needed = salted.select("a", "salt").distinct()
     left = needed.join(texts, needed.a == texts.id).select("a", "salt", F.col("text").alias("text_a"))
@@ -154,24 +165,26 @@ def jaccard_classes(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
     some = signed.filter("n_shingles > 0 AND doc_id IS NOT NULL")
     classes = some.groupBy("n_shingles", "h1", "h2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("w"), F.first("prefix").alias("prefix"))
     classes = stage(classes, "classes")
-    columns = stage(_shared_columns(classes), "columns")
+    columns = stage(_indexed(_shared_columns(classes), percent), "columns")
+    # The only texts that verification can need, in one shuffle; most documents have no column left.
+    ids = columns.select(F.col("rep").alias("id")).distinct()
+    texts = stage(docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(ids, "id", "left_semi"), "texts")
 
-    links = linked = None
-    done = None
-    for k in range(HUB_PASSES):
+    links = linked = done = None
+    for k in range(len(HUBS)):
         pairs = _hub_pairs(columns, linked, k, percent)
         if done is not None:
             pairs = pairs.join(done, ["a", "b"], "left_anti")
         pairs = stage(pairs, "pairs")
         if not pairs.take(1):
             break
-        got = stage(verified(pairs, docs, n, percent), "links")
+        got = stage(verified(pairs, texts, n, percent), "links")
         done = pairs if done is None else done.union(pairs)
         links = got if links is None else links.union(got)
         linked = stage(components(links, "a", "b"), "linked")
     rest = stage(_product_pairs(columns, linked, percent, done), "pairs")
     if rest.take(1):
-        got = verified(rest, docs, n, percent)
+        got = stage(verified(rest, texts, n, percent), "links")
         links = got if links is None else links.union(got)
     # Rows that repeat a doc_id may lie in several classes, and link them.
     repeated = some.groupBy("doc_id").count().filter("count > 1").select("doc_id")
@@ -186,25 +199,49 @@ def jaccard_classes(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
 
 
 def _shared_columns(classes: DataFrame) -> DataFrame:
-    """(shingle, at, n, rep): the entries of the prefix columns that hold two classes at least."""
+    """(shingle, n, rep, m): the entries of the prefix columns that hold m classes, two at least."""
 
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def emit(t: pa.Table, new: np.ndarray) -> Iterator[pa.RecordBatch]:
+            m = np.diff(np.r_[new, len(t)])
+            m = np.repeat(m, m)
+            yield from t.append_column("m", pa.array(m, pa.int32())).filter(pa.array(m > 1)).to_batches()
+
         held = None  # the last column may go on in the next batch
         for batch in batches:
             t = pa.Table.from_batches([batch])
             t = pa.concat_tables([held, t]).combine_chunks() if held is not None else t
             s = t.column("shingle").to_numpy()
             new = np.flatnonzero(np.r_[True, s[1:] != s[:-1]])
-            out = t.slice(0, int(new[-1]))
+            yield from emit(t.slice(0, int(new[-1])), new[:-1])
             held = t.slice(int(new[-1]))
-            if len(out):
-                many = np.repeat(np.diff(new) > 1, np.diff(new))
-                yield from out.filter(pa.array(many)).to_batches()
-        if held is not None and len(held) > 1:
-            yield from held.to_batches()
+        if held is not None:
+            yield from emit(held, np.zeros(1, np.int64))
+
+    entries = classes.select(F.explode("prefix").alias("shingle"), F.col("n_shingles").cast("int").alias("n"), "rep")
+    return entries.repartition("shingle").sortWithinPartitions("shingle").mapInArrow(runs, "shingle long, n int, rep long, m int")
 
-    entries = classes.select(F.col("n_shingles").alias("n"), "rep", F.posexplode("prefix").alias("at", "shingle")).select("shingle", F.col("at").cast("int"), F.col("n").cast("int"), "rep")
-    return entries.repartition("shingle").sortWithinPartitions("shingle").mapInArrow(runs, "shingle long, at int, n int, rep long")
+
+def _indexed(columns: DataFrame, percent: int) -> DataFrame:
+    """(shingle, n, rep, room): the entries that stay when each class drops its common(n) - 1 fullest columns.
+
+    room counts the class's columns from this one on, in their order of fullness: a pair whose first common column is this
+    one shares no more than the smaller room of the two. Columns that only one class has count as kept.
+    """
+    rows = columns.groupBy("rep", "n").agg(F.sort_array(F.collect_list(F.struct("m", "shingle"))).alias("own"))
+    keep = (F.size("own") - common(F.col("n"), percent) + 1).cast("int")
+    rows = rows.filter(keep > 0).select(F.posexplode(F.slice("own", F.lit(1), keep)).alias("i", "x"), F.size("own").alias("s"), "n", "rep")
+    return rows.select("x.shingle", "n", "rep", (F.col("s") - F.col("i")).alias("room"))
+
+
+def _possible(n1: Column, room1: Column, n2: Column, room2: Column, percent: int) -> Column:
+    """Whether two sets of these sizes can link if the prefix columns that they share are no more than either room."""
+    least = F.ceil((n1 + n2) * percent / (100 + percent) - 1e-9)
+
+    def beyond(n: Column) -> Column:
+        return F.ceil(n * percent / 100) - F.floor(n / 10) - 1
+
+    return (F.least(n1, n2) * 100 >= F.greatest(n1, n2) * percent) & (F.least(room1, room2) + F.greatest(beyond(n1), beyond(n2)) >= least)
 
 
 def _apart(columns: DataFrame, linked: DataFrame | None) -> DataFrame:
@@ -215,35 +252,34 @@ def _apart(columns: DataFrame, linked: DataFrame | None) -> DataFrame:
 
 
 def _mixed(entries: DataFrame, k: int) -> DataFrame:
-    """Per column that holds several components: a hub (by another order in each pass), and the number of entries."""
-    order = [F.col("n"), F.col("rep")] if k == 0 else [F.xxhash64(F.col("component"), F.lit(k)), F.col("n"), F.col("rep")]
-    hub = F.min_by(F.struct(F.col("rep"), F.col("n"), F.col("component")), F.struct(*order)).alias("hub")
-    return entries.groupBy("shingle").agg(hub, F.count("*").alias("w"), F.min("component").alias("c0"), F.max("component").alias("c1")).filter("c0 != c1").drop("c0", "c1")
+    """Per column that holds several components: the hubs of pass k and the number of entries.
+
+    One hub is the class with the most shared columns for its size, the likeliest partner; the others are drawn by hash.
+    """
+    one = F.struct("rep", "n", "component", "room")
+    orders = [F.xxhash64("rep", F.lit(k), F.lit(j)) for j in range(1, HUBS[k])]
+    hubs = F.array_distinct(F.array(*[F.min_by(one, F.struct(x, "n", "rep")) for x in (-F.col("room") / F.col("n"), *orders)]))
+    return entries.groupBy("shingle").agg(hubs.alias("hubs"), F.count("*").alias("w"), F.min("component").alias("c0"), F.max("component").alias("c1")).filter("c0 != c1").drop("c0", "c1")
 
 
 def _hub_pairs(columns: DataFrame, linked: DataFrame | None, k: int, percent: int) -> DataFrame:
     entries = _apart(columns, linked)
     hubs = stage(_mixed(entries, k), "hubs")
-    out = lookup_join(entries, hubs, ["shingle"], "w", columns.count(), F.col("rep")).filter("hub IS NOT NULL AND component != hub.component")
-    fits = F.least("n", "hub.n") * 100 >= F.greatest("n", "hub.n") * percent
+    out = lookup_join(entries, hubs, ["shingle"], "w", columns.count(), F.col("rep")).filter("hubs IS NOT NULL")
+    out = out.select("rep", "n", "component", "room", F.explode("hubs").alias("hub")).filter("component != hub.component")
+    fits = _possible(F.col("n"), F.col("room"), F.col("hub.n"), F.col("hub.room"), percent)
     return out.filter(fits).select(F.col("hub.rep").alias("a"), F.col("rep").alias("b")).distinct()
 
 
 def _product_pairs(columns: DataFrame, linked: DataFrame | None, percent: int, done: DataFrame | None) -> DataFrame:
     """The pairs of classes in different components whose overlap count over the prefix columns allows the threshold."""
     entries = _apart(columns, linked)
-    mixed = _mixed(entries, 0).select("shingle")
+    mixed = entries.groupBy("shingle").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).filter("c0 != c1").select("shingle")
     entries = stage(entries.join(mixed, "shingle", "left_semi"), "apart")
     x, y = entries.alias("x"), entries.alias("y")
-    small, large = F.least("x.n", "y.n"), F.greatest("x.n", "y.n")
-    # The least overlap of a pair that links, and what the columns beyond the shorter prefix can add.
-    least = F.ceil((small + large) * percent / (100 + percent) - 1e-9)
-    room = F.least(F.col("x.n") - F.col("x.at"), F.col("y.n") - F.col("y.at"))
-    near = (small * 100 >= large * percent) & (F.least("x.at", "y.at") + room >= least)
+    near = _possible(F.col("x.n"), F.col("x.room"), F.col("y.n"), F.col("y.room"), percent)
     pairs = x.join(y, (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.rep") < F.col("y.rep")) & (F.col("x.component") != F.col("y.component")) & near)
-    pairs = pairs.groupBy(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).agg(F.count("*").alias("overlap"), F.min(F.col("x.n")).alias("na"), F.min(F.col("y.n")).alias("nb"))
-    beyond = F.greatest(F.col("na") - (F.col("na") - F.ceil(F.col("na") * percent / 100) + 1), F.col("nb") - (F.col("nb") - F.ceil(F.col("nb") * percent / 100) + 1))
-    pairs = pairs.filter(F.col("overlap") + beyond >= F.ceil((F.col("na") + F.col("nb")) * percent / (100 + percent) - 1e-9)).select("a", "b")
+    pairs = pairs.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct()
     if done is not None:
         both = done.union(done.select(F.col("b").alias("a"), F.col("a").alias("b")))
         pairs = pairs.join(both, ["a", "b"], "left_anti")
