@@ -27,7 +27,7 @@ from .common import components, discard, lookup_join, stage, table
 #: Counters of the corpus-wide table of shingle counts (fixed, whatever the input), and the parts they are summed in.
 COUNTERS, PARTS = 1 << 22, 64
 #: Hubs that each column's documents are linked to, in one pass after the other.
-HUBS = (4, 16, 24)
+HUBS = (3, 8, 12)
 
 
 def least_overlap(n: int, percent: int) -> int:
@@ -258,7 +258,7 @@ def _mixed(entries: DataFrame, k: int) -> DataFrame:
     """
     one = F.struct("rep", "n", "component", "room")
     orders = [F.xxhash64("rep", F.lit(k), F.lit(j)) for j in range(1, HUBS[k])]
-    hubs = F.array_distinct(F.array(*[F.min_by(one, F.struct(x, "n", "rep")) for x in (-F.col("room") / F.col("n"), *orders)]))
+    hubs = F.array_distinct(F.array(*[F.min_by(one, x) for x in (F.struct(-F.col("room") / F.col("n"), F.col("n"), F.col("rep")), *orders)]))
     return entries.groupBy("shingle").agg(hubs.alias("hubs"), F.count("*").alias("w"), F.min("component").alias("c0"), F.max("component").alias("c1")).filter("c0 != c1").drop("c0", "c1")
 
 
