@@ -50,3 +50,11 @@ def rank_share(value: str, w: WindowSpec, n: Column) -> Column:
 def carried_forward(x: str, limit: int, w: WindowSpec) -> Column:
     """x, or its last value within ``limit`` rows before."""
     return F.last(x, ignorenulls=True).over(w.rowsBetween(-limit, 0))
+
+
+def running_product(x: Column, w: WindowSpec) -> Column:
+    """The product of x up to each row, with its sign: summed logs of the sizes, 0 from the first 0 on; nulls are passed over."""
+    so_far = w.rowsBetween(Window.unboundedPreceding, 0)
+    sign = F.when(F.sum((x < 0).cast("int")).over(so_far) % 2 == 1, -1.0).otherwise(1.0)
+    size = F.exp(F.sum(F.when(x != 0, F.log(F.abs(x)))).over(so_far))
+    return F.when(F.max((x == 0).cast("int")).over(so_far) == 1, 0.0).otherwise(sign * F.coalesce(size, F.lit(1.0)))

@@ -8,13 +8,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import clamp
-from ..functions.windows import pct_change, series, sma
+from ..functions.windows import pct_change, running_product, series, sma
 
 
 def ma_crossover(bars: DataFrame, fast: int = 5, slow: int = 20, cost_bps: float = 10.0) -> DataFrame:
     """Each bar of the long-or-flat crossover: position (yesterday's signal), turnover, net return and equity.
 
-    A pure window plan. Equity multiplies by the exponent of summed logs; a net return of -1 or less ends it at 0.
+    A pure window plan. Equity is the running product of 1 + net: a net return of -1 ends it at 0, one below turns its sign.
     """
     w = series("symbol")
     out = bars.select("symbol", "date", "close", sma("close", fast, w).alias("f"), sma("close", slow, w).alias("s"), F.coalesce(pct_change("close", 1, w), F.lit(0.0)).alias("ret"))
@@ -22,10 +22,7 @@ def ma_crossover(bars: DataFrame, fast: int = 5, slow: int = 20, cost_bps: float
     out = out.withColumn("position", F.coalesce(F.lag("signal").over(w), F.lit(0)))
     out = out.withColumn("turnover", F.abs(F.col("position") - F.coalesce(F.lag("position").over(w), F.lit(0))))
     out = out.withColumn("net", F.col("position") * F.col("ret") - F.col("turnover") * cost_bps / 10_000)
-    running = w.rowsBetween(Window.unboundedPreceding, 0)
-    ruined = F.max((F.col("net") <= -1).cast("int")).over(running) == 1
-    equity = F.when(ruined, 0.0).otherwise(F.exp(F.sum(F.when(F.col("net") > -1, F.log1p("net"))).over(running)))
-    return out.select("symbol", "date", "close", "position", "turnover", "net", equity.alias("equity"))
+    return out.select("symbol", "date", "close", "position", "turnover", "net", running_product(1 + F.col("net"), w).alias("equity"))
 
 
 def backtest_metrics(daily: DataFrame, periods: int = 252) -> DataFrame:
@@ -98,9 +95,9 @@ def portfolio_risk(returns: DataFrame, weights: DataFrame, confidence: float = 0
     held = returns.join(F.broadcast(positive), "symbol").join(F.broadcast(total), how="cross")
     daily = held.groupBy("date", "_n").agg(F.sum(F.col("r") * F.col("weight") / F.col("_t")).alias("p"), F.count("*").alias("k")).filter("k = _n")
     # The portfolio is one series; its running product needs one ordered partition of a row per day.
-    w = Window.partitionBy("_n").orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
-    daily = daily.withColumn("nav", F.exp(F.sum(F.log1p("p")).over(w)))
-    daily = daily.withColumn("dd", F.col("nav") / F.greatest(F.lit(1.0), F.max("nav").over(w)) - 1)
+    w = Window.partitionBy("_n").orderBy("date")
+    daily = daily.withColumn("nav", running_product(1 + F.col("p"), w))
+    daily = daily.withColumn("dd", F.col("nav") / F.greatest(F.lit(1.0), F.max("nav").over(w.rowsBetween(Window.unboundedPreceding, 0))) - 1)
     return daily.agg((-F.percentile("p", 1 - confidence) * 100).alias("var_pct"), F.min("dd").alias("max_drawdown"), F.max_by("dd", "date").alias("drawdown"), F.count("*").alias("days"))
 
 

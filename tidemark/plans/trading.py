@@ -19,7 +19,7 @@ def crossover_sql(fast: int, slow: int, tag: str = "") -> str:
     return f"""a{tag} AS (SELECT symbol, date, close, {rolling('avg({})', fast, 'close')} AS f, {rolling('avg({})', slow, 'close')} AS s, coalesce(close / lag(close) {OVER} - 1, 0) AS ret FROM w),
     g{tag} AS (SELECT *, CASE WHEN f > s THEN 1 ELSE 0 END AS signal FROM a{tag}), p{tag} AS (SELECT *, coalesce(lag(signal) {OVER}, 0) AS position FROM g{tag}),
     t{tag} AS (SELECT *, abs(position - coalesce(lag(position) {OVER}, 0)) AS turnover FROM p{tag}), n{tag} AS (SELECT *, position * ret - turnover * 10 / 10000.0 AS net FROM t{tag}),
-    q{tag} AS (SELECT *, exp(sum(ln(1 + net)) {_RUN}) AS equity FROM n{tag}), d{tag} AS (SELECT *, equity / max(equity) {_RUN} - 1 AS dd FROM q{tag})"""
+    q{tag} AS (SELECT *, product(1 + net) {_RUN} AS equity FROM n{tag}), d{tag} AS (SELECT *, equity / max(equity) {_RUN} - 1 AS dd FROM q{tag})"""
 
 
 @query("q1_ma_crossover", f"WITH {W}, {crossover_sql(5, 20)} SELECT symbol, date, position, turnover, round(net, 8) AS net, round(equity, 6) AS equity FROM q")
@@ -90,7 +90,7 @@ def fusion(spark, sf_dir):
 @query(
     "p1_portfolio_risk",
     f"""WITH {W}, {CORR}, k AS (SELECT symbol, CAST(substr(symbol, 7) AS INTEGER) AS weight FROM (SELECT DISTINCT symbol FROM w)), h AS (SELECT date, sum(r * weight / (SELECT sum(weight) FROM k)) AS p, count(*) AS c FROM lr JOIN k USING (symbol) GROUP BY date HAVING count(*) = (SELECT count(*) FROM k)),
-    v AS (SELECT *, exp(sum(ln(1 + p)) OVER (ORDER BY date)) AS nav FROM h), dd AS (SELECT *, nav / greatest(1, max(nav) OVER (ORDER BY date)) - 1 AS dd FROM v)
+    v AS (SELECT *, product(1 + p) OVER (ORDER BY date) AS nav FROM h), dd AS (SELECT *, nav / greatest(1, max(nav) OVER (ORDER BY date)) - 1 AS dd FROM v)
     SELECT round(-quantile_cont(p, 0.05) * 100, 6) AS var_pct, round(min(dd), 6) AS max_drawdown, round(arg_max(dd, date), 6) AS drawdown, count(*) AS days FROM dd""",
 )
 def portfolio_risk(spark, sf_dir):
@@ -125,7 +125,7 @@ _FACTORS = {"momentum": 0.4, "volatility": 0.2, "liquidity": 0.3, "valuation": 0
 _FSQL = f"fm AS (SELECT symbol, m20 AS momentum, vol20 AS volatility, close AS valuation, v AS liquidity FROM bm JOIN (SELECT symbol, round(sum(amount), 2) AS v FROM w GROUP BY symbol) USING (symbol)), fs AS (SELECT symbol, " + " + ".join(f"(row_number() OVER (ORDER BY {k} {'DESC' if k in ('momentum', 'liquidity') else 'ASC'}, symbol) - 1) / (count(*) OVER () - 1) * {v}" for k, v in _FACTORS.items()) + " AS s FROM fm)"
 
 
-@query("m1_four_factors", f"WITH {W}, {METRICS}, {_FSQL} SELECT symbol, round(s * 100, 2) AS score, row_number() OVER (ORDER BY round(s * 100, 10) DESC, symbol) AS rank FROM fs")
+@query("m1_four_factors", f"WITH {W}, {METRICS}, {_FSQL} SELECT symbol, round(s * 100, 2) AS score, row_number() OVER (ORDER BY round(s * 100, 10) DESC, symbol)::INTEGER AS rank FROM fs")
 def four_factors(spark, sf_dir):
     bars = weekly_bars(spark, sf_dir)
     metrics = R.base_metrics(bars).select("symbol", F.col("m20").alias("momentum"), F.col("vol20").alias("volatility"), F.col("close").alias("valuation"))
