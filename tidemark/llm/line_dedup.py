@@ -55,7 +55,8 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     parted = chunks(keyed.filter("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", "_of", "text"))
     # The texts are cut before the explode, so that no row carries all lines of its document.
     parts = F.filter(F.transform("_chunks", lambda x, i: F.when(x["n"] > 1, F.struct(i.alias("_pos"), _text(x["start"], x["n"]).alias("_text")))), lambda x: x.isNotNull())
-    parted = parted.withColumn("_parts", parts).select("doc_id", "_of", F.explode("_parts").alias("_part")).select("doc_id", "_of", "_part.*")
+    # explode() would make Spark filter on the array's size before it is built, with every step of chunks() copied into the filter.
+    parted = parted.withColumn("_parts", parts).select("doc_id", "_of", F.explode_outer("_parts").alias("_part")).filter("_part IS NOT NULL").select("doc_id", "_of", "_part.*")
     digest = [F.xxhash64("_text").alias("_h1"), F.xxhash64(F.lit(7), "_text").alias("_h2")]
     places = stage(parted.select("doc_id", "_of", "_pos", *digest), "places")
     # Equal digests count as equal chunks only where one text stands behind them: grouping by the text compares its bytes.
