@@ -76,6 +76,21 @@ def test_machine_learns_pairs():
     assert np.mean(p == y) > 0.9
 
 
+def test_machine_learns_pairs_as_set():
+    """Pairs among other terms, on rows not learnt from, with everything as in production."""
+    rng = np.random.default_rng(1)
+
+    def rows(n):
+        y = rng.integers(0, 2, n)
+        a = rng.integers(0, 2, n)
+        return [np.concatenate([[11 + k, 13 + (k if t else 1 - k)], 100 + rng.choice(300, 30, replace=False)]) for k, t in zip(a, y, strict=True)], y
+
+    (x, y), (unseen, truth) = rows(3000), rows(500)
+    m = toxicity.fit([(i, np.ones(len(i))) for i in x], y.astype(float))
+    p = [m.logits(1, np.zeros(len(i), np.int64), m.slot[i].astype(np.int64))[0] > 0 for i in unseen]
+    assert np.mean(p == truth) > 0.95
+
+
 def test_secrets(spark):
     rows = ["token = abc123", "password: 'hunter22'", "secret=short token: longer_one", None, "", "AKIA" + "A1" * 8, "AKIA123", "0123456789abcdef01234567 x", "deadbeef", "éé API_KEY=\"zzzzzz\" and hex " + "ab" * 20, "x" * 20000 + " token=q1w2e3r4t5 " + "f" * 30, "key Zq8vKx0PwLr4TnB7sYd2 end"]
     docs = spark.createDataFrame([(i, t, "v") for i, t in enumerate(rows)] + [(None, "token=abcdefg", "v")], "doc_id long, text string, start string")

@@ -14,7 +14,7 @@ from . import textwords
 from .common import table
 from .labelled import THRESHOLD, held_out, score_rows, sigmoid, training_rows
 
-#: Hashed terms; labelled rows to learn from at most; latent factors of a term; least rows and z-score of a term that gets weights; bytes of a prefix.
+#: Hashed terms; labelled rows to learn from at most; latent factors of a term; least rows of a term that gets weights; z-score under which a term alone says little; bytes of a prefix.
 TERMS, ROWS, FACTORS, LEAST_ROWS, LEAST_Z, PREFIX = 1 << 18, 8000, 4, 4, 4.0, 5
 
 
@@ -66,38 +66,51 @@ class FactorizationMachine:
 
 
 def fit(x: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, epochs: int = 60, rate: float = 0.2, decay: float = 1e-4, batch: int = 256, seed: int = 7) -> FactorizationMachine:
-    """Minimise the log loss by adaptive gradients over the terms that tell the labels apart in enough rows."""
-    slot = np.zeros(TERMS, np.int16)
+    """Minimise the log loss by adaptive gradients over all terms of at least LEAST_ROWS rows.
+
+    Terms that do not tell the labels apart alone (|z| < LEAST_Z) are held back by the standard error of their gradient
+    and not left out: their linear weight moves once its gradient is beyond LEAST_Z of it, their factors grow once their
+    pairs are beyond what the chance pairs of a row of that many terms add up to.
+    """
+    slot = np.zeros(TERMS, np.int32)
     if not len(y) or y.min() == y.max():
         base = float(np.clip(y.mean() if len(y) else 0.5, 0.01, 0.99))
         return FactorizationMachine(slot, float(np.log(base / (1 - base))), np.zeros(1), np.zeros((1, FACTORS)))
     seen = np.bincount(np.concatenate([i for i, _ in x]), minlength=TERMS)
     toxic = np.bincount(np.concatenate([np.zeros(0, np.int64), *(i for (i, _), t in zip(x, y, strict=True) if t)]), minlength=TERMS)
     rate1 = y.mean()
-    z = (toxic - seen * rate1) / np.sqrt(np.maximum(seen, 1) * rate1 * (1 - rate1))
-    chosen = np.flatnonzero((seen >= LEAST_ROWS) & (np.abs(z) >= LEAST_Z))
-    chosen = np.sort(chosen[np.argsort(-np.abs(z[chosen]), kind="stable")[:30_000]])
+    chosen = np.flatnonzero(seen >= LEAST_ROWS)
     slot[chosen] = np.arange(1, len(chosen) + 1)
+    rows = [np.concatenate([[0], slot[i][slot[i] > 0]]) for i, _ in x]  # slot 0, which stays zero, keeps every row from being empty
+    seen, toxic = seen[chosen], toxic[chosen]
+    z = (toxic - seen * rate1) / np.sqrt(seen * rate1 * (1 - rate1))
+    error1 = np.concatenate([[0], np.where(np.abs(z) < LEAST_Z, 0.25 * np.sqrt(seen / (rate1 * (1 - rate1))) / len(y), 0)])
+    hold_w, hold_v = LEAST_Z * error1, 2 * np.sqrt(np.mean([len(i) - 1 for i in rows])) * error1[:, None]
     rng = np.random.default_rng(seed)
     m = FactorizationMachine(slot, 0.0, np.zeros(len(chosen) + 1), rng.normal(0, 0.05, (len(chosen) + 1, FACTORS)))
     m.v[0] = 0
     weight = np.where(y == 1, 0.5 / rate1, 0.5 / (1 - rate1))  # both labels count alike
-    rows = [slot[i][slot[i] > 0].astype(np.int64) for i, _ in x]
     gw, gv, gb = np.full_like(m.w, 1e-6), np.full_like(m.v, 1e-6), 1e-6
     for _ in range(epochs):
         order = rng.permutation(len(y))
         for some in np.split(order, range(batch, len(order), batch)):
-            s = np.concatenate([np.zeros(0, np.int64), *(rows[k] for k in some)])
-            r = np.repeat(np.arange(len(some)), [len(rows[k]) for k in some])
-            error = (sigmoid(m.logits(len(some), r, s)) - y[some]) * weight[some] / len(some)
-            dw = np.bincount(s, error[r], len(m.w)) + decay * m.w / len(order) * batch
-            sums = np.stack([np.bincount(r, m.v[s, f], len(some)) for f in range(FACTORS)], 1)
-            dv = np.stack([np.bincount(s, error[r] * (sums[r, f] - m.v[s, f]), len(m.w)) for f in range(FACTORS)], 1) + decay * m.v / len(order) * batch
+            s, n = np.concatenate([rows[k] for k in some]), [len(rows[k]) for k in some]
+            first, v = np.cumsum(n) - n, m.v[s]
+            sums = np.add.reduceat(v, first)
+            logits = m.bias + np.add.reduceat(m.w[s] - 0.5 * np.einsum("ij,ij->i", v, v), first) + 0.5 * (sums**2).sum(1)
+            error = (sigmoid(logits) - y[some]) * weight[some] / len(some)
+            dw = np.bincount(s, np.repeat(error, n), len(m.w))
+            dv = np.stack([np.bincount(s, np.repeat(error * sums[:, f], n), len(m.w)) for f in range(FACTORS)], 1) - m.v * dw[:, None]
+            dw += decay * m.w / len(order) * batch
+            dv += decay * m.v / len(order) * batch
             gw += dw**2
             gv += dv**2
             gb += error.sum() ** 2
-            m.w -= rate * dw / np.sqrt(gw)
-            m.v -= 0.3 * rate * dv / np.sqrt(gv)
+            step = rate / np.sqrt(gw)
+            m.w -= step * dw
+            m.w = np.sign(m.w) * np.maximum(np.abs(m.w) - step * hold_w, 0)
+            step = 0.3 * rate / np.sqrt(gv)
+            m.v = (m.v - step * dv) / (1 + step * hold_v)
             m.bias -= rate * error.sum() / np.sqrt(gb)
             m.w[0], m.v[0] = 0, 0
     return m
