@@ -65,3 +65,30 @@ def test_running_product_keeps_signs_and_zeros(spark):
     want = [2.0, -6.0, -6.0, 3.0, 0.0, 0.0]
     assert all(math.isclose(r.p, w, abs_tol=1e-12) for r, w in zip(got[:6], want, strict=True))
     assert math.isclose(got[7].p, 1.5)
+
+
+def test_nearest_neighbours_match_brute_force(spark, duck, monkeypatch):
+    from tidemark.operators import screening
+
+    monkeypatch.setattr(screening, "QUERY_BLOCK", 10)
+    monkeypatch.setattr(screening, "POINT_BLOCK", 90)
+    rows = duck.execute("SELECT vec_id, embedding FROM embeddings").fetchall()
+    ids, v = np.array([r[0] for r in rows]), np.array([r[1] for r in rows], float)
+    v /= np.linalg.norm(v, axis=1)[:, None]
+    want = {}
+    for k in np.flatnonzero(ids % 20 == 0):
+        d = 1 - v @ v[k]
+        near = [j for j in np.lexsort((ids, d)) if j != k][:5]
+        want |= {(ids[k], place): (ids[j], round(d[j], 6)) for place, j in enumerate(near, 1)}
+    got = {(r["query"], r.place): (r.id, r.distance) for r in catalog.queries()["c10_nearest_neighbours"](spark, SF).collect()}
+    assert set(got) == set(want) and len(want) == 5 * (ids % 20 == 0).sum()
+    assert all(got[k][0] == want[k][0] and math.isclose(got[k][1], want[k][1], abs_tol=2e-6) for k in want)
+
+
+def test_nearest_neighbours_tie_by_id(spark):
+    from tidemark.operators import screening
+
+    rows = [(i, [0.1, 0.7, 0.3]) for i in range(40)] + [(90, None), (91, [0.0, 0.0, 0.0])]
+    points = spark.createDataFrame(rows, "id long, v array<double>")
+    got = screening.nearest_neighbours(points, points.selectExpr("id AS query", "v AS q").filter("query IN (3, 90, 91)"), 3).collect()
+    assert sorted((r["query"], r.place, r.id) for r in got) == [(3, 1, 0), (3, 2, 1), (3, 3, 2)]

@@ -4,12 +4,17 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import compare
 from ..functions.windows import full, pct_change, rank_share, series, sma
 
+#: Rows of a block of query vectors, and of one of the points that they are held against.
+QUERY_BLOCK, POINT_BLOCK = 1024, 4096
+
 
 def four_factors(metrics: DataFrame, weights: dict[str, float], corrected: bool = False) -> DataFrame:
     """score 0..100 of momentum, volatility, liquidity and valuation ranks; a factor without any difference gives 0.5 to all.
@@ -66,15 +71,48 @@ def capped_top(rows: DataFrame, score: str, kind: str, key: str, k: int, cap: in
 
 
 def nearest_neighbours(points: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """(query, id, distance, place): for each query vector the k nearest points by cosine distance.
+    """(query, id, distance, place): for each query vector the k nearest other points by cosine distance, then by id.
 
-    The queries are the small side, checked by the caller; points stay where they are and send k rows per query and task.
+    Both sides are dealt by their ids into blocks of about QUERY_BLOCK and POINT_BLOCK rows; every block of queries meets
+    every block of points and keeps k rows per query. Distances are summed in the order of the dimensions, so equal
+    vectors tie exactly. Null vectors and those of length 0 have no direction and are left out.
     """
-    def norm(v: Column) -> Column:
-        return F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x))
-
-    dot = F.aggregate(F.zip_with("v", "q", lambda a, b: a.cast("double") * b), F.lit(0.0), lambda s, x: s + x)
-    near = points.join(F.broadcast(queries), F.col("id") != F.col("query")).select("query", "id", (1 - dot / (norm(F.col("v")) * norm(F.col("q")))).alias("distance"))
+    n_p, n_q = -(-points.count() // POINT_BLOCK) or 1, -(-queries.count() // QUERY_BLOCK) or 1
+    p = points.filter("id IS NOT NULL AND v IS NOT NULL").select(F.col("id").cast("long").alias("id"), F.col("v").cast("array<double>").alias("v"), F.pmod(F.xxhash64("id"), F.lit(n_p)).alias("_p"))
+    q = queries.filter("query IS NOT NULL AND q IS NOT NULL").select(F.col("query").cast("long").alias("id"), F.col("q").cast("array<double>").alias("v"), F.pmod(F.xxhash64("query"), F.lit(n_q)).alias("_q"))
+    p = p.withColumn("_q", F.explode(F.sequence(F.lit(0), F.lit(n_q - 1)).cast("array<long>")))
+    q = q.withColumn("_p", F.explode(F.sequence(F.lit(0), F.lit(n_p - 1)).cast("array<long>")))
+
+    def vectors(block: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        v = block.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(block.num_rows, -1)
+        norm = np.zeros(len(v))
+        for d in range(v.shape[1]):
+            norm += v[:, d] * v[:, d]
+        norm = np.sqrt(norm)
+        return block.column("id").to_numpy()[norm > 0], v[norm > 0], norm[norm > 0]
+
+    def nearest(points: pa.Table, queries: pa.Table) -> pa.Table:
+        parts = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+        if points.num_rows and queries.num_rows:
+            (ids, v, norm), (asks, q, q_norm) = vectors(points), vectors(queries)
+            for at in range(0, len(asks) if len(ids) else 0, 64):
+                ask, x, x_norm = asks[at : at + 64], q[at : at + 64], q_norm[at : at + 64]
+                rough = 1 - (x / x_norm[:, None]) @ (v / norm[:, None]).T
+                rough[ask[:, None] == ids] = np.inf
+                least = np.partition(rough, min(k, len(ids)) - 1, axis=1)[:, min(k, len(ids)) - 1]
+                # The matrix product rounds by block; what may be among the k is measured again in a fixed order.
+                i, j = np.nonzero(np.isfinite(rough) & (rough <= least[:, None] + 1e-9))
+                dot = np.zeros(len(i))
+                for d in range(v.shape[1]):
+                    dot += v[j, d] * x[i, d]
+                exact = 1 - dot / (norm[j] * x_norm[i])
+                order = np.lexsort((ids[j], exact, i))
+                i, j, exact = i[order], j[order], exact[order]
+                place = np.arange(len(i)) - np.searchsorted(i, i)
+                parts.append((ask[i[place < k]], ids[j[place < k]], exact[place < k]))
+        return pa.table([np.concatenate(c) for c in zip(*parts, strict=True)], ["query", "id", "distance"])
+
+    near = p.groupBy("_p", "_q").cogroup(q.groupBy("_p", "_q")).applyInArrow(nearest, "query long, id long, distance double")
     w = Window.partitionBy("query").orderBy("distance", "id")
     return near.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= k)
 
