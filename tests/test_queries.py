@@ -92,3 +92,43 @@ def test_nearest_neighbours_tie_by_id(spark):
     points = spark.createDataFrame(rows, "id long, v array<double>")
     got = screening.nearest_neighbours(points, points.selectExpr("id AS query", "v AS q").filter("query IN (3, 90, 91)"), 3).collect()
     assert sorted((r["query"], r.place, r.id) for r in got) == [(3, 1, 0), (3, 2, 1), (3, 3, 2)]
+
+
+def test_cooldown_streams_each_rule(spark):
+    import random
+
+    from tidemark.operators import screening
+
+    rng = random.Random(2)
+    rows = [(rule, k, None if k % 50 == 49 else rng.choice([rng.randrange(4000), 10_000 + rng.randrange(300), 9_000_000])) for rule in (1, 2, None) for k in range(400)]
+    df = spark.createDataFrame(rows, "rule int, event_id long, s long").selectExpr("rule", "event_id", "timestamp_seconds(s) AS ts")
+    made = screening.cooled(df, ["rule"], "ts", 60)
+    want, last = {}, {}
+    for rule, k, s in sorted((r for r in rows if r[2] is not None), key=lambda r: (str(r[0]), r[2], r[1])):
+        fires = rule not in last or s - last[rule] >= 60
+        last[rule] = s if fires else last[rule]
+        want[rule, k] = "triggered" if fires else "cooldown_skipped"
+    want |= {(rule, k): "cooldown_skipped" for rule, k, s in rows if s is None}
+    assert {(r.rule, r.event_id): r.status for r in made.collect()} == want
+    assert "collect_list" not in made._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_quantile_and_terciles_rank_values_not_rows(spark):
+    """Ties cut by a third against plain sorting; a hot value is one row of the window."""
+    import random
+
+    from tidemark.operators import evaluation
+
+    rng = random.Random(5)
+    rows = [(g, k, rng.randrange(m), float(rng.randrange(100)) if k % 7 else None) for g, n, m in (("a", 200, 4), ("b", 2, 1), ("c", 31, 31), ("d", 90, 1)) for k in range(n)]
+    df = spark.createDataFrame(rows, "g string, id long, score int, y double")
+    made = evaluation.tercile_spread(df, ["g"], "score", "y", "id")
+    mean = lambda ys: sum(y for y in ys if y is not None) / max(1, sum(y is not None for y in ys))
+    for r in made.collect():
+        ys = [x[3] for x in sorted((x for x in rows if x[0] == r.g), key=lambda x: (-x[2], x[1]))]
+        n = max(1, len(ys) // 3)
+        assert math.isclose(r.bottom, mean(ys[-n:])) and (r.top is None if set(ys[:n]) == {None} else math.isclose(r.top, mean(ys[:n])))
+    quantile = evaluation.weighted_quantile(df, ["g"], "score", "id", 0.8)
+    for made in (made, quantile):
+        plan = made._jdf.queryExecution().optimizedPlan().toString().split("Window", 1)[1]
+        assert "Aggregate" in plan

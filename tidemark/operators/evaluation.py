@@ -88,6 +88,7 @@ def calibration_error(rows: DataFrame, by: list[str], bins: int = 5, corrected:
 def weighted_quantile(rows: DataFrame, by: list[str], x: str, weight: str, q: float) -> DataFrame:
     """(by, value): the first x, in order, at which the running weight reaches q of all."""
     w = Window.partitionBy(*by)
+    rows = rows.groupBy(*by, x).agg(F.sum(weight).alias(weight))
     out = rows.withColumn("_run", F.sum(weight).over(w.orderBy(x).rangeBetween(Window.unboundedPreceding, 0))).withColumn("_all", F.sum(weight).over(w))
     return out.filter(F.col("_run") >= q * F.col("_all") - 1e-12).groupBy(*by).agg(F.min(x).alias("value"))
 
@@ -103,12 +104,28 @@ def outlier_fusion(rows: DataFrame, by: list[str], most: float = 2.0) -> DataFra
 
 
 def tercile_spread(rows: DataFrame, by: list[str], score: str, outcome: str, tie: str) -> DataFrame:
-    """(by, top, bottom, spread): mean outcome of the best and worst max(1, n // 3) rows by score."""
+    """(by, top, bottom, spread): mean outcome of the best and worst max(1, n // 3) rows by score.
+
+    Scores that lie within a third as a whole are summed; only the rows of a score that a third cuts through are ranked.
+    """
     w = Window.partitionBy(*by)
-    out = rows.withColumns({"_r": F.row_number().over(w.orderBy(F.col(score).desc(), tie)), "_n": F.count("*").over(w)})
+    sums = [F.count("*").alias("_k"), F.count(outcome).alias("_c"), F.sum(outcome).alias("_s")]
+    each = rows.groupBy(*by, score).agg(*sums)
+    each = each.withColumns({"_upto": F.sum("_k").over(w.orderBy(F.col(score).desc()).rowsBetween(Window.unboundedPreceding, 0)), "_n": F.sum("_k").over(w)})
     size = F.greatest(F.lit(1), F.floor(F.col("_n") / 3))
-    top, bottom = F.avg(F.when(F.col("_r") <= size, F.col(outcome))), F.avg(F.when(F.col("_r") > F.col("_n") - size, F.col(outcome)))
-    return out.groupBy(*by).agg(top.alias("top"), bottom.alias("bottom"), (top - bottom).alias("spread"))
+    # Of each score the first _t rows are in the top third, and the last _b in the bottom one.
+    each = each.withColumns({"_t": F.least("_k", F.greatest(F.lit(0), size - (F.col("_upto") - F.col("_k")))), "_b": F.least("_k", F.greatest(F.lit(0), size - (F.col("_n") - F.col("_upto"))))})
+    cut = F.col("_t").between(F.lit(1), F.col("_k") - 1) | F.col("_b").between(F.lit(1), F.col("_k") - 1)
+    whole = each.filter(~cut).select(*by, "_c", "_s", (F.col("_t") > 0).alias("_top"), (F.col("_b") > 0).alias("_bottom"))
+    some = each.filter(cut).select(*[F.col(c).alias(f"_k_{c}") for c in [*by, score]], "_k", "_t", "_b")
+    same = F.lit(True)
+    for c in [*by, score]:
+        same = same & F.col(c).eqNullSafe(F.col(f"_k_{c}"))
+    some = rows.join(F.broadcast(some), same).withColumn("_r", F.row_number().over(Window.partitionBy(*by, score).orderBy(tie)))
+    some = some.select(*by, F.when(F.col(outcome).isNull(), 0).otherwise(1).cast("long"), outcome, F.col("_r") <= F.col("_t"), F.col("_r") > F.col("_k") - F.col("_b"))
+    mean = lambda part: F.try_divide(F.sum(F.when(F.col(part), F.col("_s"))), F.sum(F.when(F.col(part), F.col("_c"))))
+    out = whole.union(some).groupBy(*by).agg(mean("_top").alias("top"), mean("_bottom").alias("bottom"))
+    return out.withColumn("spread", F.col("top") - F.col("bottom"))
 
 
 def concentration(rows: DataFrame, by: list[str], weight: str) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -125,19 +126,34 @@ def rule_matches(events: DataFrame, rules: DataFrame) -> DataFrame:
 def cooled(matches: DataFrame, keys: list[str], at: str, seconds: int) -> DataFrame:
     """matches with status: triggered, or cooldown_skipped within ``seconds`` of the last triggered one of the keys.
 
-    Whether a match counts hangs on the one that counted before, so each key is folded in order of time.
+    Whether a match counts hangs on the one that counted before, but the first one after a gap of ``seconds`` always
+    does: each stretch between such gaps is sorted and streamed, with the last firing as all its state. The gaps are
+    found between slots of ``seconds``, as none fits within one. A match without a time is skipped.
     """
-    rows = matches.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(at, "event_id"))).alias("all"))
-    first = F.struct(F.lit(None).cast("long").alias("last"), F.array().cast("array<boolean>").alias("fired"))
-
-    def step(s: Column, x: Column) -> Column:
-        now = F.unix_micros(x[at].cast("timestamp"))
-        fires = s["last"].isNull() | (now - s["last"] >= seconds * 1_000_000)
-        return F.struct(F.when(fires, now).otherwise(s["last"]).alias("last"), F.concat(s["fired"], F.array(fires)).alias("fired"))
-
-    out = rows.withColumn("fired", F.aggregate("all", first, step, lambda s: s["fired"]))
-    out = out.select(*keys, F.explode(F.arrays_zip("all", "fired")).alias("x"))
-    return out.select(*keys, F.col("x.all.event_id").alias("event_id"), F.when(F.col("x.fired"), "triggered").otherwise("cooldown_skipped").alias("status"))
+    width = max(int(seconds), 1) * 1_000_000
+    rows = matches.select(*keys, "event_id", F.unix_micros(F.col(at).cast("timestamp")).alias("_at")).withColumn("_slot", F.floor(F.col("_at") / F.lit(width)))
+    w = Window.partitionBy(*keys).orderBy("_slot")
+    slots = rows.filter("_at IS NOT NULL").groupBy(*keys, "_slot").agg(F.min("_at").alias("_first"), F.max("_at").alias("_last"))
+    slots = slots.withColumn("_gap", F.coalesce(F.col("_first") - F.lag("_last").over(w) >= width, F.lit(True)).cast("long"))
+    slots = slots.select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col("_slot").alias("_k_slot"), F.sum("_gap").over(w).alias("_stretch"))
+    same = F.col("_slot") == F.col("_k_slot")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+    rows = rows.join(slots, same, "left").select(*keys, "event_id", "_at", "_stretch")
+    known = rows.filter("_at IS NOT NULL").repartition(*keys, "_stretch").sortWithinPartitions(*keys, "_stretch", "_at", "event_id")
+
+    def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        was, last = None, 0
+        for batch in batches:
+            fired = []
+            for *key, now in zip(*(batch.column(c).to_pylist() for c in [*keys, "_stretch", "_at"]), strict=True):
+                fires = key != was or now - last >= seconds * 1_000_000
+                was, last = key, now if fires else last
+                fired.append("triggered" if fires else "cooldown_skipped")
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in [*keys, "event_id"]), pa.array(fired, pa.string())], [*keys, "event_id", "status"])
+
+    out = known.mapInArrow(stream, known.select(*keys, "event_id").schema.add("status", "string"))
+    return out.union(rows.filter("_at IS NULL").select(*keys, "event_id", F.lit("cooldown_skipped")))
 
 
 def clamp_range(price: Column, lower: Column, upper: Column) -> tuple[Column, Column]:
