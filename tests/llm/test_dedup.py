@@ -45,27 +45,29 @@ def test_exact_hot_group_and_empty(spark):
 
 
 def reference_lines(rows):
-    """Chunks and removals by plain loops."""
+    """Chunks and cut lines by plain loops."""
     import hashlib
 
-    seen, out, n_of = {}, {}, {}
+    seen, cut = set(), {}
     for i, text in sorted(rows):
         lines = text.split("\n")
-        h = [int(hashlib.md5(x.encode()).hexdigest()[:8], 16) for x in lines]
-        r = [((h[k - 1] if k else 0) * 31 + h[k]) % line_dedup.MODULUS for k in range(len(h))]
-        ends = [k for k in range(len(r)) if k == len(r) - 1 or (k and r[k] < r[k - 1] and r[k] <= r[k + 1])]
-        kept, start = [], 0
-        for e in ends:
-            part = lines[start : e + 1]
-            text_ = "\n".join(part)
-            if len(part) > 1 and text_ in seen:
-                n_of[i] = n_of.get(i, 0) + len(part)
-            else:
-                seen.setdefault(text_, i)
-                kept.append(text_)
-            start = e + 1
-        out[i] = "\n".join(kept)
-    return out, n_of
+        h = [int(hashlib.md5(x.encode()).hexdigest()[:15], 16) for x in lines]
+        found = set()
+        for k in range(line_dedup.SETS):
+            last = {}
+            for at, x in enumerate(h):
+                bit = x >> k & 1
+                if bit in last:
+                    found.add((last[bit], at))
+                last[bit] = at
+        gone = set()
+        for start, end in sorted(found):
+            part = tuple(lines[start : end + 1])
+            if part in seen:
+                gone |= set(range(start, end + 1))
+            seen.add(part)
+        cut[i] = gone
+    return {i: "\n".join(x for k, x in enumerate(text.split("\n")) if k not in cut[i]) for i, text in rows}, {i: len(x) for i, x in cut.items() if x}
 
 
 def test_lines_match_brute_force(spark):
@@ -83,6 +85,36 @@ def test_lines_match_brute_force(spark):
     assert sum(cut.values()) > 100
 
 
+def test_short_passages_in_foreign_lines(spark):
+    """Passages of 2 to 6 lines and over 50 words amid lines of two documents; all other lines stay."""
+    rng = random.Random(9)
+    line = lambda: " ".join(f"w{rng.randrange(10**6)}" for _ in range(30))
+    rows, passages = [], {}
+    for k in range(60):
+        passages[k] = [line() for _ in range(2 + k % 5)]
+        for side in (0, 1):
+            rows.append((2 * k + side, "\n".join([line(), line(), *passages[k], line()])))
+    rows.append((1000, "\n".join(passages[4])))
+    out = {r.doc_id: r.text.split("\n") for r in line_dedup.dedup_lines(frame(spark, rows)).collect()}
+    texts = dict(rows)
+    assert all("\n".join(out[2 * k]) == texts[2 * k] for k in range(60))
+    left = {k: sum(x in out[2 * k + 1] for x in p) for k, p in passages.items()}
+    assert all(x in out[2 * k + 1] for k in range(60) for x in texts[2 * k + 1].split("\n") if x not in passages[k])
+    two = [n for k, n in left.items() if k % 5 == 0]
+    assert sum(n == 0 for n in two) >= len(two) - 3 and sum(n for k, n in left.items() if k % 5) <= 2
+    assert out[1000] == [""] or len(out[1000]) <= 1
+
+
+def test_lines_of_equal_hash_stay(spark, monkeypatch):
+    """Chunks whose hashes agree but not their bytes are no repeats."""
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(line_dedup.F, "xxhash64", lambda *x: F.lit(5).cast("long"))
+    rows = [(1, "a\nb"), (2, "c\nd"), (3, "a\nb")]
+    out = {r.doc_id: r.text for r in line_dedup.dedup_lines(frame(spark, rows)).collect()}
+    assert out == dict(rows)
+
+
 def test_lines_nulls_and_columns(spark):
     df = frame(spark, [(1, None), (2, ""), (3, "a\nb\nc"), (4, "a\nb\nc"), (None, "a\nb\nc"), (4, "a\nb\nc")])
     out = line_dedup.dedup_lines(df)
@@ -90,6 +122,32 @@ def test_lines_nulls_and_columns(spark):
     rows = {(r.doc_id, r.text) for r in out.collect()}
     assert (1, None) in rows and (2, "") in rows and (3, "a\nb\nc") in rows and (None, "a\nb\nc") in rows and (4, "") in rows
     assert line_dedup.dedup_lines(frame(spark, [])).count() == 0
+    named = df.selectExpr("doc_id", "text", "lang AS _cut", "n_chars AS _of", "digest AS _lines", "rep AS _n_lines", "n_chars AS `a.b`", "rep AS _rest")
+    out = line_dedup.dedup_lines(named)
+    assert out.columns == ["doc_id", "text", "_cut", "_of", "_lines", "a.b", "_rest", *line_dedup.COUNTS]
+    assert {(r["_cut"], r["_lines"], r["_rest"]) for r in out.collect()} == {("en", "x", 2)}
+
+
+def test_lookup_join_deals_hot_keys_out(spark):
+    """One key with half of the rows, and null keys with a quarter, fill no partition."""
+    from pyspark.sql import functions as F
+
+    from tidemark.llm.common import lookup_join
+
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = spark.range(40_000).select(F.when(F.col("id") % 2 == 0, 0).when(F.col("id") % 4 == 1, F.col("id")).alias("u"), F.col("id").alias("v"))
+        lookup = rows.filter("u IS NOT NULL").groupBy("u").agg(F.count("*").alias("w"), F.min("v").alias("m"))
+        out = lookup_join(rows, lookup, ["u"], "w", 40_000, F.col("v"))
+        sizes = [r.n for r in out.groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n"), F.max("m")).collect()]
+        assert len(sizes) == 16 and sum(sizes) == 40_000 and max(sizes) < 1.5 * 40_000 / 16
+        assert out.filter("u = 0 AND m = 0").count() == 20_000 and out.filter("u IS NULL AND m IS NULL").count() == 10_000
+    finally:
+        for key in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold"):
+            spark.conf.unset(key)
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
 
 
 def shingles(text):
@@ -142,17 +200,52 @@ def test_jaccard_edges(spark):
     assert ngram_jaccard.jaccard_classes(frame(spark, [])).count() == 0
 
 
-def test_long_text_hashes_alike_over_blocks(monkeypatch):
+def test_word_hashes_tell_words_apart():
+    """Words of every length, of 1024 letters and more in the orders that defeat polynomials, and both cases of a letter."""
     import numpy as np
     import pyarrow as pa
 
     from tidemark.llm import textwords
 
-    text = " ".join(f"word{k}" for k in range(5000))
-    whole = list(ngram_jaccard.shingle_sets(pa.array([text, None, "x"]), 5))
-    monkeypatch.setattr(textwords, "BLOCK", 64)
-    parts = list(ngram_jaccard.shingle_sets(pa.array([text, None, "x"]), 5))
-    assert all(np.array_equal(a, b) for a, b in zip(whole, parts, strict=True)) and [len(x) for x in whole] == [4996, 0, 1]
+    def folded(n, a, b):
+        out = a
+        while len(out) < n:
+            out += out.translate({ord(a): b, ord(b): a})
+        return out
+
+    words = [x for n in (1024, 2048, 4096) for x in (folded(n, "a", "b"), folded(n, "b", "a"))] + ["q" * k for k in range(1, 40)] + ["q\0", "q\0\0", "é", "É"]
+    data, at = textwords.text_bytes(pa.array([" ".join(words), None, " ".join(words).upper()]))
+    starts, ends, first = textwords.boundaries(data, at)
+    h = textwords.hashes(data, starts, ends)
+    n = len(words)
+    assert first.tolist() == [0, n, n, 2 * n] and len(np.unique(h[:n])) == n
+    assert [k for k in range(n) if h[k] != h[n + k]] == [n - 2]  # upper() also changes é, which is no ASCII letter
+
+
+def test_jaccard_tells_folded_words_apart(spark):
+    a = "a"
+    while len(a) < 2048:
+        a += a.translate({97: "b", 98: "a"})
+    b = a.translate({97: "b", 98: "a"})
+    out = {r.doc_id: r.component_id for r in ngram_jaccard.jaccard_classes(frame(spark, [(1, a), (2, b), (3, a)])).collect()}
+    assert out == {1: 1, 2: 2, 3: 1}
+
+
+def test_full_columns_are_streamed(spark, monkeypatch):
+    """Columns beyond FULL entries, and columns cut into tiles, give the same classes."""
+    monkeypatch.setattr(ngram_jaccard, "FULL", 8)
+    monkeypatch.setattr(ngram_jaccard, "TILE", 5)
+    monkeypatch.setattr(ngram_jaccard, "HUBS", (2,))
+    rng = random.Random(12)
+    base = [f"b{k}" for k in range(90)]
+    rows = []
+    for i in range(150):
+        words = list(base)
+        for _ in range(rng.randint(0, 3)):
+            words[rng.randrange(90)] = f"x{rng.randrange(30)}"
+        rows.append((i, " ".join(words)))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_jaccard.jaccard_classes(frame(spark, rows)).collect()}
+    assert got == brute_components(rows)
 
 
 @pytest.mark.parametrize("percent", [50, 80, 95])

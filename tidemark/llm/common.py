@@ -16,15 +16,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: The temporary folder of each local application that sets no shared one.
+_LOCAL: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: spark.checkpoint.dir. Local sessions that leave it unset get a temporary one."""
     found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        found = tempfile.mkdtemp(prefix="tidemark-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
+    if found:
+        return found
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    key = spark.sparkContext.applicationId
+    if key not in _LOCAL:
+        _LOCAL[key] = tempfile.mkdtemp(prefix="tidemark-")
+    return _LOCAL[key]
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
@@ -54,7 +60,9 @@ def lookup_join(rows: DataFrame, lookup: DataFrame, keys: list[str], weight: str
     fields = [c for c in lookup.columns if c not in keys]
     hot = F.col(weight) * HOT > total
     heavy = lookup.filter(hot).select(*[F.col(k).alias(f"_h_{k}") for k in keys], F.struct(*fields).alias("_heavy"))
-    light = lookup.filter(~hot).select(*[F.col(k).alias(f"_l_{k}") for k in keys], F.struct(*fields).alias("_light"), F.lit(0).alias("_l_salt"))
+    # A literal 0 would be folded into a filter on the rows and leave the hash of the shuffle; no weight is negative.
+    zero = F.when(F.col(weight) < 0, 1).otherwise(0).cast("int")
+    light = lookup.filter(~hot).select(*[F.col(k).alias(f"_l_{k}") for k in keys], F.struct(*fields).alias("_light"), zero.alias("_l_salt"))
     out = rows.join(F.broadcast(heavy), [rows[k] == heavy[f"_h_{k}"] for k in keys], "left").drop(*[f"_h_{k}" for k in keys])
     settled = F.col("_heavy").isNotNull()
     for k in keys:

@@ -1,7 +1,10 @@
-"""Line dedup: content-defined chunks of lines, removed where the same chunk of several lines came up before.
+"""Line dedup: content-defined chunks of lines, removed where the same chunk came up before.
 
-A rolling hash over the hashes of each line and the one before picks the boundaries: a chunk ends at a local minimum of
-the rolling hash, so boundaries move with the lines and not with their place in the document. All of it is SQL functions.
+Hashes of the lines pick the boundaries, in SETS boundary sets of two classes each: a line bounds the class that its bit
+of the set names, and a chunk runs from one bounding line of a class to the next, both included. So a chunk has two lines
+at least, hangs on no line outside of it and moves with its lines. A passage of k lines that comes up again is missed
+whole only if no two of its lines agree in any bit (k = 2: one in 2 ** SETS; k > 2: never), and loses its first or last
+line only if that line agrees with no other of the passage in any bit. All of it is SQL functions.
 """
 
 from __future__ import annotations
@@ -11,70 +14,84 @@ from pyspark.sql import functions as F
 
 from .common import lookup_join, stage, table
 
-#: Modulus of the rolling hash.
-MODULUS = 1_000_003
-
-
-def _shifted(values: Column, by: int, edge: int) -> Column:
-    """The array moved one place on (1) or back (-1), with a value for the place that falls free."""
-    n = F.size(values)
-    if by > 0:
-        return F.slice(F.concat(F.array(F.lit(edge).cast("long")), values), F.lit(1), n)
-    return F.slice(F.concat(values, F.array(F.lit(edge).cast("long"))), F.lit(2), n)
+#: Boundary sets: more find more of the passages of two lines, and make more chunks.
+SETS = 4
+#: What dedup_lines adds to each row.
+COUNTS = ("_n_lines", "_n_chunks", "_cut_chunks", "_cut_lines")
 
 
 def chunks(docs: DataFrame) -> DataFrame:
-    """docs with _lines, and _chunks: an array of (start, n) over the lines; each line is in one chunk. Null texts have none."""
+    """docs with _lines and _chunks: an array of (start, n, h1, h2: a 128-bit hash of its lines). Null texts have none."""
     step = docs.withColumn("_lines", F.split("text", "\n", -1))
-    step = step.withColumn("_hash", F.transform("_lines", lambda x: F.conv(F.substring(F.md5(x.cast("binary")), 1, 8), 16, 10).cast("long")))
-    step = step.withColumn("_roll", F.zip_with("_hash", _shifted(F.col("_hash"), 1, 0), lambda x, was: (was * 31 + x) % MODULUS))
-    # The first line ends no chunk and the last one always does.
-    step = step.withColumn("_low", F.zip_with("_roll", _shifted(F.col("_roll"), 1, -1), lambda x, was: x < was))
-    step = step.withColumn("_end", F.zip_with("_low", F.zip_with("_roll", _shifted(F.col("_roll"), -1, -1), lambda x, then: (x <= then) | (then == -1)), lambda a, b: a & b))
-    step = step.withColumn("_ends", F.filter(F.transform("_end", lambda x, i: F.when(x, i)), lambda x: x.isNotNull()))
-    last = F.size("_lines") - 1
-    step = step.withColumn("_ends", F.array_distinct(F.concat("_ends", F.array(last))))
-    step = step.withColumn("_starts", F.slice(F.concat(F.array(F.lit(0)), F.transform("_ends", lambda e: e + 1)), F.lit(1), F.size("_ends")))
-    step = step.withColumn("_chunks", F.zip_with("_starts", "_ends", lambda s, e: F.struct(s.alias("start"), (e - s + 1).alias("n"))))
-    return step.drop("_hash", "_roll", "_low", "_end", "_ends", "_starts")
+    step = step.withColumn("_hash", F.transform("_lines", lambda x: F.conv(F.substring(F.md5(x.cast("binary")), 1, 15), 16, 10).cast("long")))
+
+    def neighbours(k: int, bit: int) -> Column:
+        def of_class(x: Column, i: Column) -> Column:
+            return F.when(F.shiftright(x, k).bitwiseAND(F.lit(1)) == bit, i.cast("long"))
+
+        at = F.filter(F.transform("_hash", of_class), lambda i: i.isNotNull())
+        n = F.greatest(F.size(at) - 1, F.lit(0))
+        return F.zip_with(F.slice(at, F.lit(1), n), F.slice(at, F.lit(2), n), lambda a, b: F.shiftleft(a, 31) + b)
 
+    step = step.withColumns({f"_n{k}{bit}": neighbours(k, bit) for k in range(SETS) for bit in (0, 1)})
+    step = step.withColumn("_pairs", F.array_distinct(F.concat(*[f"_n{k}{bit}" for k in range(SETS) for bit in (0, 1)])))
 
-def _text(start: Column, n: Column) -> Column:
-    return F.array_join(F.slice("_lines", start + 1, n), "\n")
+    def chunk(x: Column) -> Column:
+        start = F.shiftright(x, 31).cast("int")
+        n = (x - F.shiftleft(F.shiftright(x, 31), 31) - F.shiftright(x, 31) + 1).cast("int")
+        own = F.slice("_hash", start + 1, n)
+        return F.struct(start.alias("start"), n.alias("n"), F.xxhash64(own).alias("h1"), F.xxhash64(F.lit(7), own).alias("h2"))
+
+    step = step.withColumn("_chunks", F.transform("_pairs", chunk))
+    return step.select(*docs.columns, "_lines", "_chunks")
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
-    """docs with every repeat of a chunk of two or more lines cut from ``text``, and the counts _n_lines, _n_chunks, _cut_chunks, _cut_lines.
+    """docs with the lines of every repeated chunk cut from ``text``, and the counts _n_lines, _n_chunks, _cut_chunks, _cut_lines.
 
-    Of equal chunks (the same bytes) the one in the smallest doc_id, then first in it, stays; chunks of one line all stay.
-    Columns keep their order and names, whatever they are, if they don't begin with an underscore. A null text stays
-    null with counts 0; an empty one is one empty line. Rows without doc_id stay whole and count for nobody. Rows that
-    repeat a doc_id and its text are one document. No rows give no rows.
+    Of equal chunks (the same bytes) the one in the smallest doc_id, then first in it, stays whole as far as no other
+    repeat covers its lines; a line that is cut always comes up earlier (in doc_id, then place). Lines that repeat alone
+    stay. Other columns keep their order, names and values, whatever they are; those named like the counts are replaced.
+    A null text stays null with counts 0; an empty one is one empty line. Rows without doc_id stay whole and count for
+    nobody. Rows that repeat a doc_id and its text are one document. No rows give no rows.
     """
-    keyed = docs.withColumn("_of", F.xxhash64("text"))
-    parted = chunks(keyed.filter("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", "_of", "text"))
-    # The texts are cut before the explode, so that no row carries all lines of its document.
-    parts = F.filter(F.transform("_chunks", lambda x, i: F.when(x["n"] > 1, F.struct(i.alias("_pos"), _text(x["start"], x["n"]).alias("_text")))), lambda x: x.isNotNull())
+    others = [c for c in docs.columns if c not in ("doc_id", "text", *COUNTS)]
+    rest = F.struct(F.lit(0).alias("_none"), *[docs[f"`{c}`"] for c in others]).alias("_rest")
+    keyed = docs.select("doc_id", "text", rest).withColumn("_of", F.xxhash64("text"))
+    places = chunks(keyed.filter("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", "_of", "text"))
     # explode() would make Spark filter on the array's size before it is built, with every step of chunks() copied into the filter.
-    parted = parted.withColumn("_parts", parts).select("doc_id", "_of", F.explode_outer("_parts").alias("_part")).filter("_part IS NOT NULL").select("doc_id", "_of", "_part.*")
-    digest = [F.xxhash64("_text").alias("_h1"), F.xxhash64(F.lit(7), "_text").alias("_h2")]
-    places = stage(parted.select("doc_id", "_of", "_pos", *digest), "places")
-    # Equal digests count as equal chunks only where one text stands behind them: grouping by the text compares its bytes.
-    texts = parted.groupBy(*digest, "_text").agg(F.count("*").alias("_w"), F.min(F.struct("doc_id", "_of", "_pos")).alias("_keep"))
-    repeats = texts.groupBy("_h1", "_h2").agg(F.count("*").alias("_texts"), F.sum("_w").alias("_w"), F.min("_keep").alias("_keep"))
-    repeats = stage(repeats.filter("_texts = 1 AND _w > 1").drop("_texts"), "repeats")
-    cut = lookup_join(places, repeats, ["_h1", "_h2"], "_w", places.count(), F.xxhash64("doc_id", "_pos"))
-    cut = cut.filter(F.col("_keep").isNotNull() & (F.struct("doc_id", "_of", "_pos") != F.col("_keep")))
-    cut = cut.select(F.col("doc_id").alias("_id"), F.col("_of").alias("_id_of"), "_pos").groupBy("_id", "_id_of").agg(F.collect_set("_pos").alias("_cut"))
-    out = chunks(keyed.join(cut, (F.col("doc_id") == F.col("_id")) & (F.col("_of") == F.col("_id_of")), "left").drop("_id", "_id_of", "_of"))
-    nothing = F.array().cast("array<int>")
-    out = out.withColumn("_all", F.transform(F.coalesce("_chunks", F.array()), lambda x, i: i)).withColumn("_cut", F.coalesce("_cut", nothing))
-    out = out.withColumn("_left", F.array_except("_all", "_cut"))
-    kept = F.array_join(F.flatten(F.transform("_left", lambda i: F.slice("_lines", F.col("_chunks")[i]["start"] + 1, F.col("_chunks")[i]["n"]))), "\n")
+    places = places.select("doc_id", "_of", F.explode_outer("_chunks").alias("_x")).filter("_x IS NOT NULL").select("doc_id", "_of", "_x.*")
+    places = stage(places, "places")
+    first = F.min(F.struct("doc_id", "_of", "start")).alias("_keep")
+    repeats = stage(places.groupBy("h1", "h2").agg(F.count("*").alias("_w"), first).filter("_w > 1"), "repeats")
+    found = lookup_join(places, repeats, ["h1", "h2"], "_w", places.count(), F.xxhash64("doc_id", "start")).filter(F.col("_keep").isNotNull())
+    again = F.struct("doc_id", "_of", "start") != F.col("_keep")
+    of_doc = found.groupBy(F.col("doc_id").alias("_id"), F.col("_of").alias("_id_of")).agg(F.collect_set(F.struct("start", "n", "h1", "h2", again.alias("again"))).alias("_found"))
+    whole = keyed.filter("doc_id IS NOT NULL").join(of_doc, (F.col("doc_id") == F.col("_id")) & (F.col("_of") == F.col("_id_of")), "left").drop("_id", "_id_of", "_of")
+    whole = stage(whole.unionByName(keyed.filter("doc_id IS NULL").drop("_of"), allowMissingColumns=True), "found")
+    differ = _unequal(whole)
+    cut = F.filter(F.coalesce("_found", F.array()), lambda x: x["again"])
+    if differ is not None:  # two texts of one 128-bit hash: their chunks stay
+        whole = whole.withColumn("_row", F.monotonically_increasing_id())
+        bad = whole.select("_row", F.explode("_found").alias("x")).join(differ, (F.col("x.h1") == differ.h1) & (F.col("x.h2") == differ.h2)).groupBy(F.col("_row").alias("_bad_row")).agg(F.collect_set("x.start").alias("_bad"))
+        whole = whole.join(bad, F.col("_row") == F.col("_bad_row"), "left").drop("_row", "_bad_row")
+        cut = F.filter(cut, lambda x: ~F.coalesce(F.array_contains("_bad", x["start"]), F.lit(False)))
+    out = chunks(whole.withColumn("_cut", cut).drop("_found"))
+    out = out.withColumn("_gone", F.array_distinct(F.flatten(F.transform("_cut", lambda x: F.sequence(x["start"], x["start"] + x["n"] - 1)))))
+    out = out.withColumn("_left", F.array_except(F.transform(F.coalesce("_lines", F.array()), lambda x, i: i), "_gone"))
+    kept = F.array_join(F.transform("_left", lambda i: F.get("_lines", i)), "\n")
     n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size("_lines"))
-    cut_lines = F.aggregate(F.transform("_cut", lambda i: F.col("_chunks")[i]["n"]), F.lit(0), lambda a, b: a + b)
-    counts = [n_lines.cast("long").alias("_n_lines"), F.size("_all").cast("long").alias("_n_chunks"), F.size("_cut").cast("long").alias("_cut_chunks"), cut_lines.cast("long").alias("_cut_lines")]
-    return out.select(*[F.when(F.size("_cut") > 0, kept).otherwise(F.col("text")).alias(c) if c == "text" else c for c in docs.columns], *counts)
+    counts = [n_lines, F.size(F.coalesce("_chunks", F.array())), F.size("_cut"), F.size("_gone")]
+    named = {"doc_id": F.col("doc_id"), "text": F.when(F.size("_cut") > 0, kept).otherwise(F.col("text")).alias("text")} | {c: F.col("_rest").getField(c).alias(c) for c in others}
+    return out.select(*[named[c] for c in docs.columns if c in named], *[x.cast("long").alias(c) for x, c in zip(counts, COUNTS, strict=True)])
+
+
+def _unequal(whole: DataFrame) -> DataFrame | None:
+    """(h1, h2) of the repeated chunks whose bytes are not the same everywhere, or None: the least and the greatest text of each hash are compared."""
+    lines = whole.filter("_found IS NOT NULL").select(F.split("text", "\n", -1).alias("_lines"), F.explode("_found").alias("x"))
+    texts = lines.select("x.h1", "x.h2", F.array_join(F.slice("_lines", F.col("x.start") + 1, F.col("x.n")), "\n").alias("_text"))
+    differ = stage(texts.groupBy("h1", "h2").agg(F.min("_text").alias("a"), F.max("_text").alias("b")).filter("a != b").select("h1", "h2"), "differ")
+    return differ if differ.take(1) else None
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -85,16 +102,17 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP1_SQL = """
 WITH d AS (SELECT doc_id, text, coalesce(string_split(text, chr(10)), []) AS ls FROM documents),
-h AS (SELECT *, list_transform(ls, lambda x: ('0x' || substr(md5(x), 1, 8))::BIGINT) AS hs FROM d),
-r AS (SELECT *, list_transform(range(1, len(hs) + 1), lambda i: (CASE WHEN i > 1 THEN hs[i - 1] * 31 ELSE 0 END + hs[i]) % 1000003) AS rs FROM h),
-e AS (SELECT doc_id, text, ls, list_filter(range(1, len(ls) + 1), lambda i: i = len(ls) OR (i > 1 AND rs[i] < rs[i - 1] AND rs[i] <= rs[i + 1])) AS es FROM r),
-c AS (SELECT doc_id, ls, es, unnest(range(1, len(es) + 1)) AS k FROM e),
-t AS (SELECT doc_id, k, ls[CASE WHEN k > 1 THEN es[k - 1] + 1 ELSE 1 END:es[k]] AS part FROM c),
-m AS (SELECT doc_id, k, len(part) AS n, array_to_string(part, chr(10)) AS txt FROM t),
-n AS (SELECT *, n > 1 AND row_number() OVER (PARTITION BY txt, n > 1 ORDER BY doc_id, k) > 1 AS cut FROM m),
-g AS (SELECT doc_id, count(*) AS n_chunks, count(*) FILTER (cut) AS cut_chunks, coalesce(sum(n) FILTER (cut), 0)::BIGINT AS cut_lines,
-             string_agg(txt, chr(10) ORDER BY k) FILTER (NOT cut) AS left_text FROM n GROUP BY doc_id)
-SELECT e.doc_id, len(e.ls) AS n_lines, coalesce(n_chunks, 0) AS n_chunks, coalesce(cut_chunks, 0) AS cut_chunks, coalesce(cut_lines, 0) AS cut_lines,
+l AS (SELECT doc_id, unnest(ls) AS line, unnest(range(1, len(ls) + 1)) AS i FROM d),
+h AS (SELECT *, ('0x' || substr(md5(line), 1, 15))::BIGINT AS v FROM l),
+b AS (SELECT h.doc_id, h.i, k, (h.v >> k) & 1 AS bit FROM h, range(4) AS s(k)),
+p AS (SELECT doc_id, i AS s, lead(i) OVER (PARTITION BY doc_id, k, bit ORDER BY i) AS e FROM b),
+c AS (SELECT DISTINCT doc_id, s, e FROM p WHERE e IS NOT NULL),
+t AS (SELECT c.*, array_to_string(d.ls[c.s:c.e], chr(10)) AS txt, c.e - c.s + 1 AS n FROM c JOIN d USING (doc_id)),
+m AS (SELECT *, row_number() OVER (PARTITION BY txt, n ORDER BY doc_id, s) > 1 AS cut FROM t),
+g AS (SELECT DISTINCT doc_id, unnest(range(s, e + 1)) AS i FROM m WHERE cut),
+n AS (SELECT doc_id, count(*) AS n_chunks, count(*) FILTER (cut) AS cut_chunks FROM m GROUP BY doc_id),
+o AS (SELECT l.doc_id, count(g.i) AS cut_lines, string_agg(l.line, chr(10) ORDER BY l.i) FILTER (g.i IS NULL) AS left_text FROM l LEFT JOIN g USING (doc_id, i) GROUP BY l.doc_id)
+SELECT d.doc_id, len(d.ls) AS n_lines, coalesce(n_chunks, 0) AS n_chunks, coalesce(cut_chunks, 0) AS cut_chunks, coalesce(cut_lines, 0) AS cut_lines,
        length(coalesce(left_text, '')) AS n_chars, sha256(coalesce(left_text, '')) AS text_sha256
-FROM e LEFT JOIN g USING (doc_id)
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN o USING (doc_id)
 """

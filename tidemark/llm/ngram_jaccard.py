@@ -1,20 +1,25 @@
 """N-gram Jaccard join: near-duplicate documents by the Jaccard similarity of their sets of word shingles.
 
 The overlaps are entries of the product of the sparse document-by-shingle matrix with its transpose. The product is
-formed in blocks of columns (a shuffle partition holds all rows of its shingles), partial overlap counts are added up
-per pair, and pairs whose size or count cannot reach the threshold go. What bounds derived from the sizes rule out is not
-multiplied at all. Under any one order of shingles, two linked documents share at least ``common(n)`` shingles of their
-prefixes, the first n - ceil(0.8 n) + n // 10 + 1 of a set; the order puts rare shingles first, by a fixed-size table of
-counts over the whole corpus. The prefixes are then cut a second time, now by the exact number of rows of each column:
-a document keeps its rarest columns but for common(n) - 1, and most documents, which share fewer, keep none. Pairs left
-are verified on the texts. Equal sets are folded into one class first, and a first pass links each column's documents to
-a few hubs and merges what is similar, so that a large family of near copies costs links in proportion to its size; the
-product then runs on the pairs that are still apart, and misses none.
+formed in blocks of columns (a shuffle partition holds all rows of its shingles; a large column is cut into tiles), the
+overlap counts of a block are added up per pair, then over the blocks, and pairs whose sizes or counts cannot reach the
+threshold go. What bounds derived from the sizes rule out is not multiplied at all. Under any one order of shingles, two
+linked documents share at least ``common(n)`` shingles of their prefixes, the first n - ceil(0.8 n) + n // 10 + 1 of a
+set; the order puts rare shingles first, by a fixed-size table of counts over the whole corpus. The prefixes are then cut
+a second time, now by the number of rows of each column: a document keeps its rarest columns but for common(n) - 1, and
+most documents, which share fewer, keep none. Each set also has a sketch, the parities of its shingles in SKETCH * 64
+buckets: two sketches differ in no more bits than the sets differ in shingles, so pairs whose sketches differ in more
+than the sizes allow go before they are counted. Pairs left are verified on the texts, by 64-bit hashes of all shingles.
+
+Equal sets are folded into one class first, and passes before the product link each column's documents to a few hubs and
+merge what is similar, so that a large family of near copies costs links in proportion to its size; the product then runs
+on the pairs that are still apart, and misses none.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -26,8 +31,10 @@ from .common import components, discard, lookup_join, stage, table
 
 #: Counters of the corpus-wide table of shingle counts (fixed, whatever the input), and the parts they are summed in.
 COUNTERS, PARTS = 1 << 22, 64
-#: Hubs that each column's documents are linked to, in one pass after the other.
+#: Hubs that each column's documents are linked to, in one pass after the other, until a pass finds no link.
 HUBS = (3, 8, 12)
+#: Longs of a sketch. Entries of a column in one tile of the product; columns with more rows than FULL count as equally full.
+SKETCH, TILE, FULL = 8, 2048, 1 << 17
 
 
 def least_overlap(n: int, percent: int) -> int:
@@ -107,13 +114,13 @@ def shingle_ranks(docs: DataFrame, n: int) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """(doc_id, n_shingles, h1, h2: a 128-bit hash of the set, prefix: its rarest shingles) of every row."""
+    """(doc_id, n_shingles, h1, h2: a 128-bit hash of the set, prefix: its rarest shingles, sketch) of every row."""
     ranks = docs.sparkSession.sparkContext.broadcast(shingle_ranks(docs, n))
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rank = ranks.value
         for batch in batches:
-            sizes, h1, h2, prefixes = [], [], [], []
+            sizes, h1, h2, prefixes, sketches = [], [], [], [], []
             with np.errstate(over="ignore"):
                 for x in shingle_sets(batch.column("text"), n):
                     sizes.append(len(x))
@@ -122,15 +129,33 @@ def signatures(docs: DataFrame, n: int, percent: int) -> DataFrame:
                     m = len(x) - least_overlap(len(x), percent) + len(x) // 10 + 1 if len(x) else 0
                     order = np.argsort(rank[(x >> np.uint64(42)).astype(np.int64)], kind="stable")[:m]
                     prefixes.append(x[order].view(np.int64))
+                    odd = np.bincount((x & np.uint64(64 * SKETCH - 1)).astype(np.int64), minlength=64 * SKETCH) & 1
+                    sketches.append(np.packbits(odd.astype(np.uint8)).view(np.int64))
             ends = np.cumsum([0, *map(len, prefixes)])
             prefix = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *prefixes])))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), prefix], ["doc_id", "n_shingles", "h1", "h2", "prefix"])
+            sketch = pa.ListArray.from_arrays(pa.array(np.arange(0, SKETCH * len(sizes) + 1, SKETCH), pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *sketches])))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), prefix, sketch], ["doc_id", "n_shingles", "h1", "h2", "prefix", "sketch"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(sign, "doc_id long, n_shingles long, h1 long, h2 long, prefix array<long>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(sign, "doc_id long, n_shingles long, h1 long, h2 long, prefix array<long>, sketch array<long>")
+
+
+def _beside(pairs: DataFrame, of: DataFrame, *columns: str) -> DataFrame:
+    """The pairs (a, b) with the columns of their rows in ``of`` (id, ...). An ``a`` in very many pairs is dealt over all partitions; b is the end with few."""
+    salted = pairs.select("a", "b", F.pmod(F.xxhash64("b"), F.lit(1009)).alias("salt"))
+    needed = salted.select("a", "salt").distinct()
+    left = needed.join(of, needed.a == of.id).select("a", "salt", *[F.col(c).alias(f"{c}_a") for c in columns])
+    right = salted.join(of, salted.b == of.id).select("a", "b", "salt", *[F.col(c).alias(f"{c}_b") for c in columns])
+    return right.join(left, ["a", "salt"]).drop("salt")
+
+
+def _alike(n1: Column, s1: Column, n2: Column, s2: Column, percent: int) -> Column:
+    """Whether the sketches differ in no more bits than two linked sets of these sizes differ in shingles."""
+    bits = reduce(lambda a, b: a + b, [F.bit_count(s1[k].bitwiseXOR(s2[k])) for k in range(SKETCH)])
+    return bits * (100 + percent) <= (n1 + n2) * (100 - percent)
 
 
 def verified(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets are similar enough; texts: id, text. A document in very many pairs is dealt over all partitions."""
+    """The pairs (a, b) whose sets are similar enough; texts: id, text, n, sketch."""
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: tuple = (None, None)
@@ -145,11 +170,8 @@ def verified(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFr
                 keep.append(bool(both) and 100 * both >= percent * (len(a) + len(b) - both))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    salted = pairs.select("a", "b", F.pmod(F.xxhash64("b"), F.lit(1009)).alias("salt"))
-    needed = salted.select("a", "salt").distinct()
-    left = needed.join(texts, needed.a == texts.id).select("a", "salt", F.col("text").alias("text_a"))
-    right = salted.join(texts, salted.b == texts.id).select("a", "b", "salt", F.col("text").alias("text_b"))
-    return right.join(left, ["a", "salt"]).select("a", "b", "text_a", "text_b").mapInArrow(check, "a long, b long").distinct()
+    near = _beside(pairs, texts, "n", "sketch").filter(_alike(F.col("n_a"), F.col("sketch_a"), F.col("n_b"), F.col("sketch_b"), percent)).select("a", "b")
+    return _beside(near, texts, "text").select("a", "b", "text_a", "text_b").mapInArrow(check, "a long, b long").distinct()
 
 
 def jaccard_classes(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
@@ -160,61 +182,86 @@ def jaccard_classes(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
     texts have none and link with nothing. A null doc_id links with nothing and has a null component. Rows that repeat a
     doc_id are one node: their links are merged. No rows give no rows.
     """
-    signed = stage(signatures(docs, n, percent), "signatures")
+    made: list[DataFrame] = []
+
+    def kept(df: DataFrame, name: str) -> DataFrame:
+        made.append(stage(df, name))
+        return made[-1]
+
+    signed = kept(signatures(docs, n, percent), "signatures")
     total = signed.count()
     some = signed.filter("n_shingles > 0 AND doc_id IS NOT NULL")
-    classes = some.groupBy("n_shingles", "h1", "h2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("w"), F.first("prefix").alias("prefix"))
-    classes = stage(classes, "classes")
-    columns = stage(_indexed(_shared_columns(classes), percent), "columns")
-    # The only texts that verification can need, in one shuffle; most documents have no column left.
-    ids = columns.select(F.col("rep").alias("id")).distinct()
-    texts = stage(docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(ids, "id", "left_semi"), "texts")
+    keys = ["n_shingles", "h1", "h2"]
+    classes = kept(some.groupBy(*keys).agg(F.min("doc_id").alias("rep"), F.count("*").alias("w"), F.first("prefix").alias("prefix"), F.first("sketch").alias("sketch")), "classes")
+    rows = stage(signed.select("doc_id", *keys), "rows")
+    discard(made.pop(0))
+    columns = kept(_indexed(_shared_columns(classes), percent), "columns")
+    # Only documents with a column left can link; their texts are all that verification needs, in one shuffle.
+    ids = columns.select("rep").distinct()
+    sketches = kept(classes.join(ids, "rep", "left_semi").select(F.col("rep").alias("id"), F.col("n_shingles").alias("n"), "sketch"), "sketches")
+    of_class = kept(classes.select(*keys, "rep", "w"), "of_class")
+    discard(made.pop(0))
+    texts = kept(docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(sketches, "id"), "texts")
 
     links = linked = done = None
     for k in range(len(HUBS)):
         pairs = _hub_pairs(columns, linked, k, percent)
         if done is not None:
             pairs = pairs.join(done, ["a", "b"], "left_anti")
-        pairs = stage(pairs, "pairs")
-        if not pairs.take(1):
+        pairs = kept(pairs, "pairs")
+        got = kept(verified(pairs, texts, n, percent), "links")
+        if not got.take(1):
             break
-        got = stage(verified(pairs, texts, n, percent), "links")
         done = pairs if done is None else done.union(pairs)
         links = got if links is None else links.union(got)
-        linked = stage(components(links, "a", "b"), "linked")
-    rest = stage(_product_pairs(columns, linked, percent, done), "pairs")
+        linked = kept(components(links, "a", "b"), "linked")
+    made.append(rest := _product_pairs(columns, sketches, linked, percent, done))
     if rest.take(1):
-        got = stage(verified(rest, texts, n, percent), "links")
+        got = kept(verified(rest, texts, n, percent), "links")
         links = got if links is None else links.union(got)
     # Rows that repeat a doc_id may lie in several classes, and link them.
+    some = rows.filter("n_shingles > 0 AND doc_id IS NOT NULL")
     repeated = some.groupBy("doc_id").count().filter("count > 1").select("doc_id")
-    keys = ["n_shingles", "h1", "h2"]
-    extra = some.join(repeated, "doc_id", "left_semi").select("doc_id", *keys).distinct().join(classes.select("rep", *keys), keys).select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
+    extra = some.join(repeated, "doc_id", "left_semi").select("doc_id", *keys).distinct().join(of_class.select("rep", *keys), keys).select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     links = extra if links is None else links.select("a", "b").union(extra)
-    final = stage(components(links, "a", "b"), "final")
-    of_class = classes.select("n_shingles", "h1", "h2", "rep", "w").join(final, F.col("rep") == F.col("node"), "left").select("n_shingles", "h1", "h2", "w", F.coalesce("component", "rep").alias("component"))
-    out = lookup_join(signed.drop("prefix"), of_class, ["n_shingles", "h1", "h2"], "w", total, F.col("doc_id"))
+    final = kept(components(links, "a", "b"), "final")
+    known = stage(of_class.join(final, F.col("rep") == F.col("node"), "left").select(*keys, "w", F.coalesce("component", "rep").alias("component")), "known")
+    for x in made:
+        discard(x)
+    out = lookup_join(rows, known, keys, "w", total, F.col("doc_id"))
     own = F.when(F.col("n_shingles") == 0, F.col("doc_id")).when(F.col("doc_id").isNotNull(), F.col("component"))
     return out.select("doc_id", "n_shingles", own.alias("component_id"))
 
 
 def _shared_columns(classes: DataFrame) -> DataFrame:
-    """(shingle, n, rep, m): the entries of the prefix columns that hold m classes, two at least."""
+    """(shingle, n, rep, m): the entries of the prefix columns that hold m classes, two at least; m is FULL at most."""
 
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def counted(t: pa.Table, m: np.ndarray) -> Iterator[pa.RecordBatch]:
+            yield from t.append_column("m", pa.array(m, pa.int32())).filter(pa.array(m > 1)).to_batches()
+
         def emit(t: pa.Table, new: np.ndarray) -> Iterator[pa.RecordBatch]:
             m = np.diff(np.r_[new, len(t)])
-            m = np.repeat(m, m)
-            yield from t.append_column("m", pa.array(m, pa.int32())).filter(pa.array(m > 1)).to_batches()
+            yield from counted(t, np.minimum(np.repeat(m, m), FULL))
 
-        held = None  # the last column may go on in the next batch
+        held, full = None, None  # the last column may go on in the next batch; one that is known to be full is not held
         for batch in batches:
             t = pa.Table.from_batches([batch])
+            if full is not None:
+                more = int(np.searchsorted(t.column("shingle").to_numpy(), full, "right"))
+                yield from counted(t.slice(0, more), np.full(more, FULL))
+                t = t.slice(more)
+                if not len(t):
+                    continue
+                full = None
             t = pa.concat_tables([held, t]).combine_chunks() if held is not None else t
             s = t.column("shingle").to_numpy()
             new = np.flatnonzero(np.r_[True, s[1:] != s[:-1]])
             yield from emit(t.slice(0, int(new[-1])), new[:-1])
             held = t.slice(int(new[-1]))
+            if len(held) >= FULL:
+                yield from counted(held, np.full(len(held), FULL))
+                held, full = None, s[-1]
         if held is not None:
             yield from emit(held, np.zeros(1, np.int64))
 
@@ -234,14 +281,27 @@ def _indexed(columns: DataFrame, percent: int) -> DataFrame:
     return rows.select("x.shingle", "n", "rep", (F.col("s") - F.col("i")).alias("room"))
 
 
-def _possible(n1: Column, room1: Column, n2: Column, room2: Column, percent: int) -> Column:
-    """Whether two sets of these sizes can link if the prefix columns that they share are no more than either room."""
-    least = F.ceil((n1 + n2) * percent / (100 + percent) - 1e-9)
+def _beyond(n1: Column, n2: Column, percent: int) -> Column:
+    """Shingles that two sets of these sizes share outside of their prefixes, at most."""
 
     def beyond(n: Column) -> Column:
         return F.ceil(n * percent / 100) - F.floor(n / 10) - 1
 
-    return (F.least(n1, n2) * 100 >= F.greatest(n1, n2) * percent) & (F.least(room1, room2) + F.greatest(beyond(n1), beyond(n2)) >= least)
+    return F.greatest(beyond(n1), beyond(n2))
+
+
+def _needed(n1: Column, n2: Column, percent: int) -> Column:
+    """Shingles that two linked sets of these sizes share, at least."""
+    return F.ceil((n1 + n2) * percent / (100 + percent) - 1e-9)
+
+
+def _sized(n1: Column, n2: Column, percent: int) -> Column:
+    return F.least(n1, n2) * 100 >= F.greatest(n1, n2) * percent
+
+
+def _possible(n1: Column, room1: Column, n2: Column, room2: Column, percent: int) -> Column:
+    """Whether two sets of these sizes can link if the prefix columns that they share are no more than either room."""
+    return _sized(n1, n2, percent) & (F.least(room1, room2) + _beyond(n1, n2, percent) >= _needed(n1, n2, percent))
 
 
 def _apart(columns: DataFrame, linked: DataFrame | None) -> DataFrame:
@@ -271,19 +331,36 @@ def _hub_pairs(columns: DataFrame, linked: DataFrame | None, k: int, percent: in
     return out.filter(fits).select(F.col("hub.rep").alias("a"), F.col("rep").alias("b")).distinct()
 
 
-def _product_pairs(columns: DataFrame, linked: DataFrame | None, percent: int, done: DataFrame | None) -> DataFrame:
-    """The pairs of classes in different components whose overlap count over the prefix columns allows the threshold."""
+def _product_pairs(columns: DataFrame, sketches: DataFrame, linked: DataFrame | None, percent: int, done: DataFrame | None) -> DataFrame:
+    """The pairs of classes in different components whose overlap counts over the prefix columns allow the threshold.
+
+    A class left common(n) - 1 of its prefix columns out, so that what two classes share of their prefixes is no more
+    than the counted columns and those of both that are left out.
+    """
     entries = _apart(columns, linked)
-    mixed = entries.groupBy("shingle").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).filter("c0 != c1").select("shingle")
-    entries = stage(entries.join(mixed, "shingle", "left_semi"), "apart")
-    x, y = entries.alias("x"), entries.alias("y")
-    near = _possible(F.col("x.n"), F.col("x.room"), F.col("y.n"), F.col("y.room"), percent)
-    pairs = x.join(y, (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.rep") < F.col("y.rep")) & (F.col("x.component") != F.col("y.component")) & near)
-    pairs = pairs.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct()
-    if done is not None:
-        both = done.union(done.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        pairs = pairs.join(both, ["a", "b"], "left_anti")
-    return pairs
+    mixed = entries.groupBy("shingle").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.count("*").alias("m")).filter("c0 != c1")
+    mixed = stage(mixed.select("shingle", "m", F.lit(True).alias("mixed")), "mixed")
+    entries = lookup_join(entries, mixed, ["shingle"], "m", columns.count(), F.col("rep")).filter("mixed").drop("mixed")
+    entries = entries.join(sketches.select(F.col("id").alias("rep"), "sketch"), "rep")
+    entries = stage(entries.select("shingle", "rep", "n", "component", "m", *[F.get("sketch", k).alias(f"s{k}") for k in range(SKETCH)]), "apart")
+    tiles = F.ceil(F.col("m") / TILE).cast("int")
+    own = F.pmod(F.xxhash64("rep"), tiles).cast("int")
+    x = entries.withColumn("i", own).withColumn("j", F.explode(F.sequence(F.lit(0), tiles - 1))).alias("x")
+    y = entries.withColumn("j", own).withColumn("i", F.explode(F.sequence(F.lit(0), tiles - 1))).alias("y")
+    n1, n2 = F.col("x.n"), F.col("y.n")
+    near = _sized(n1, n2, percent) & _alike(n1, [F.col(f"x.s{k}") for k in range(SKETCH)], n2, [F.col(f"y.s{k}") for k in range(SKETCH)], percent)
+    same = [F.col(f"x.{c}") == F.col(f"y.{c}") for c in ("shingle", "i", "j")]
+    pairs = x.join(y, reduce(lambda a, b: a & b, same) & (F.col("x.rep") < F.col("y.rep")) & (F.col("x.component") != F.col("y.component")) & near)
+    counts = pairs.groupBy(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"), n1.alias("n1"), n2.alias("n2")).agg(F.count("*").alias("shared"))
+    n1, n2 = F.col("n1"), F.col("n2")
+    most = F.col("shared") + common(n1, percent) + common(n2, percent) - 2 + _beyond(n1, n2, percent)
+    out = counts.filter(most >= _needed(n1, n2, percent)).select("a", "b")
+    if done is not None:  # these were verified
+        out = out.join(done.union(done.select("b", "a")), ["a", "b"], "left_anti")
+    out = stage(out, "counted")
+    for made in (mixed, entries):
+        discard(made)
+    return out
 
 
 def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

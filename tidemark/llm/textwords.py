@@ -5,6 +5,7 @@ A word is a run of bytes other than [\\x20\\x09-\\x0D]; its hash ignores the cas
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,23 +14,13 @@ import pyarrow.compute as pc
 
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
-_BASE = 0x9E3779B97F4A7C15 | 1
-_INVERSE = pow(_BASE, -1, 1 << 64)
-#: A random value per byte, the same for both cases of a letter.
-_VALUE = np.random.default_rng(20240607).integers(0, 1 << 64, 256, dtype=np.uint64)
-_VALUE[65:91] = _VALUE[97:123]
-#: Bytes hashed at once.
-BLOCK = 1 << 20
-
-
-def _powers(base: int, n: int) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        out = np.full(n, base, np.uint64)
-        out[0] = 1
-        return np.cumprod(out)
-
-
-_UP, _DOWN = _powers(_BASE, BLOCK), _powers(_INVERSE, BLOCK)
+#: A-Z as a-z, all other bytes as they are.
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] = LOWER[97:123]
+#: Words of more bytes are hashed one by one.
+LONG = 1024
+_MASK = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+_KEYS = np.random.default_rng(20240607).integers(0, 1 << 64, LONG // 8 + 1, dtype=np.uint64)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -81,21 +72,23 @@ def boundaries(data: np.ndarray, at: np.ndarray, space: np.ndarray = SPACE) -> t
 
 
 def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """The hash of each word: a polynomial of its bytes, read off a running sum."""
-    out = np.empty(len(starts), np.uint64)
-    first = 0
-    with np.errstate(over="ignore"):
-        while first < len(starts):
-            base = starts[first]
-            last = max(first + 1, int(np.searchsorted(ends, base + BLOCK, "right")))
-            size = int(ends[last - 1] - base)
-            up, down = (_UP, _DOWN) if size <= BLOCK else (_powers(_BASE, size), _powers(_INVERSE, size))
-            total = np.zeros(size + 1, np.uint64)
-            np.cumsum(_VALUE[data[base : base + size]] * up[:size], out=total[1:])
-            s, e = starts[first:last] - base, ends[first:last] - base
-            out[first:last] = (total[e] - total[s]) * down[s]
-            first = last
-        return mix(out)
+    """The hash of each word, from its length and eight bytes after the other through a keyed mix; no polynomial, which some pairs of words defeat."""
+    size = ends - starts
+    out = mix(size.astype(np.uint64))
+    low = np.concatenate([LOWER[data], np.zeros(8, np.uint8)])
+    eight = np.ndarray(len(low) - 7, "<u8", low, strides=(1,))  # the eight bytes from each place on
+    some = np.flatnonzero(size <= LONG)
+    for k in range(LONG // 8):
+        if k:
+            some = some[size[some] > 8 * k]
+        if not len(some):
+            break
+        part = eight[starts[some] + 8 * k] & _MASK[np.minimum(size[some] - 8 * k, 8)]
+        out[some] = mix(out[some] + (part ^ _KEYS[k]))
+    for i in np.flatnonzero(size > LONG):
+        digest = hashlib.blake2b(low[starts[i] : ends[i]].tobytes(), digest_size=8).digest()
+        out[i : i + 1] = mix(out[i : i + 1] ^ np.uint64(int.from_bytes(digest, "little")))
+    return out
 
 
 def ngram_hashes(words: np.ndarray, n: int) -> np.ndarray:
