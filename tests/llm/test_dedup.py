@@ -106,13 +106,13 @@ def test_short_passages_in_foreign_lines(spark):
 
 
 def test_lines_of_equal_hash_stay(spark, monkeypatch):
-    """Chunks whose hashes agree but not their bytes are no repeats."""
+    """Lines whose hashes agree but not their bytes are no repeats."""
     from pyspark.sql import functions as F
 
-    monkeypatch.setattr(line_dedup.F, "xxhash64", lambda *x: F.lit(5).cast("long"))
-    rows = [(1, "a\nb"), (2, "c\nd"), (3, "a\nb")]
+    monkeypatch.setattr(line_dedup, "line_hashes", lambda text: F.transform(F.split(text, "\n", -1), lambda x: F.length(x).cast("long")))
+    rows = [(1, "a\nb"), (2, "c\nd"), (3, "a\nb"), (4, "xxx\nyyyyy"), (5, "xxx\nyyyyy")]
     out = {r.doc_id: r.text for r in line_dedup.dedup_lines(frame(spark, rows)).collect()}
-    assert out == dict(rows)
+    assert out == dict(rows) | {5: ""}
 
 
 def test_lines_nulls_and_columns(spark):

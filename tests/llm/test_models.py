@@ -136,9 +136,9 @@ def plain_distance(item, words):
 
 def test_leaks_match_brute_force(spark):
     rng = random.Random(8)
-    items = [[f"i{k}x{rng.randrange(50)}" for _ in range(rng.randint(3, 45))] for k in range(12)]
+    items = [[f"i{k}x{rng.randrange(50)}" for _ in range(n)] for k, n in enumerate([1, 2, 3, 5, 5, 6, 9, 10, 14, 20, 31, 45])]
     docs = []
-    for i in range(120):
+    for i in range(240):
         words = [f"p{rng.randrange(2000)}" for _ in range(rng.randint(0, 80))]
         if i % 2:
             leak = list(rng.choice(items))
@@ -148,23 +148,50 @@ def test_leaks_match_brute_force(spark):
                 leak = leak or ["gone"]
             words[len(words) // 2 : len(words) // 2] = leak
         docs.append((i, " ".join(words)))
-    docs += [(500, None), (501, ""), (502, "the " * 400)]
+    docs += [(500, None), (501, ""), (502, "the " * 400), (503, "he said two words only"), (504, "word " * 200_000)]
     bench = [(k, " ".join(x)) for k, x in enumerate(items)] + [(90, None), (91, "two words"), (92, "the the the the the")]
     got = {(r.doc_id, r.item_id): r.distance for r in decontaminate.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(bench, "item_id long, text string")).collect()}
     want = {}
     for i, text in docs:
         for k, item in bench:
             words = (item or "").split()
-            if len(words) >= 3:
-                most = min(int(0.2 * len(words) + 1e-9), len(words) // 3 - 1)
-                d = plain_distance(words, (text or "").split())
-                if d <= most:
-                    want[i, k] = d
+            d = plain_distance(words, (text or "").split())
+            if words and d <= int(0.2 * len(words) + 1e-9):
+                want[i, k] = d
     assert set(got) <= set(want)
     assert len(got) >= 0.97 * len(want) and len(want) > 30
     assert np.mean([got[k] == want[k] for k in got]) > 0.95
 
 
+def test_leaks_in_scripts_without_spaces(spark):
+    item = "人工知能は質問に答えるために文章を読む機械である"
+    docs = [(1, f"ところで{item}。"), (2, f"ところで{item[:10]}と{item[11:]}"), (3, "まったく別の文章がここにある"), (4, "mixed 人工 text")]
+    bench = spark.createDataFrame([(1, item, 3)], "item_id long, text string, doc_id long")
+    got = decontaminate.leaks(spark.createDataFrame([(i, t, 7) for i, t in docs], "doc_id long, text string, item_id long"), bench).collect()
+    assert {(r.doc_id, r.distance) for r in got} == {(1, 0), (2, 1)}
+    words, first = next(decontaminate.words_of(pa.array(["mixed 人工text, x", ""])))
+    assert first.tolist() == [0, 5, 5]
+
+
+def test_lsh_alone_reaches_its_recall():
+    """Windows at every place and no seeds: items at the full number of edits meet in some hash."""
+    rng = np.random.default_rng(4)
+    met = 0
+    for _ in range(400):
+        m = int(rng.integers(12, 40))
+        item = rng.integers(0, 1 << 62, m).astype(np.uint64)
+        words = item.tolist()
+        for _ in range(int(0.2 * m)):
+            at, how = int(rng.integers(len(words))), int(rng.integers(3))
+            new = int(rng.integers(0, 1 << 62))
+            words[at : at + 1] = [[], [new], [words[at], new]][how]
+        text = np.concatenate([rng.integers(0, 1 << 62, 20), np.array(words, np.int64), rng.integers(0, 1 << 62, 20)]).astype(np.uint64)
+        samples = decontaminate.samples_for(0.99)
+        keys = decontaminate.lsh_keys(np.lib.stride_tricks.sliding_window_view(text, m), samples)
+        met += bool((keys == decontaminate.lsh_keys(item[None], samples)).any())
+    assert met >= 0.99 * 400
+
+
 def test_cgk_keeps_equal_rows_together():
     x = np.random.default_rng(1).integers(0, 1 << 62, (3, 20)).astype(np.uint64)
     keys = decontaminate.lsh_keys(np.concatenate([x, x]), 12)

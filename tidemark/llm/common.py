@@ -12,6 +12,14 @@ from pyspark.sql import functions as F
 HOT = 2000
 
 
+def free_name(base: str, columns: list[str]) -> str:
+    """base, with underscores added until no column has that name in any case."""
+    taken = {c.lower() for c in columns}
+    while base.lower() in taken:
+        base += "_"
+    return base
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

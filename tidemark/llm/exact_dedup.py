@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import lookup_join, stage, table
+from .common import discard, lookup_join, stage, table
 
 #: The white space that does not count: space, \\t, \\n, \\v, \\f, \\r.
 SPACES = " \t\n\x0b\x0c\r"
@@ -36,39 +36,58 @@ class DigestIndex:
         return self.spark.table(self.name)
 
     def unseen(self, groups: DataFrame) -> DataFrame:
-        """The groups whose digest the index lacks: both sides are sorted by digest, so this merges without moving the index."""
+        """The groups whose digest the index lacks, by a merge of its buckets: the index is not shuffled; Spark sorts a bucket again once it has several files."""
         return groups.join(self.rows().select("digest").hint("merge"), "digest", "left_anti")
 
+    def drop(self) -> None:
+        """Remove the table; its rows too, if it lies in the warehouse."""
+        self.spark.sql(f"DROP TABLE {self.name}")
+
     def append(self, groups: DataFrame) -> None:
         new = groups.select("digest", "keep_id", "keep_chars")
         new.repartition(self.buckets, "digest").sortWithinPartitions("digest").write.insertInto(self.name)
 
 
+def digests(docs: DataFrame) -> DataFrame:
+    """(doc_id, digest of the text without white space, n_chars of the text) of every row."""
+    return docs.select("doc_id", F.unhex(F.sha2(normal_text(F.col("text")).cast("binary"), 256)).alias("digest"), F.length(F.coalesce("text", F.lit(""))).alias("n_chars"))
+
+
 def exact_dedup(docs: DataFrame, index: DigestIndex) -> DataFrame:
     """Deduplicate a load of documents within itself and against the index, then append what is new.
 
     Returns per row: doc_id, keep_id, group_size (rows of this load with that text), kept, text_sha256. Of equal texts
     in a load the row with the most code points, then the smallest doc_id stays; a text that the index already has keeps
-    the index's keep_id, and the whole group of the load is dropped. A null text counts as empty, a null doc_id ranks
-    after all others of its length. Rows that repeat a doc_id with the same text are one group: each counts in group_size
-    and each that carries keep_id is kept. Other columns, whatever their names, are not read. An empty load returns no rows.
+    the index's keep_id, and of the load only rows with that doc_id are kept: a load that is run again gives the same
+    rows and appends nothing. A null text counts as empty, a null doc_id ranks after all others of its length. Rows that
+    repeat a doc_id with the same text are one group: each counts in group_size and each that carries keep_id is kept.
+    Other columns, whatever their names, are not read. An empty load returns no rows.
     """
-    digests = docs.select("doc_id", F.unhex(F.sha2(normal_text(F.col("text")).cast("binary"), 256)).alias("digest"), F.length(F.coalesce("text", F.lit(""))).alias("n_chars"))
-    digests = stage(digests, "digests")
+    return load(stage(digests(docs), "digests"), index)
+
+
+def load(rows: DataFrame, index: DigestIndex) -> DataFrame:
+    """exact_dedup of rows that digests() made."""
     best = F.min(F.struct((-F.col("n_chars")).alias("less"), F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id")))
-    groups = stage(digests.groupBy("digest").agg(best.alias("best"), F.count("*").alias("group_size")).select("digest", F.col("best.id").alias("keep_id"), (-F.col("best.less")).alias("keep_chars"), "group_size"), "groups")
+    groups = stage(rows.groupBy("digest").agg(best.alias("best"), F.count("*").alias("group_size")).select("digest", F.col("best.id").alias("keep_id"), (-F.col("best.less")).alias("keep_chars"), "group_size"), "groups")
     new = stage(index.unseen(groups), "unseen")
-    old = groups.join(index.rows().select("digest", F.col("keep_id").alias("old_id")).hint("merge"), "digest", "left")
-    known = stage(old.select("digest", F.coalesce("old_id", "keep_id").alias("keep_id"), F.col("old_id").isNull().alias("is_new"), "group_size"), "known")
+    old = groups.join(index.rows().select("digest", F.col("keep_id").alias("old_id"), F.lit(True).alias("old")).hint("merge"), "digest", "left")
+    known = stage(old.select("digest", F.when(F.col("old"), F.col("old_id")).otherwise(F.col("keep_id")).alias("keep_id"), "group_size"), "known")
     index.append(new)
-    out = lookup_join(digests, known, ["digest"], "group_size", digests.count(), F.col("doc_id"))
-    kept = F.col("is_new") & F.col("doc_id").eqNullSafe(F.col("keep_id"))
-    return out.select("doc_id", "keep_id", "group_size", kept.alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
+    for made in (groups, new):
+        discard(made)
+    out = lookup_join(rows, known, ["digest"], "group_size", rows.count(), F.col("doc_id"))
+    return out.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
 
 
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in two loads by digest, so that equal texts come together and the second load probes a filled index; the index goes at the end."""
     index = DigestIndex(spark, f"digest_index_{uuid.uuid4().hex}")
-    return exact_dedup(table(spark, sf_dir, "documents"), index)
+    rows = stage(digests(table(spark, sf_dir, "documents")), "digests")
+    half = F.pmod(F.xxhash64("digest"), F.lit(2))
+    out = load(rows.filter(half == 0), index).union(load(rows.filter(half == 1), index))
+    index.drop()
+    return out
 
 
 OP6_SQL = r"""

@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import free_name
+
 #: From this score on a document is predicted to have label 1.
 THRESHOLD = 0.7
 
@@ -41,15 +43,17 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, unseen: Column
     return x, got.column("y").to_numpy().astype(np.float64)
 
 
-def score_rows(docs: DataFrame, scores: Callable[[pa.Array], np.ndarray], columns: list[str]) -> DataFrame:
-    """The given columns of docs with ``score``, the function's value for each text."""
+def score_rows(docs: DataFrame, scores: Callable[[pa.Array], np.ndarray], columns: list[str], name: str = "score") -> DataFrame:
+    """The given columns of docs and, as ``name``, the function's value for each text; a column of docs with that name is left out."""
+    columns = [c for c in columns if c != name]
+    text = free_name("_text", columns)
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), pa.array(scores(batch.column("_text")), pa.float64())], [*columns, "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(scores(batch.column(len(columns))), pa.float64())], [*columns, name])
 
-    schema = docs.select(*columns).schema.add("score", "double")
-    return docs.select(*columns, F.col("text").alias("_text")).mapInArrow(add, schema)
+    own = [docs[f"`{c}`"] for c in columns]
+    return docs.select(*own, docs["text"].alias(text)).mapInArrow(add, docs.select(*own).schema.add(name, "double"))
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:

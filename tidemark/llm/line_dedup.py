@@ -20,30 +20,70 @@ SETS = 4
 COUNTS = ("_n_lines", "_n_chunks", "_cut_chunks", "_cut_lines")
 
 
-def chunks(docs: DataFrame) -> DataFrame:
-    """docs with _lines and _chunks: an array of (start, n, h1, h2: a 128-bit hash of its lines). Null texts have none."""
-    step = docs.withColumn("_lines", F.split("text", "\n", -1))
-    step = step.withColumn("_hash", F.transform("_lines", lambda x: F.conv(F.substring(F.md5(x.cast("binary")), 1, 15), 16, 10).cast("long")))
+def line_hashes(text: str) -> Column:
+    """60 bits of the MD5 of each line."""
+    return F.transform(F.split(text, "\n", -1), lambda x: F.conv(F.substring(F.md5(x.cast("binary")), 1, 15), 16, 10).cast("long"))
+
+
+def add_chunks(docs: DataFrame) -> DataFrame:
+    """docs with _chunks, from their _hashes: an array of start << 31 | end, places of the two bounding lines of each chunk."""
 
     def neighbours(k: int, bit: int) -> Column:
         def of_class(x: Column, i: Column) -> Column:
             return F.when(F.shiftright(x, k).bitwiseAND(F.lit(1)) == bit, i.cast("long"))
 
-        at = F.filter(F.transform("_hash", of_class), lambda i: i.isNotNull())
+        at = F.filter(F.transform("_hashes", of_class), lambda i: i.isNotNull())
         n = F.greatest(F.size(at) - 1, F.lit(0))
         return F.zip_with(F.slice(at, F.lit(1), n), F.slice(at, F.lit(2), n), lambda a, b: F.shiftleft(a, 31) + b)
 
-    step = step.withColumns({f"_n{k}{bit}": neighbours(k, bit) for k in range(SETS) for bit in (0, 1)})
-    step = step.withColumn("_pairs", F.array_distinct(F.concat(*[f"_n{k}{bit}" for k in range(SETS) for bit in (0, 1)])))
+    each = {f"_n{k}{bit}": neighbours(k, bit) for k in range(SETS) for bit in (0, 1)}
+    return docs.withColumns(each).withColumn("_chunks", F.array_distinct(F.concat(*each))).drop(*each)
+
+
+def _start(chunk: Column) -> Column:
+    return F.shiftright(chunk, 31).cast("int")
+
 
-    def chunk(x: Column) -> Column:
-        start = F.shiftright(x, 31).cast("int")
-        n = (x - F.shiftleft(F.shiftright(x, 31), 31) - F.shiftright(x, 31) + 1).cast("int")
-        own = F.slice("_hash", start + 1, n)
-        return F.struct(start.alias("start"), n.alias("n"), F.xxhash64(own).alias("h1"), F.xxhash64(F.lit(7), own).alias("h2"))
+def _end(chunk: Column) -> Column:
+    return (chunk - F.shiftleft(F.shiftright(chunk, 31), 31)).cast("int")
 
-    step = step.withColumn("_chunks", F.transform("_pairs", chunk))
-    return step.select(*docs.columns, "_lines", "_chunks")
+
+def _exploded(df: DataFrame, array: str, *columns: str) -> DataFrame:
+    """A row per element, as _x. explode() would make Spark filter on the array's size before it is built, with every step before copied into the filter."""
+    return df.select(*columns, F.explode_outer(array).alias("_x")).filter("_x IS NOT NULL")
+
+
+def repeated_chunks(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(the documents' _id, _id_of, _n_chunks and _found: their repeated chunks (start, end, again: whether it came up before); the hashes of the lines in them).
+
+    docs: doc_id, _of, text, none null. Only chunks whose bounding lines both repeat are hashed and compared.
+    """
+    lined = add_chunks(docs.select("doc_id", "_of", line_hashes("text").alias("_hashes")))
+    lined = stage(lined, "lined")
+    lines = lined.select("doc_id", "_of", F.posexplode("_hashes").alias("_at", "_line"))
+    twice = stage(lines.groupBy("_line").agg(F.count("*").alias("_w")).filter("_w > 1"), "twice")
+    total = lined.agg(F.sum(F.size("_hashes"))).first()[0] or 0
+    known = lookup_join(lines, twice, ["_line"], "_w", total, F.xxhash64("doc_id", "_at")).filter("_w IS NOT NULL")
+    known = known.groupBy("doc_id", "_of").agg(F.array_sort(F.collect_set("_at")).alias("_rep"))
+    n = F.greatest(F.size("_rep") - 1, F.lit(0))
+    gaps = F.zip_with("_rep", F.concat(F.array(F.lit(-1)), F.slice("_rep", F.lit(1), n)), lambda at, was: at - was - 1)
+    flags = F.flatten(F.transform(gaps, lambda g: F.concat(F.array_repeat(F.lit(False), g), F.array(F.lit(True)))))
+    some = lined.join(known.filter(F.size("_rep") > 1), ["doc_id", "_of"]).withColumn("_flag", flags)
+    some = some.withColumn("_chunks", F.filter("_chunks", lambda x: F.coalesce(F.get("_flag", _start(x)) & F.get("_flag", _end(x)), F.lit(False))))
+    own = F.slice("_hashes", _start(F.col("_x")) + 1, _end(F.col("_x")) - _start(F.col("_x")) + 1)
+    places = _exploded(some, "_chunks", "doc_id", "_of", "_hashes").select("doc_id", "_of", "_x", own.alias("_own"))
+    places = stage(places.select("doc_id", "_of", "_x", "_own", F.xxhash64("_own").alias("h1"), F.xxhash64(F.lit(7), "_own").alias("h2")), "places")
+    first = F.min(F.struct("doc_id", "_of", "_x")).alias("_keep")
+    groups = places.groupBy("h1", "h2").agg(F.count("*").alias("_w"), first, F.min("_own").alias("_a"), F.max("_own").alias("_b"))
+    repeats = stage(groups.filter("_w > 1 AND _a = _b").drop("_a", "_b"), "repeats")
+    found = lookup_join(places, repeats, ["h1", "h2"], "_w", places.count(), F.xxhash64("doc_id", "_x")).filter(F.col("_keep").isNotNull())
+    again = F.struct("doc_id", "_of", "_x") != F.col("_keep")
+    found = stage(found.select("doc_id", "_of", "_own", F.struct(_start(F.col("_x")).alias("start"), _end(F.col("_x")).alias("end"), again.alias("again")).alias("_chunk")), "found")
+    hashes = found.select(F.explode("_own").alias("_line")).distinct()
+    of_doc = found.groupBy("doc_id", "_of").agg(F.collect_set("_chunk").alias("_found"))
+    counts = lined.select(F.col("doc_id").alias("_id"), F.col("_of").alias("_id_of"), F.size("_chunks").alias("_n_chunks")).dropDuplicates(["_id", "_id_of"])
+    of_doc = counts.join(of_doc, (F.col("_id") == F.col("doc_id")) & (F.col("_id_of") == F.col("_of")), "left").select("_id", "_id_of", "_n_chunks", "_found")
+    return of_doc, hashes
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
@@ -58,39 +98,31 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     others = [c for c in docs.columns if c not in ("doc_id", "text", *COUNTS)]
     rest = F.struct(F.lit(0).alias("_none"), *[docs[f"`{c}`"] for c in others]).alias("_rest")
     keyed = docs.select("doc_id", "text", rest).withColumn("_of", F.xxhash64("text"))
-    places = chunks(keyed.filter("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", "_of", "text"))
-    # explode() would make Spark filter on the array's size before it is built, with every step of chunks() copied into the filter.
-    places = places.select("doc_id", "_of", F.explode_outer("_chunks").alias("_x")).filter("_x IS NOT NULL").select("doc_id", "_of", "_x.*")
-    places = stage(places, "places")
-    first = F.min(F.struct("doc_id", "_of", "start")).alias("_keep")
-    repeats = stage(places.groupBy("h1", "h2").agg(F.count("*").alias("_w"), first).filter("_w > 1"), "repeats")
-    found = lookup_join(places, repeats, ["h1", "h2"], "_w", places.count(), F.xxhash64("doc_id", "start")).filter(F.col("_keep").isNotNull())
-    again = F.struct("doc_id", "_of", "start") != F.col("_keep")
-    of_doc = found.groupBy(F.col("doc_id").alias("_id"), F.col("_of").alias("_id_of")).agg(F.collect_set(F.struct("start", "n", "h1", "h2", again.alias("again"))).alias("_found"))
+    of_doc, hashes = repeated_chunks(keyed.filter("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", "_of", "text"))
     whole = keyed.filter("doc_id IS NOT NULL").join(of_doc, (F.col("doc_id") == F.col("_id")) & (F.col("_of") == F.col("_id_of")), "left").drop("_id", "_id_of", "_of")
-    whole = stage(whole.unionByName(keyed.filter("doc_id IS NULL").drop("_of"), allowMissingColumns=True), "found")
-    differ = _unequal(whole)
+    whole = stage(whole.unionByName(keyed.filter("doc_id IS NULL").drop("_of"), allowMissingColumns=True), "whole")
     cut = F.filter(F.coalesce("_found", F.array()), lambda x: x["again"])
-    if differ is not None:  # two texts of one 128-bit hash: their chunks stay
+    differ = _unequal(whole, hashes)
+    if differ is not None:  # lines of one hash and other bytes: chunks with such lines stay
         whole = whole.withColumn("_row", F.monotonically_increasing_id())
-        bad = whole.select("_row", F.explode("_found").alias("x")).join(differ, (F.col("x.h1") == differ.h1) & (F.col("x.h2") == differ.h2)).groupBy(F.col("_row").alias("_bad_row")).agg(F.collect_set("x.start").alias("_bad"))
+        bad = whole.select("_row", F.posexplode(line_hashes("text")).alias("_at", "_line")).join(differ, "_line", "left_semi").groupBy(F.col("_row").alias("_bad_row")).agg(F.collect_set("_at").alias("_bad"))
         whole = whole.join(bad, F.col("_row") == F.col("_bad_row"), "left").drop("_row", "_bad_row")
-        cut = F.filter(cut, lambda x: ~F.coalesce(F.array_contains("_bad", x["start"]), F.lit(False)))
-    out = chunks(whole.withColumn("_cut", cut).drop("_found"))
-    out = out.withColumn("_gone", F.array_distinct(F.flatten(F.transform("_cut", lambda x: F.sequence(x["start"], x["start"] + x["n"] - 1)))))
+        cut = F.filter(cut, lambda x: ~F.exists(F.coalesce("_bad", F.array()), lambda i: (i >= x["start"]) & (i <= x["end"])))
+    out = whole.withColumn("_lines", F.split("text", "\n", -1)).withColumn("_cut", cut)
+    out = out.withColumn("_gone", F.array_distinct(F.flatten(F.transform("_cut", lambda x: F.sequence(x["start"], x["end"])))))
     out = out.withColumn("_left", F.array_except(F.transform(F.coalesce("_lines", F.array()), lambda x, i: i), "_gone"))
     kept = F.array_join(F.transform("_left", lambda i: F.get("_lines", i)), "\n")
     n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size("_lines"))
-    counts = [n_lines, F.size(F.coalesce("_chunks", F.array())), F.size("_cut"), F.size("_gone")]
+    counts = [n_lines, F.coalesce("_n_chunks", F.lit(0)), F.size("_cut"), F.size("_gone")]
     named = {"doc_id": F.col("doc_id"), "text": F.when(F.size("_cut") > 0, kept).otherwise(F.col("text")).alias("text")} | {c: F.col("_rest").getField(c).alias(c) for c in others}
     return out.select(*[named[c] for c in docs.columns if c in named], *[x.cast("long").alias(c) for x, c in zip(counts, COUNTS, strict=True)])
 
 
-def _unequal(whole: DataFrame) -> DataFrame | None:
-    """(h1, h2) of the repeated chunks whose bytes are not the same everywhere, or None: the least and the greatest text of each hash are compared."""
-    lines = whole.filter("_found IS NOT NULL").select(F.split("text", "\n", -1).alias("_lines"), F.explode("_found").alias("x"))
-    texts = lines.select("x.h1", "x.h2", F.array_join(F.slice("_lines", F.col("x.start") + 1, F.col("x.n")), "\n").alias("_text"))
-    differ = stage(texts.groupBy("h1", "h2").agg(F.min("_text").alias("a"), F.max("_text").alias("b")).filter("a != b").select("h1", "h2"), "differ")
+def _unequal(whole: DataFrame, hashes: DataFrame) -> DataFrame | None:
+    """The hashes of lines in repeated chunks behind which more than one text stands, or None: the least and the greatest line of each hash are compared by their bytes."""
+    lines = whole.filter("_found IS NOT NULL").select(F.explode(F.arrays_zip(F.split("text", "\n", -1).alias("text"), line_hashes("text").alias("hash"))).alias("x"))
+    texts = lines.groupBy(F.col("x.hash").alias("_line")).agg(F.min("x.text").alias("a"), F.max("x.text").alias("b")).filter("a != b")
+    differ = stage(texts.select("_line").join(hashes, "_line", "left_semi"), "differ")
     return differ if differ.take(1) else None
 
 

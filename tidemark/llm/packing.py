@@ -162,12 +162,15 @@ class WordTokens:
             self.parts[p] = struct.pack(f"<{len(ids)}I", *ids)
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 2, limits: Limits = Limits()) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 2, limits: Limits = Limits(), response: str | None = None) -> DataFrame:
     """Tokenise docs (doc_id, text; other columns are not read), add end_id and pack, one row per piece.
 
-    Columns: doc_id, start (ids of the document before it), length, ids_crc32, doc_tokens, sequence_id, offset. All ids bear
-    loss. Null and empty texts are the end id alone; null doc_ids and repeated rows are packed like others. sequence_id
-    holds the partition and a running number, so a task that runs again gives the same ids. No rows give no rows.
+    Columns: doc_id, start (ids of the document before it), length, ids_crc32, doc_tokens, sequence_id, offset. Without
+    ``response`` all ids bear loss, so that the limits on tokens and loss tokens are one. With it, each row is an
+    instruction: ``text`` is the prompt, the column of that name the answer that follows, and only the answer's ids and
+    the end id bear loss, so that all three limits count. Null and empty texts are the end id alone; null doc_ids and
+    repeated rows are packed like others. sequence_id holds the partition and a running number, so a task that runs again
+    gives the same ids. No rows give no rows.
     """
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -195,9 +198,10 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 2, limits: Lim
             for at in range(0, batch.num_rows, 64):
                 part = batch.slice(at, 64)
                 texts = [x or "" for x in part.column("text").to_pylist()]
-                for doc_id, ids in zip(part.column("doc_id").to_pylist(), words.encode(texts), strict=True):
-                    ids += end
-                    for pieces in packer.add((doc_id, ids), len(ids) // 4, len(ids) // 4):
+                answers = words.encode([x or "" for x in part.column("response").to_pylist()]) if response else [b""] * len(texts)
+                for doc_id, ids, answer in zip(part.column("doc_id").to_pylist(), words.encode(texts), answers, strict=True):
+                    ids += answer + end
+                    for pieces in packer.add((doc_id, ids), len(ids) // 4, (len(answer) + 4 if response else len(ids)) // 4):
                         place(pieces)
             if len(rows) > 10_000:
                 yield flush()
@@ -206,7 +210,8 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 2, limits: Lim
         if rows:
             yield flush()
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(pack, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *([docs[f"`{response}`"].alias("response")] if response else []))
+    return rows.mapInArrow(pack, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
 
 
 def default_tokenizer() -> str:

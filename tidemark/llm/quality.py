@@ -97,13 +97,13 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = ROWS) -> SubwordModel:
     return fit(*training_rows(docs, labels, "quality", held_out(4, 2), rows, _counted))
 
 
-def quality_scores(docs: DataFrame, labels: DataFrame, columns: list[str]) -> DataFrame:
-    """The given columns of every row of docs, and its score from 0 to 1 (higher: likelier good).
+def quality_scores(docs: DataFrame, labels: DataFrame, columns: list[str], name: str = "score") -> DataFrame:
+    """The given columns of every row of docs, and as ``name`` its score from 0 to 1 (higher: likelier good).
 
     A null or empty text gets the score of the bias alone. Only ``text`` is scored; without labelled rows every score is 0.5.
     """
     model = docs.sparkSession.sparkContext.broadcast(train(docs, labels))
-    return score_rows(docs, lambda column: model.value.scores(column), columns)
+    return score_rows(docs, lambda column: model.value.scores(column), columns, name)
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

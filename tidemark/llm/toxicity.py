@@ -121,14 +121,14 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = ROWS) -> Factorization
     return fit(*training_rows(docs, labels, "toxic", held_out(3, 1), rows, _distinct))
 
 
-def toxicity_scores(docs: DataFrame, labels: DataFrame, columns: list[str]) -> DataFrame:
-    """The given columns of every row of docs, and its score from 0 to 1 (higher: likelier toxic).
+def toxicity_scores(docs: DataFrame, labels: DataFrame, columns: list[str], name: str = "score") -> DataFrame:
+    """The given columns of every row of docs, and as ``name`` its score from 0 to 1 (higher: likelier toxic).
 
     A null or empty text gets the score of a text without known terms. Only ``text`` is scored; without labelled rows
     every score is 0.5, with labels of one kind only it is their share, held within 0.01 and 0.99.
     """
     model = docs.sparkSession.sparkContext.broadcast(train(docs, labels))
-    return score_rows(docs, lambda column: model.value.scores(column), columns)
+    return score_rows(docs, lambda column: model.value.scores(column), columns, name)
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
