@@ -109,7 +109,7 @@ def test_secrets(spark):
 def test_pii(spark):
     rows = ["mail a.b@c.de, x@y", "a@b.c_d@e.fg", "1.2.3.4 and 1.2.3.400 and 01.002.3.4.5.6.7.8", "4111 1111 1111 1111 or 4111-1111-1111-1112", "+1 (555) 123-4567 and +12", None, "", "call me: (212) 555-7788 now", "é" * 30 + "q@r.st", " ".join(f"u{k}@h{k}.io" for k in range(700)), "order 2024-01-05"]
     docs = spark.createDataFrame([(i, t, "v") for i, t in enumerate(rows)], "doc_id long, text string, p string")
-    out = {r.doc_id: r for r in pii.find_pii(docs, pii.train(spark)).collect()}
+    out = {r.doc_id: r for r in pii.find_pii(docs, pii.train(docs)).collect()}
     luhn = lambda d: sum(v if k % 2 == 0 else (2 * v - 9 if v > 4 else 2 * v) for k, v in enumerate(map(int, reversed(d)))) % 10 == 0
     for i, text in enumerate(rows):
         text = text or ""
@@ -123,6 +123,23 @@ def test_pii(spark):
     assert out[10]._added == []
 
 
+def test_pii_on_spellings_not_learnt(spark):
+    docs = spark.createDataFrame([(i, " ".join(random.Random(i).choices(WORDS, k=40))) for i in range(60)], "doc_id long, text string")
+    rates = {r.kind: r for r in pii.evaluate(docs, pii.train(docs)).collect()}
+    print(rates)
+    assert set(rates) == {k for k, _ in pii.GENERATORS}
+    assert all((r.precision or 0) >= 0.7 and r.recall >= 0.4 for r in rates.values())
+
+
+def test_pii_in_very_long_runs(spark):
+    """A million characters that the patterns could recurse or retry on."""
+    texts = ["1" * 10**6, "1 " * 500_000, "1-" * 500_000, "." * 10**6, "a@b" + ".c" * 500_000, "a" * 10**6, "f" * 10**6 + ":", "+" + "1 (" * 300_000, "1." * 500_000, "a(at)b" + "(dot)c" * 150_000, " at " * 200_000]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out = {r.doc_id: r for r in pii.find_pii(docs, pii.train(docs)).select("doc_id", *[f"_{k}" for k in pii.KINDS]).collect()}
+    assert [(x.start, x.end) for x in out[4]._email] == [(0, len(texts[4]))]
+    assert len(out[8]._ip) == 125_000 and not out[0]._card and not out[1]._card
+
+
 def plain_distance(item, words):
     """The least edit distance of item to any stretch of words."""
     row = [0] * (len(words) + 1)
