@@ -106,6 +106,19 @@ def test_secrets(spark):
     assert len(out[None]._assign) == 1
 
 
+def test_secret_model_on_strings_not_learnt(spark):
+    rng = random.Random(7)
+    prose = spark.createDataFrame([(i, " ".join("".join(rng.choices(["the", "sta", "tion", "run", "ning", "un", "der", "peo", "ple", "na", "gre", "mo"], k=3)) for _ in range(80)), 1, 2) for i in range(200)], "doc_id long, text string, _text int, `a.b` int")
+    model = secrets.train(prose)
+    rates = secrets.evaluate(prose, model)
+    print(rates)
+    assert rates["random"] >= 0.95 and rates["letters"] >= 0.8 and rates["identifiers"] <= 0.01
+    docs = spark.createDataFrame([(1, "=" * 40 + " and " + "-" * 60), (2, "internationalisation_of_the_station_1"), (3, "key QwErTyZxKvPlMnBgHjRd")], "doc_id long, text string")
+    out = {r.doc_id: r._random for r in secrets.find_secrets(docs, model).collect()}
+    assert not out[1] and len(out[3]) == 1
+    assert secrets.find_secrets(prose, model).columns == ["doc_id", "text", "a.b", "_assign", "_access", "_hex", "_random"]
+
+
 def test_pii(spark):
     rows = ["mail a.b@c.de, x@y", "a@b.c_d@e.fg", "1.2.3.4 and 1.2.3.400 and 01.002.3.4.5.6.7.8", "4111 1111 1111 1111 or 4111-1111-1111-1112", "+1 (555) 123-4567 and +12", None, "", "call me: (212) 555-7788 now", "é" * 30 + "q@r.st", " ".join(f"u{k}@h{k}.io" for k in range(700)), "order 2024-01-05"]
     docs = spark.createDataFrame([(i, t, "v") for i, t in enumerate(rows)], "doc_id long, text string, p string")

@@ -217,11 +217,11 @@ def find_pii(docs: DataFrame, model: CandidateModel) -> DataFrame:
     """docs with _email, _ip, _card, _phone: spans of the fixed formats, and _added: (order, start, kind, end) of those the model adds.
 
     Places are code points, end exclusive. An added span overlaps no fixed one; of added ones that overlap, the likelier
-    stays (the earlier generator on ties). A null text counts as empty; no rows give no rows; columns that don't begin with an underscore
-    stay as they are.
+    stays (the earlier generator on ties). A null text counts as empty; no rows give no rows; columns stay as
+    they are, but for those that begin with an underscore, which are left out.
     """
-    was = docs.columns
-    out = docs.withColumn("_text", F.coalesce("text", F.lit("")))
+    was = [c for c in docs.columns if not c.startswith("_")]
+    out = docs.select(*[docs[f"`{c}`"] for c in was]).withColumn("_text", F.coalesce("text", F.lit("")))
     text = F.col("_text")
     out = out.withColumn("_digits", text.rlike("[0-9]"))
     at = text.contains("@")
@@ -268,7 +268,7 @@ def find_pii(docs: DataFrame, model: CandidateModel) -> DataFrame:
     kind = lambda x: F.get(F.array(*[F.lit(k) for k, _ in GENERATORS]), x["g"])
     order = lambda x: F.get(F.array(*[F.lit(KINDS.index(k)) for k, _ in GENERATORS]), x["g"])
     added = F.transform("_judged", lambda x: F.struct(order(x).alias("order"), x["start"].alias("start"), kind(x).alias("kind"), x["end"].alias("end")))
-    return out.select(*was, *[f"_{k}" for k in KINDS], added.alias("_added"))
+    return out.select(*[f"`{c}`" for c in was], *[f"_{k}" for k in KINDS], added.alias("_added"))
 
 
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

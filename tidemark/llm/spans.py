@@ -41,7 +41,7 @@ def add_matches(df: DataFrame, text: str, patterns: dict[str, tuple[str, Column]
 
     df = step(lambda k: {f"_e_{k}": ends(F.col(f"_s_{k}"))})
     df = step(lambda k: {k: F.transform(F.arrays_zip(F.col(f"_e_{k}").alias("e"), F.col(f"_f_{k}").alias("f"), F.col(f"_g_{k}").alias("g")), lambda x: F.struct((x["e"] - F.length(x["f"])).alias("start"), x["e"].alias("end"), x["f"].alias("text"), x["g"].alias("group")))})
-    return df.select(*was, *patterns)
+    return df.select(*[f"`{c}`" for c in was], *patterns)
 
 
 def labelled(kind: str, order: int, spans: Column) -> Column:
