@@ -93,14 +93,22 @@ def weighted_quantile(rows: DataFrame, by: list[str], x: str, weight: str, q: fl
     return out.filter(F.col("_run") >= q * F.col("_all") - 1e-12).groupBy(*by).agg(F.min(x).alias("value"))
 
 
-def outlier_fusion(rows: DataFrame, by: list[str], most: float = 2.0) -> DataFrame:
-    """(by, lower, upper, kept): means of ranges whose midpoint is within ``most`` sample deviations; under three rows all stay."""
+def outlier_fusion(rows: DataFrame, by: list[str], weight: str | None = None, most: float = 2.0) -> DataFrame:
+    """(by, lower, upper, kept): of the ranges whose midpoint is within ``most`` sample deviations, the weighted 20 % quantile of the lower bounds and the 80 % one of the upper, swapped if they cross.
+
+    Under three rows, without spread, or where none would be left, all stay. Negative weights count 0, missing ones 1; if all are 0 the means are taken.
+    """
     w = Window.partitionBy(*by)
-    mid = (F.col("lower") + F.col("upper")) / 2
-    out = rows.withColumn("_m", mid)
-    z = F.abs(F.col("_m") - F.avg("_m").over(w)) / F.stddev_samp("_m").over(w)
-    out = out.withColumn("_keep", (F.count("*").over(w) < 3) | F.coalesce(z <= most, F.lit(True)))
-    return out.filter("_keep").groupBy(*by).agg(F.avg("lower").alias("lower"), F.avg("upper").alias("upper"), F.count("*").alias("kept"))
+    weighed = F.coalesce(F.greatest(F.col(weight), F.lit(0.0)), F.lit(1.0)) if weight else F.lit(1.0)
+    out = rows.select(*by, "lower", "upper", ((F.col("lower") + F.col("upper")) / 2).alias("_m"), weighed.alias("_w"))
+    out = out.withColumns({"_mean": F.avg("_m").over(w), "_dev": F.stddev_samp("_m").over(w), "_n": F.count("*").over(w)})
+    out = out.withColumn("_near", (F.col("_n") < 3) | F.coalesce(F.col("_dev") <= 1e-12, F.lit(True)) | (F.abs(F.col("_m") - F.col("_mean")) <= most * F.col("_dev")))
+    out = out.withColumn("_some", F.max("_near").over(w)).filter(F.col("_near") | ~F.col("_some"))
+    so_far = lambda c: F.sum("_w").over(w.orderBy(c).rangeBetween(Window.unboundedPreceding, 0))
+    out = out.withColumns({"_low": so_far("lower"), "_high": so_far("upper"), "_all": F.sum("_w").over(w)})
+    reached = lambda c, run, q: F.when(F.max("_all") > 0, F.min(F.when(F.col(run) >= q * F.col("_all"), F.col(c)))).otherwise(F.avg(c))
+    out = out.groupBy(*by).agg(reached("lower", "_low", 0.2).alias("_a"), reached("upper", "_high", 0.8).alias("_b"), F.count("*").alias("kept"))
+    return out.select(*by, F.least("_a", "_b").alias("lower"), F.greatest("_a", "_b").alias("upper"), "kept")
 
 
 def tercile_spread(rows: DataFrame, by: list[str], score: str, outcome: str, tie: str) -> DataFrame:

@@ -69,23 +69,35 @@ def donchian_signals(bars: DataFrame, n: int = 20) -> DataFrame:
     return bars.select("symbol", "date", side.alias("signal"))
 
 
-def fuse(candidates: DataFrame, weights: dict[str, float], default: float = 0.1, agreement: float = 0.6, least: float = 0.2, strong: float = 0.7) -> DataFrame:
-    """One signal per symbol of candidates (symbol, strategy, score -1..1, confidence): the sum of score * confidence * weight over the sum of weights.
+def fuse(candidates: DataFrame, weights: dict[str, float], default: float = 0.1, agreement: float = 0.6, least: float = 0.2, strong: float = 0.65) -> DataFrame:
+    """One signal per symbol of candidates (symbol, strategy, direction, score -1..1, confidence): the sum of score * confidence * weight over the sum of weights, 0 where that is not positive.
 
-    In order: strong candidates on both sides, agreement of the signs under ``agreement``, or a fused score under ``least`` make it neutral.
+    In order: strong longs and shorts at once, or votes (long, short or neutral) that agree less than ``agreement``, give a
+    neutral signal of score 0; a fused score under ``least`` is neutral; else its sign decides.
     """
     table = F.create_map(*[F.lit(x) for pair in weights.items() for x in pair]) if weights else F.create_map().cast("map<string,double>")
-    w = F.coalesce(F.try_element_at(table, F.col("strategy")), F.lit(default))
-    rows = candidates.withColumn("_w", w)
-    score = F.col("score")
+    rows = candidates.withColumn("_w", F.coalesce(F.try_element_at(table, F.col("strategy")), F.lit(default)))
+    score, side = F.col("score"), F.col("direction")
+    votes = [F.count(F.when(side == x, 1)) for x in ("long", "short", "neutral")]
     out = rows.groupBy("symbol").agg(
-        (F.sum(score * F.col("confidence") * F.col("_w")) / F.sum("_w")).alias("fused"), F.count("*").alias("n"), F.sum((score > 0).cast("int")).alias("_up"), F.sum((score < 0).cast("int")).alias("_down"),
-        F.max(score).alias("_most"), F.min(score).alias("_least"), F.max_by("strategy", F.struct(F.abs(score) * F.col("confidence") * F.col("_w"), "strategy")).alias("primary"),
+        F.sum("_w").alias("_sum"), F.sum(score * F.col("confidence") * F.col("_w")).alias("_acc"), F.count("*").alias("n"), F.greatest(*votes).alias("_same"),
+        F.max(F.when(side == "long", score)).alias("_most"), F.min(F.when(side == "short", score)).alias("_least"),
     )
-    agreed = F.greatest("_up", "_down") / F.col("n")
-    rule = F.when((F.col("_most") >= strong) & (F.col("_least") <= -strong), "conflict").when(agreed < agreement, "low_agreement").when(F.abs("fused") < least, "weak").otherwise("fused")
+    out = out.withColumn("fused", F.when(F.col("_sum") > 0, F.try_divide("_acc", "_sum")).otherwise(0.0)).withColumn("agreement", F.col("_same") / F.col("n"))
+    conflict = F.coalesce((F.col("_most") >= strong) & (F.col("_least") <= -strong), F.lit(False))
+    rule = F.when(conflict, "conflict").when(F.col("agreement") < agreement, "low_agreement").when(F.abs("fused") < least, "weak").otherwise("fused")
     direction = F.when(rule != "fused", "neutral").when(F.col("fused") > 0, "long").otherwise("short")
-    return out.select("symbol", "n", "fused", agreed.alias("agreement"), rule.alias("rule"), direction.alias("direction"), "primary")
+    value = F.when(rule.isin("conflict", "low_agreement"), 0.0).otherwise(F.col("fused"))
+    return out.select("symbol", "n", value.alias("score"), F.least(F.lit(1.0), F.abs("fused")).alias("confidence"), "agreement", rule.alias("rule"), direction.alias("direction"))
+
+
+def contributions(candidates: DataFrame, weights: dict[str, float], default: float = 0.1) -> DataFrame:
+    """(symbol, strategy, share): each strategy's part of the sum of abs(score) * confidence * weight; 0 where that sum is 0."""
+    table = F.create_map(*[F.lit(x) for pair in weights.items() for x in pair]) if weights else F.create_map().cast("map<string,double>")
+    part = F.abs("score") * F.col("confidence") * F.coalesce(F.try_element_at(table, F.col("strategy")), F.lit(default))
+    rows = candidates.groupBy("symbol", "strategy").agg(F.sum(part).alias("_p"))
+    total = F.sum("_p").over(Window.partitionBy("symbol"))
+    return rows.select("symbol", "strategy", F.when(total > 0, F.try_divide(F.col("_p"), total)).otherwise(0.0).alias("share"))
 
 
 def portfolio_risk(returns: DataFrame, weights: DataFrame, confidence: float = 0.95) -> DataFrame:

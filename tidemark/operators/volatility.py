@@ -44,17 +44,36 @@ def mean_range(bars: DataFrame, n: int = 22, least: int = 5) -> DataFrame:
 
 
 def full_day_range(bars: DataFrame, windows: tuple[int, ...] = (5, 10, 22), weights: tuple[float, ...] = (0.3, 0.3, 0.2), atr_weight: float = 0.2, spread: float = 2.2) -> DataFrame:
-    """The next bar's range around each symbol's last close: weighted daily volatilities and mean true range, widened, held within 1 and 12 percent."""
+    """The next bar's range around each symbol's last close: weighted daily volatilities and the mean of true range and bar range, widened, held within 1 and 12 percent.
+
+    The weights are taken as shares of their sum; without a true range the mean bar range alone counts, and without either its weight goes to the others.
+    """
     w = series("symbol")
     hv = historical_volatility(bars, list(windows))
     tr = true_range(bars).withColumn("atr", sma("tr", 14, w)).select("symbol", "date", "close", (F.col("atr") / F.col("close") * 100).alias("natr"))
     last = tr.join(hv, ["symbol", "date"]).withColumn("_n", F.row_number().over(Window.partitionBy("symbol").orderBy(F.col("date").desc()))).filter("_n = 1")
-    daily = sum((F.col(f"hv{n}") * k / math.sqrt(YEAR) for n, k in zip(windows, weights, strict=True)), F.lit(0.0)) + F.col("natr") * atr_weight
-    out = last.withColumn("range_pct", clamp(daily * spread, 1.0, 12.0))
+    last = last.join(mean_range(bars), "symbol", "left")
+    size = F.when(F.col("natr") > 0, F.coalesce((F.col("natr") + F.col("mean_range")) / 2, "natr")).otherwise(F.coalesce("mean_range", F.lit(0.0)))
+    used = F.when(size > 0, F.lit(atr_weight)).otherwise(0.0)
+    daily = sum((F.col(f"hv{n}") * k / math.sqrt(YEAR) for n, k in zip(windows, weights, strict=True)), F.lit(0.0)) + size * used
+    out = last.withColumn("range_pct", clamp(daily / (sum(weights) + used) * spread, 1.0, 12.0))
     half = F.col("close") * F.col("range_pct") / 200
     return out.select("symbol", "date", "close", "range_pct", (F.col("close") - half).alias("lower"), (F.col("close") + half).alias("upper"))
 
 
+def intraday_bump(closes: DataFrame, by: list[str], order: list[str], n: int = 30, most: float = 0.8, least: int = 2) -> DataFrame:
+    """(by, bump): what the last n closes of a running session add to a range in percent: half their deviation scaled to 240 minutes and a part of the move since the first."""
+    w = Window.partitionBy(*by)
+    last = closes.withColumn("_n", F.row_number().over(w.orderBy(*[F.col(c).desc() for c in order]))).filter(F.col("_n") <= n)
+    back = Window.partitionBy(*by).orderBy(F.col("_n").desc())
+    was = F.lag("close").over(back)
+    last = last.withColumn("_r", F.when(was != 0, F.col("close") / was - 1))
+    sigma = F.least(F.lit(most), F.stddev_samp("_r") * F.sqrt(240 / F.greatest(F.count("_r"), F.lit(1))) * 50)
+    first, now = F.max_by("close", "_n"), F.min_by("close", "_n")
+    move = F.when(first > 0, F.least(F.lit(most / 2), F.abs(now / first - 1) * 15)).otherwise(0.0)
+    return last.groupBy(*by).agg(F.when(F.count("_r") >= least, F.least(F.lit(most), sigma + move)).otherwise(0.0).alias("bump"))
+
+
 def ewma_volatility(bars: DataFrame, decay: float = 0.94, horizon: int = 250) -> DataFrame:
     """The exponentially weighted volatility of each symbol's last returns, a year, in percent: the fixed-parameter GARCH(1,1) of integrated variance."""
     w = Window.partitionBy("symbol").orderBy(F.col("date").desc())
@@ -90,13 +109,16 @@ def black_scholes(options: DataFrame) -> DataFrame:
     return out.withColumns({k: F.when(live, x).otherwise(rest) for k, (x, rest) in found.items()}).select(*was, *found)
 
 
-def breakthrough(position: Column, minutes: Column, upward: bool = True) -> Column:
-    """The chance to leave a range from a position in it (0 low, 1 high) in the minutes left of 240.
+def breakthrough(price: Column, lower: Column, upper: Column, confidence: Column, minutes: Column) -> dict[str, Column]:
+    """up, down: the chances to leave a range in the minutes left of 240, scaled by the confidence; time, position: their factors.
 
-    Upward it falls as the price nears the upper bound, as in the rule that it follows.
+    Upward the chance falls as the price nears the upper bound, as in the rule that it follows. An empty range gives 0 and the middle.
     """
-    share = (1 - position) if upward else position
-    return clamp(share * F.sqrt(minutes / 240), 0.0, 1.0)
+    wide = upper > lower
+    position = F.when(wide, clamp(F.try_divide(price - lower, upper - lower), 0.0, 1.0)).otherwise(0.5)
+    time = F.when(wide, F.sqrt(clamp(minutes / 240, 0.0, 1.0))).otherwise(0.0)
+    sure = clamp(confidence, 0.0, 1.0)
+    return {"up": (1 - position) * time * sure, "down": position * time * sure, "time": time, "position": position}
 
 
 def state_weights(hits: DataFrame) -> DataFrame:

@@ -1,3 +1,3 @@
 """The queries of the market operators, registered on import."""
 
-from . import evaluation, indicators, panels, rotation, trading, volatility  # noqa: F401
+from . import cleaning, evaluation, indicators, panels, rotation, trading, volatility  # noqa: F401

@@ -133,10 +133,15 @@ def weighted_quantile(spark, sf_dir):
 
 @query(
     "d14_outlier_fusion",
-    f"WITH {W}, {PRED}, m AS (SELECT *, (lower + upper) / 2 AS m FROM pr), z AS (SELECT *, count(*) OVER (PARTITION BY date) AS n, abs(m - avg(m) OVER (PARTITION BY date)) / nullif(stddev_samp(m) OVER (PARTITION BY date), 0) AS z FROM m) SELECT date, round(avg(lower), 6) AS lower, round(avg(upper), 6) AS upper, count(*) AS kept FROM z WHERE n < 3 OR z IS NULL OR z <= 2 GROUP BY date",
+    f"""WITH {W}, {PRED}, m AS (SELECT *, (lower + upper) / 2 AS m, 1.0 + isodow(date) % 3 + length(symbol) % 2 AS wt FROM pr),
+    z AS (SELECT *, count(*) OVER p AS n, avg(m) OVER p AS mean, stddev_samp(m) OVER p AS dev FROM m WINDOW p AS (PARTITION BY date)),
+    k AS (SELECT *, sum(wt) OVER (PARTITION BY date) AS total, sum(wt) OVER (PARTITION BY date ORDER BY lower) AS lo, sum(wt) OVER (PARTITION BY date ORDER BY upper) AS hi FROM z WHERE n < 3 OR coalesce(dev <= 1e-12, true) OR abs(m - mean) <= 2 * dev),
+    q AS (SELECT date, min(lower) FILTER (lo >= 0.2 * total) AS a, min(upper) FILTER (hi >= 0.8 * total) AS b, count(*) AS kept FROM k GROUP BY date)
+    SELECT date, round(least(a, b), 6) AS lower, round(greatest(a, b), 6) AS upper, kept FROM q""",
 )
 def outlier_fusion(spark, sf_dir):
-    return rounded(X.outlier_fusion(predictions(spark, sf_dir), ["date"]), 6, "lower", "upper")
+    rows = predictions(spark, sf_dir).withColumn("wt", 1.0 + (F.weekday("date") + 1) % 3 + F.length("symbol") % 2)
+    return rounded(X.outlier_fusion(rows, ["date"], "wt"), 6, "lower", "upper")
 
 
 @query(

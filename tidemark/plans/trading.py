@@ -72,19 +72,35 @@ def donchian(spark, sf_dir):
 
 
 _WEIGHTS = {"1-URGENT": 0.4, "2-HIGH": 0.3, "5-LOW": 0.05}
-_CAND = "ca AS (SELECT o_custkey AS symbol, o_orderpriority AS strategy, round((o_totalprice - 150000) / 150000, 6) AS score, 0.5 + (o_orderkey % 50) / 100.0 AS confidence FROM orders)"
+_CAND = "ca AS (SELECT o_custkey AS symbol, o_orderpriority AS strategy, round((o_totalprice - 150000) / 150000, 6) AS score, 0.5 + (o_orderkey % 50) / 100.0 AS confidence, CASE WHEN o_totalprice > 165000 THEN 'long' WHEN o_totalprice < 135000 THEN 'short' ELSE 'neutral' END AS direction FROM orders)"
+_CAND_W = "x AS (SELECT *, CASE strategy WHEN '1-URGENT' THEN 0.4 WHEN '2-HIGH' THEN 0.3 WHEN '5-LOW' THEN 0.05 ELSE 0.1 END AS w FROM ca)"
+
+
+def candidates(spark, sf_dir):
+    x = F.col("o_totalprice")
+    side = F.when(x > 165000, "long").when(x < 135000, "short").otherwise("neutral")
+    return table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("symbol"), F.col("o_orderpriority").alias("strategy"), F.round((x - 150000) / 150000, 6).alias("score"), (0.5 + (F.col("o_orderkey") % 50) / 100.0).alias("confidence"), side.alias("direction"))
 
 
 @query(
     "o6_fusion",
-    f"""WITH {_CAND}, x AS (SELECT *, CASE strategy WHEN '1-URGENT' THEN 0.4 WHEN '2-HIGH' THEN 0.3 WHEN '5-LOW' THEN 0.05 ELSE 0.1 END AS w FROM ca),
-    f AS (SELECT symbol, count(*) AS n, sum(score * confidence * w) / sum(w) AS fused, greatest(count(*) FILTER (score > 0), count(*) FILTER (score < 0)) / count(*) AS agreement, max(score) AS hi, min(score) AS lo FROM x GROUP BY symbol),
-    r AS (SELECT *, CASE WHEN hi >= 0.7 AND lo <= -0.7 THEN 'conflict' WHEN agreement < 0.6 THEN 'low_agreement' WHEN abs(fused) < 0.2 THEN 'weak' ELSE 'fused' END AS rule FROM f)
-    SELECT symbol, n, round(fused, 6) AS fused, round(agreement, 6) AS agreement, rule, CASE WHEN rule <> 'fused' THEN 'neutral' WHEN fused > 0 THEN 'long' ELSE 'short' END AS direction FROM r""",
+    f"""WITH {_CAND}, {_CAND_W},
+    f AS (SELECT symbol, count(*) AS n, sum(score * confidence * w) / sum(w) AS fused, greatest(count(*) FILTER (direction = 'long'), count(*) FILTER (direction = 'short'), count(*) FILTER (direction = 'neutral')) / count(*) AS agreement,
+          bool_or(direction = 'long' AND score >= 0.65) AND bool_or(direction = 'short' AND score <= -0.65) AS conflict FROM x GROUP BY symbol),
+    r AS (SELECT *, CASE WHEN conflict THEN 'conflict' WHEN agreement < 0.6 THEN 'low_agreement' WHEN abs(fused) < 0.2 THEN 'weak' ELSE 'fused' END AS rule FROM f)
+    SELECT symbol, n, round(CASE WHEN rule IN ('conflict', 'low_agreement') THEN 0 ELSE fused END, 6) AS score, round(least(1, abs(fused)), 6) AS confidence, round(agreement, 6) AS agreement, rule,
+           CASE WHEN rule <> 'fused' THEN 'neutral' WHEN fused > 0 THEN 'long' ELSE 'short' END AS direction FROM r""",
 )
 def fusion(spark, sf_dir):
-    cand = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("symbol"), F.col("o_orderpriority").alias("strategy"), F.round((F.col("o_totalprice") - 150000) / 150000, 6).alias("score"), (0.5 + (F.col("o_orderkey") % 50) / 100.0).alias("confidence"))
-    return rounded(T.fuse(cand, _WEIGHTS).drop("primary"), 6, "fused", "agreement")
+    return rounded(T.fuse(candidates(spark, sf_dir), _WEIGHTS), 6, "score", "confidence", "agreement")
+
+
+@query(
+    "o7_contributions",
+    f"WITH {_CAND}, {_CAND_W}, p AS (SELECT symbol, strategy, sum(abs(score) * confidence * w) AS p FROM x GROUP BY ALL) SELECT symbol, strategy, round(coalesce(p / nullif(sum(p) OVER (PARTITION BY symbol), 0), 0), 6) AS share FROM p",
+)
+def contributions(spark, sf_dir):
+    return rounded(T.contributions(candidates(spark, sf_dir), _WEIGHTS), 6, "share")
 
 
 @query(
@@ -190,10 +206,16 @@ def cooldown(spark, sf_dir):
     return S.cooled(S.rule_matches(events, _rules(spark)), ["rule_id"], "ts", 6 * 3600)
 
 
-@query("b6_hard_gate", "SELECT p_partkey FROM part WHERE NOT regexp_matches(p_name, '^\\*?ST') AND p_size * 3 >= 60 AND p_retailprice * 5e4 >= 5e7 AND abs((p_partkey % 25) - 12) < 9.5")
+@query(
+    "b6_hard_gate",
+    """WITH x AS (SELECT o_orderkey, CASE o_orderkey % 9 WHEN 0 THEN '*ST' WHEN 1 THEN 'ST ' ELSE 'A' END || o_orderpriority AS name, o_custkey % 150 AS days, o_totalprice * 400 AS amount, (o_orderkey % 23 - 11)::DOUBLE AS pct FROM orders)
+    SELECT o_orderkey, NOT regexp_matches(name, '^\\*?ST') AND days >= 60 AND amount >= 5e7 AND abs(pct) < 9.5 AS passed FROM x""",
+)
 def hard_gate(spark, sf_dir):
-    gate = S.hard_gate(F.col("p_name"), F.col("p_size") * 3, F.col("p_retailprice") * 5e4, (F.col("p_partkey") % 25 - 12).cast("double"))
-    return table(spark, sf_dir, "part").filter(gate).select("p_partkey")
+    key = F.col("o_orderkey")
+    name = F.concat(F.when(key % 9 == 0, "*ST").when(key % 9 == 1, "ST ").otherwise("A"), "o_orderpriority")
+    gate = S.hard_gate(name, F.col("o_custkey") % 150, F.col("o_totalprice") * 400, (key % 23 - 11).cast("double"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", gate.alias("passed"))
 
 
 @query("b9_units", "SELECT event_id, CASE WHEN value BETWEEN 5 AND 60 THEN 'price' WHEN value > 1000 AND value / 1000 BETWEEN 5 AND 60 THEN 'index_point' WHEN abs(value) < 0.1 THEN 'ratio' END AS unit FROM events")

@@ -47,7 +47,8 @@ def mean_range(spark, sf_dir):
     "k06_full_day_range",
     f"""WITH {W}, {RET}, {TR}, a AS (SELECT symbol, date, close, {rolling('avg({})', 14, 'tr')} / close * 100 AS natr FROM t),
     h AS (SELECT symbol, date, {hv_year(5, 252)} AS h5, {hv_year(10, 252)} AS h10, {hv_year(22, 252)} AS h22 FROM r),
-    l AS (SELECT *, least(12, greatest(1, ((h5 * 0.3 + h10 * 0.3 + h22 * 0.2) / sqrt(252) + natr * 0.2) * 2.2)) AS p, row_number() OVER (PARTITION BY symbol ORDER BY date DESC) AS n FROM a JOIN h USING (symbol, date))
+    m AS (SELECT symbol, CASE WHEN count(*) >= 5 THEN avg((high - low) / close * 100) END AS park FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY date DESC) AS n FROM w) WHERE n <= 22 GROUP BY symbol),
+    l AS (SELECT *, least(12, greatest(1, ((h5 * 0.3 + h10 * 0.3 + h22 * 0.2) / sqrt(252) + (natr + park) / 2 * 0.2) / 1.0 * 2.2)) AS p, row_number() OVER (PARTITION BY symbol ORDER BY date DESC) AS n FROM a JOIN h USING (symbol, date) JOIN m USING (symbol))
     SELECT symbol, date, round(close, 6) AS close, round(p, 6) AS range_pct, round(close - close * p / 200, 6) AS lower, round(close + close * p / 200, 6) AS upper FROM l WHERE n = 1""",
 )
 def full_day_range(spark, sf_dir):
@@ -71,11 +72,29 @@ def black_scholes(spark, sf_dir):
     return V.black_scholes(options).select("p_partkey", *[F.round(c, 6).alias(c) for c in ("price", "delta", "gamma", "vega", "theta", "rho")])
 
 
-@query("k11_breakthrough", "SELECT event_id, round(least(1, greatest(0, (1 - p) * sqrt(m / 240.0))), 6) AS up, round(least(1, greatest(0, p * sqrt(m / 240.0))), 6) AS down FROM (SELECT event_id, (event_id % 101) / 100.0 AS p, event_id % 241 AS m FROM events)")
+@query(
+    "k11_breakthrough",
+    """WITH x AS (SELECT event_id, (event_id % 101 - 10) / 80.0 AS p, CASE WHEN event_id % 17 = 0 THEN 0 ELSE 100 END AS wide, event_id % 260 - 10 AS m, (event_id % 13) / 10.0 AS c FROM events),
+    y AS (SELECT event_id, CASE WHEN wide > 0 THEN greatest(0, least(1, p)) ELSE 0.5 END AS position, CASE WHEN wide > 0 THEN sqrt(greatest(0, least(1, m / 240.0))) ELSE 0 END AS time, greatest(0, least(1, c)) AS c FROM x)
+    SELECT event_id, round((1 - position) * time * c, 6) AS up, round(position * time * c, 6) AS down, round(time, 6) AS time, round(position, 6) AS position FROM y""",
+)
 def breakthrough(spark, sf_dir):
-    events = table(spark, sf_dir, "events")
-    p, m = (F.col("event_id") % 101) / 100.0, F.col("event_id") % 241
-    return events.select("event_id", F.round(V.breakthrough(p, m), 6).alias("up"), F.round(V.breakthrough(p, m, False), 6).alias("down"))
+    key = F.col("event_id")
+    low, wide = F.lit(20.0), F.when(key % 17 == 0, 0.0).otherwise(100.0)
+    made = V.breakthrough(low + 100 * (key % 101 - 10) / 80.0, low, low + wide, (key % 13) / 10.0, key % 260 - 10)
+    return table(spark, sf_dir, "events").select("event_id", *[F.round(x, 6).alias(k) for k, x in made.items()])
+
+
+@query(
+    "k06_intraday_bump",
+    """WITH c AS (SELECT event_type, value AS close, row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC) AS n FROM events QUALIFY n <= 30),
+    r AS (SELECT *, close / nullif(lag(close) OVER (PARTITION BY event_type ORDER BY n DESC), 0) - 1 AS r FROM c),
+    s AS (SELECT event_type, stddev_samp(r) AS sd, count(r) AS k, arg_max(close, n) AS a, arg_min(close, n) AS z FROM r GROUP BY event_type)
+    SELECT event_type, round(CASE WHEN k >= 2 THEN least(0.8, least(0.8, sd * sqrt(240.0 / k) * 50) + CASE WHEN a > 0 THEN least(0.4, abs(z / a - 1) * 15) ELSE 0 END) ELSE 0 END, 6) AS bump FROM s""",
+)
+def intraday_bump(spark, sf_dir):
+    closes = table(spark, sf_dir, "events").select("event_type", "ts", "event_id", F.col("value").alias("close"))
+    return rounded(V.intraday_bump(closes, ["event_type"], ["ts", "event_id"]), 6, "bump")
 
 
 @query(
