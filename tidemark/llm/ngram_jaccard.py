@@ -32,7 +32,7 @@ from .common import components, discard, lookup_join, stage, table
 #: Counters of the corpus-wide table of shingle counts (fixed, whatever the input), and the parts they are summed in.
 COUNTERS, PARTS = 1 << 22, 64
 #: Hubs that each column's documents are linked to, in one pass after the other, until a pass finds no link.
-HUBS = (3, 8, 12)
+HUBS = (3, 3)
 #: Longs of a sketch. Entries of a column in one tile of the product; columns with more rows than FULL count as equally full.
 SKETCH, TILE, FULL = 8, 2048, 1 << 17
 
@@ -185,6 +185,7 @@ def jaccard_classes(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
     made: list[DataFrame] = []
 
     def kept(df: DataFrame, name: str) -> DataFrame:
+        """df as a table that goes at the end."""
         made.append(stage(df, name))
         return made[-1]
 
@@ -205,7 +206,9 @@ def jaccard_classes(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
 
     links = linked = done = None
     for k in range(len(HUBS)):
-        pairs = _hub_pairs(columns, linked, k, percent)
+        entries = _apart(columns, linked)
+        hubs = kept(_mixed(entries, k), "hubs")
+        pairs = _hub_pairs(entries, hubs, columns.count(), percent)
         if done is not None:
             pairs = pairs.join(done, ["a", "b"], "left_anti")
         pairs = kept(pairs, "pairs")
@@ -322,10 +325,9 @@ def _mixed(entries: DataFrame, k: int) -> DataFrame:
     return entries.groupBy("shingle").agg(hubs.alias("hubs"), F.count("*").alias("w"), F.min("component").alias("c0"), F.max("component").alias("c1")).filter("c0 != c1").drop("c0", "c1")
 
 
-def _hub_pairs(columns: DataFrame, linked: DataFrame | None, k: int, percent: int) -> DataFrame:
-    entries = _apart(columns, linked)
-    hubs = stage(_mixed(entries, k), "hubs")
-    out = lookup_join(entries, hubs, ["shingle"], "w", columns.count(), F.col("rep")).filter("hubs IS NOT NULL")
+def _hub_pairs(entries: DataFrame, hubs: DataFrame, total: int, percent: int) -> DataFrame:
+    """The pairs of a hub and a class of its column in another component; total: the number of entries."""
+    out = lookup_join(entries, hubs, ["shingle"], "w", total, F.col("rep")).filter("hubs IS NOT NULL")
     out = out.select("rep", "n", "component", "room", F.explode("hubs").alias("hub")).filter("component != hub.component")
     fits = _possible(F.col("n"), F.col("room"), F.col("hub.n"), F.col("hub.room"), percent)
     return out.filter(fits).select(F.col("hub.rep").alias("a"), F.col("rep").alias("b")).distinct()
@@ -343,15 +345,13 @@ def _product_pairs(columns: DataFrame, sketches: DataFrame, linked: DataFrame |
     entries = lookup_join(entries, mixed, ["shingle"], "m", columns.count(), F.col("rep")).filter("mixed").drop("mixed")
     entries = entries.join(sketches.select(F.col("id").alias("rep"), "sketch"), "rep")
     entries = stage(entries.select("shingle", "rep", "n", "component", "m", *[F.get("sketch", k).alias(f"s{k}") for k in range(SKETCH)]), "apart")
-    tiles = F.ceil(F.col("m") / TILE).cast("int")
-    own = F.pmod(F.xxhash64("rep"), tiles).cast("int")
-    x = entries.withColumn("i", own).withColumn("j", F.explode(F.sequence(F.lit(0), tiles - 1))).alias("x")
-    y = entries.withColumn("j", own).withColumn("i", F.explode(F.sequence(F.lit(0), tiles - 1))).alias("y")
-    n1, n2 = F.col("x.n"), F.col("y.n")
-    near = _sized(n1, n2, percent) & _alike(n1, [F.col(f"x.s{k}") for k in range(SKETCH)], n2, [F.col(f"y.s{k}") for k in range(SKETCH)], percent)
-    same = [F.col(f"x.{c}") == F.col(f"y.{c}") for c in ("shingle", "i", "j")]
-    pairs = x.join(y, reduce(lambda a, b: a & b, same) & (F.col("x.rep") < F.col("y.rep")) & (F.col("x.component") != F.col("y.component")) & near)
-    counts = pairs.groupBy(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"), n1.alias("n1"), n2.alias("n2")).agg(F.count("*").alias("shared"))
+    pairs = _crossed(entries.filter(F.col("m") <= TILE), ["shingle"], percent)
+    if entries.filter(F.col("m") > TILE).take(1):
+        tiles = F.ceil(F.col("m") / TILE).cast("int")
+        own, every = F.pmod(F.xxhash64("rep"), tiles).cast("int"), F.explode(F.sequence(F.lit(0), tiles - 1))
+        large = entries.filter(F.col("m") > TILE)
+        pairs = pairs.union(_crossed(large.withColumn("i", own).withColumn("j", every), ["shingle", "i", "j"], percent, large.withColumn("j", own).withColumn("i", every)))
+    counts = pairs.groupBy("a", "b", "n1", "n2").agg(F.count("*").alias("shared"))
     n1, n2 = F.col("n1"), F.col("n2")
     most = F.col("shared") + common(n1, percent) + common(n2, percent) - 2 + _beyond(n1, n2, percent)
     out = counts.filter(most >= _needed(n1, n2, percent)).select("a", "b")
@@ -363,6 +363,16 @@ def _product_pairs(columns: DataFrame, sketches: DataFrame, linked: DataFrame |
     return out
 
 
+def _crossed(left: DataFrame, keys: list[str], percent: int, right: DataFrame | None = None) -> DataFrame:
+    """(a, b, n1, n2) for each two entries of a column, of classes in different components whose sizes and sketches allow a link."""
+    x, y = left.alias("x"), (left if right is None else right).alias("y")
+    n1, n2 = F.col("x.n"), F.col("y.n")
+    near = _sized(n1, n2, percent) & _alike(n1, [F.col(f"x.s{k}") for k in range(SKETCH)], n2, [F.col(f"y.s{k}") for k in range(SKETCH)], percent)
+    same = reduce(lambda a, b: a & b, [F.col(f"x.{c}") == F.col(f"y.{c}") for c in keys])
+    out = x.join(y, same & (F.col("x.rep") < F.col("y.rep")) & (F.col("x.component") != F.col("y.component")) & near)
+    return out.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"), n1.alias("n1"), n2.alias("n2"))
+
+
 def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_classes(table(spark, sf_dir, "documents"))
 
