@@ -1,3 +1,3 @@
 """The queries of the market operators, registered on import."""
 
-from . import cleaning, evaluation, indicators, panels, relate, rotation, scoring, trading, volatility  # noqa: F401
+from . import cleaning, evaluation, indicators, panels, relate, rotation, scoring, stores, trading, volatility  # noqa: F401
