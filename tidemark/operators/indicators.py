@@ -6,6 +6,8 @@ that yields all of them, after one shuffle by symbol.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -14,16 +16,17 @@ from pyspark.sql import types as T
 from ..functions.windows import back, crossed, full, series, sma
 
 
-def recursive_averages(bars: DataFrame, specs: dict[str, tuple[str, float]], keys: tuple[str, ...] = ("symbol",)) -> DataFrame:
-    """bars with exponentially weighted averages: name -> (column, alpha), seeded with the first value.
+def recursive_averages(bars: DataFrame, specs: dict[str, tuple[str, float] | Callable[[pd.DataFrame], pd.Series]], keys: tuple[str, ...] = ("symbol",)) -> DataFrame:
+    """bars with exponentially weighted averages: name -> (column, alpha), seeded with the first value; or a function of the columns so far.
 
-    A spec may name an earlier one. Nulls before the first value stay null; later ones carry the average on.
+    A spec may name an earlier one, so that averages of averages take one pass. Nulls before the first value stay null;
+    later ones carry the average on. A symbol's bars meet in one task.
     """
 
     def add(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("date")
-        for name, (column, alpha) in specs.items():
-            pdf[name] = pdf[column].ewm(alpha=alpha, adjust=False, ignore_na=True).mean()
+        for name, spec in specs.items():
+            pdf[name] = spec(pdf) if callable(spec) else pdf[spec[0]].ewm(alpha=spec[1], adjust=False, ignore_na=True).mean()
         return pdf
 
     schema = T.StructType([*bars.schema.fields, *(T.StructField(name, T.DoubleType()) for name in specs)])
@@ -41,8 +44,8 @@ def moving_averages(bars: DataFrame, periods: list[int]) -> DataFrame:
 
 def macd(bars: DataFrame, fast: int = 12, slow: int = 26, signal: int = 9, factor: float = 1.0) -> DataFrame:
     """dif, dea, hist = factor * (dif - dea) (1 standard, 2 legacy), and the cross of dif and dea."""
-    out = recursive_averages(bars.select("symbol", "date", "close"), {"ema_fast": ("close", 2 / (fast + 1)), "ema_slow": ("close", 2 / (slow + 1))})
-    out = recursive_averages(out.withColumn("dif", F.col("ema_fast") - F.col("ema_slow")), {"dea": ("dif", 2 / (signal + 1))})
+    specs = {"ema_fast": ("close", 2 / (fast + 1)), "ema_slow": ("close", 2 / (slow + 1)), "dif": lambda x: x["ema_fast"] - x["ema_slow"], "dea": ("dif", 2 / (signal + 1))}
+    out = recursive_averages(bars.select("symbol", "date", "close"), specs)
     return out.select("symbol", "date", "dif", "dea", (factor * (F.col("dif") - F.col("dea"))).alias("hist"), crossed("dif", "dea", series("symbol")).alias("cross"))
 
 
@@ -114,11 +117,13 @@ def adx(bars: DataFrame, n: int = 14) -> DataFrame:
     w = series("symbol")
     up, down = F.col("high") - F.lag("high").over(w), F.lag("low").over(w) - F.col("low")
     out = true_range(bars).select("symbol", "date", F.when(up.isNotNull(), F.col("tr")).alias("tr"), F.when(up.isNotNull(), F.when((up > down) & (up > 0), up).otherwise(0.0)).alias("pdm"), F.when(up.isNotNull(), F.when((down > up) & (down > 0), down).otherwise(0.0)).alias("mdm"))
-    out = recursive_averages(out, {"a": ("tr", 1 / n), "p": ("pdm", 1 / n), "m": ("mdm", 1 / n)})
-    out = out.withColumn("plus_di", F.when(F.col("a") > 0, 100 * F.col("p") / F.col("a"))).withColumn("minus_di", F.when(F.col("a") > 0, 100 * F.col("m") / F.col("a")))
-    total = F.col("plus_di") + F.col("minus_di")
-    out = out.withColumn("dx", F.when(total > 0, 100 * F.abs(F.col("plus_di") - F.col("minus_di")) / total).when(total == 0, 0.0))
-    out = recursive_averages(out.select("symbol", "date", "plus_di", "minus_di", "dx"), {"adx": ("dx", 1 / n)})
+    total = lambda x: x["plus_di"] + x["minus_di"]
+    specs = {
+        "a": ("tr", 1 / n), "p": ("pdm", 1 / n), "m": ("mdm", 1 / n),
+        "plus_di": lambda x: 100 * x["p"] / x["a"].where(x["a"] > 0), "minus_di": lambda x: 100 * x["m"] / x["a"].where(x["a"] > 0),
+        "dx": lambda x: (100 * (x["plus_di"] - x["minus_di"]).abs() / total(x).where(total(x) > 0)).mask(total(x) == 0, 0.0), "adx": ("dx", 1 / n),
+    }
+    out = recursive_averages(out, specs)
     return out.select("symbol", "date", "plus_di", "minus_di", "adx", F.when(F.col("adx") > 25, "strong").when(F.col("adx") < 20, "weak").when(F.col("adx").isNotNull(), "medium").alias("strength"))
 
 

@@ -11,36 +11,48 @@ from ..functions.scalars import clamp
 from ..functions.windows import pct_change, running_product, series, sma
 
 
+def _held(out: DataFrame, keys: list[str], cost_bps: float) -> DataFrame:
+    """Rows (keys, date, close, signal, ret) with the position of the signal before, turnover, net return and equity."""
+    w = series(*keys)
+    out = out.withColumn("position", F.coalesce(F.lag("signal").over(w), F.lit(0)))
+    out = out.withColumn("turnover", F.abs(F.col("position") - F.coalesce(F.lag("position").over(w), F.lit(0))))
+    out = out.withColumn("net", F.col("position") * F.col("ret") - F.col("turnover") * cost_bps / 10_000)
+    return out.select(*keys, "date", "close", "position", "turnover", "net", running_product(1 + F.col("net"), w).alias("equity"))
+
+
+def _with_averages(bars: DataFrame, periods: list[int]) -> DataFrame:
+    w = series("symbol")
+    return bars.select("symbol", "date", "close", F.coalesce(pct_change("close", 1, w), F.lit(0.0)).alias("ret"), *[sma("close", n, w).alias(f"ma{n}") for n in periods])
+
+
+def _above(fast: int, slow: int) -> Column:
+    return F.coalesce((F.col(f"ma{fast}") > F.col(f"ma{slow}")).cast("int"), F.lit(0))
+
+
 def ma_crossover(bars: DataFrame, fast: int = 5, slow: int = 20, cost_bps: float = 10.0) -> DataFrame:
     """Each bar of the long-or-flat crossover: position (yesterday's signal), turnover, net return and equity.
 
     A pure window plan. Equity is the running product of 1 + net: a net return of -1 ends it at 0, one below turns its sign.
     """
-    w = series("symbol")
-    out = bars.select("symbol", "date", "close", sma("close", fast, w).alias("f"), sma("close", slow, w).alias("s"), F.coalesce(pct_change("close", 1, w), F.lit(0.0)).alias("ret"))
-    out = out.withColumn("signal", F.coalesce((F.col("f") > F.col("s")).cast("int"), F.lit(0)))
-    out = out.withColumn("position", F.coalesce(F.lag("signal").over(w), F.lit(0)))
-    out = out.withColumn("turnover", F.abs(F.col("position") - F.coalesce(F.lag("position").over(w), F.lit(0))))
-    out = out.withColumn("net", F.col("position") * F.col("ret") - F.col("turnover") * cost_bps / 10_000)
-    return out.select("symbol", "date", "close", "position", "turnover", "net", running_product(1 + F.col("net"), w).alias("equity"))
+    return _held(_with_averages(bars, [fast, slow]).withColumn("signal", _above(fast, slow)), ["symbol"], cost_bps)
 
 
-def backtest_metrics(daily: DataFrame, periods: int = 252) -> DataFrame:
+def backtest_metrics(daily: DataFrame, periods: int = 252, keys: tuple[str, ...] = ("symbol",)) -> DataFrame:
     """Per symbol: total return, Sharpe (sample deviation, a year), largest drawdown, win rate over all bars, number of trades."""
-    w = series("symbol")
+    w = series(*keys)
     peak = F.max("equity").over(w.rowsBetween(Window.unboundedPreceding, 0))
     out = daily.withColumn("dd", F.col("equity") / peak - 1)
     sd = F.stddev_samp("net")
-    return out.groupBy("symbol").agg((F.max_by("equity", "date") - 1).alias("total_return"), F.when(sd > 0, F.avg("net") / sd * math.sqrt(periods)).alias("sharpe"), F.min("dd").alias("max_drawdown"), F.avg((F.col("net") > 0).cast("int")).alias("win_rate"), F.sum("turnover").alias("trades"))
+    return out.groupBy(*keys).agg((F.max_by("equity", "date") - 1).alias("total_return"), F.when(sd > 0, F.avg("net") / sd * math.sqrt(periods)).alias("sharpe"), F.min("dd").alias("max_drawdown"), F.avg((F.col("net") > 0).cast("int")).alias("win_rate"), F.sum("turnover").alias("trades"))
 
 
-def parameter_grid(bars: DataFrame, fasts: list[int], slows: list[int]) -> DataFrame:
-    """Metrics of the crossover for each pair fast < slow, ranked by Sharpe: all pairs run in one plan over one pass of returns."""
-    pairs = [(f, s) for f in fasts for s in slows if f < s]
-    out = None
-    for f, s in pairs:
-        one = backtest_metrics(ma_crossover(bars, f, s)).select(F.lit(f).alias("fast"), F.lit(s).alias("slow"), "symbol", "sharpe", "total_return")
-        out = one if out is None else out.unionByName(one)
+def parameter_grid(bars: DataFrame, fasts: list[int], slows: list[int], cost_bps: float = 10.0) -> DataFrame:
+    """Mean metrics of the crossover for each pair fast < slow: one window plan gives all averages, then each bar meets the pairs, and symbol and pair are run side by side."""
+    periods = sorted({*fasts, *slows})
+    pairs = F.array(*[F.struct(F.lit(f).alias("fast"), F.lit(s).alias("slow"), _above(f, s).alias("signal")) for f in fasts for s in slows if f < s])
+    each = _with_averages(bars, periods).select("symbol", "date", "close", "ret", F.explode(pairs).alias("x")).select("symbol", "date", "close", "ret", "x.*")
+    keys = ("symbol", "fast", "slow")
+    out = backtest_metrics(_held(each, list(keys), cost_bps), keys=keys)
     return out.groupBy("fast", "slow").agg(F.avg("sharpe").alias("sharpe"), F.avg("total_return").alias("total_return"))
 
 

@@ -79,12 +79,11 @@ def validation(spark, sf_dir):
     return M.validation(broken, ["symbol"])
 
 
-@query("b1_normalised", f"WITH {W} SELECT symbol, date, round(close, 4) AS close, CASE WHEN day(date) % 5 > 0 THEN round(volume, 2) END AS volume FROM w")
+@query("b1_normalised", f"WITH {W} SELECT symbol, date, round(close, 6) AS close, CASE WHEN day(date) % 5 > 0 THEN volume END AS volume FROM w")
 def normalised(spark, sf_dir):
     bars = weekly_bars(spark, sf_dir)
-    text = lambda c, k: F.round(c, k).cast("string")
-    raw = bars.select("symbol", F.col("date").cast("string").alias("日期"), text("close", 4).alias("收盘"), F.when(F.day("date") % 5 > 0, text("volume", 2)).otherwise("--").alias("成交量"))
-    return M.normalised(raw).select("symbol", "date", "close", "volume")
+    raw = bars.select("symbol", F.col("date").cast("string").alias("日期"), F.col("close").cast("string").alias("收盘"), F.when(F.day("date") % 5 > 0, F.col("volume").cast("string")).otherwise("--").alias("成交量"))
+    return rounded(M.normalised(raw).select("symbol", "date", "close", "volume"), 6, "close")
 
 
 @query("a19_csv", "SELECT p_partkey AS id, p_name AS name, p_retailprice AS price FROM part")
