@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -38,9 +39,10 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, unseen: Column
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("y"), pa.array(ids, pa.list_(pa.int32())), pa.array(counts, pa.list_(pa.int32()))], ["doc_id", "y", "ids", "counts"])
 
     some = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("y").cast("int").alias("y"), "text")
-    got = some.mapInArrow(extract, "doc_id long, y int, ids array<int>, counts array<int>").toArrow().sort_by("doc_id").slice(0, rows)
-    x = [(i.values.to_numpy(), c.values.to_numpy()) for i, c in zip(got.column("ids"), got.column("counts"), strict=True)]
-    return x, got.column("y").to_numpy().astype(np.float64)
+    got = some.mapInArrow(extract, "doc_id long, y int, ids array<int>, counts array<int>").toArrow()
+    order = pc.sort_indices(got.column("doc_id")).to_numpy()[:rows]  # the table itself is not copied
+    ids, counts = got.column("ids"), got.column("counts")
+    return [(ids[k].values.to_numpy(), counts[k].values.to_numpy()) for k in order.tolist()], got.column("y").to_numpy()[order].astype(np.float64)
 
 
 def score_rows(docs: DataFrame, scores: Callable[[pa.Array], np.ndarray], columns: list[str], name: str = "score") -> DataFrame:

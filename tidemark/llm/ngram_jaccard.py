@@ -109,8 +109,10 @@ def shingle_ranks(docs: DataFrame, n: int) -> np.ndarray:
     total = np.zeros(COUNTERS, np.int64)
     for r in parts.toLocalIterator():
         total[r.part * size : (r.part + 1) * size] = np.frombuffer(pa.decompress(r.counts, decompressed_size=size * 8, codec="zstd", asbytes=True), np.int64)
-    usual = 2 * total.mean() + 2
-    return np.clip(np.round(8 * np.log2((total + 1) / usual)), 0, 255).astype(np.uint8)
+    usual, ranks = 2 * total.mean() + 2, np.empty(COUNTERS, np.uint8)
+    for k in range(0, COUNTERS, size):
+        ranks[k : k + size] = np.clip(np.round(8 * np.log2((total[k : k + size] + 1) / usual)), 0, 255)
+    return ranks
 
 
 def signatures(docs: DataFrame, n: int, percent: int) -> DataFrame:

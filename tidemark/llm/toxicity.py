@@ -83,7 +83,7 @@ def fit(x: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, epochs: int | Non
     rate1 = y.mean()
     chosen = np.flatnonzero(seen >= LEAST_ROWS)
     slot[chosen] = np.arange(1, len(chosen) + 1)
-    rows = [np.concatenate([[0], slot[i][slot[i] > 0]]) for i, _ in x]  # slot 0, which stays zero, keeps every row from being empty
+    rows = [np.concatenate([slot[:1] * 0, slot[i][slot[i] > 0]]) for i, _ in x]  # slot 0, which stays zero, keeps every row from being empty
     seen, toxic = seen[chosen], toxic[chosen]
     z = (toxic - seen * rate1) / np.sqrt(seen * rate1 * (1 - rate1))
     error1 = np.concatenate([[0], np.where(np.abs(z) < LEAST_Z, 0.25 * np.sqrt(seen / (rate1 * (1 - rate1))) / len(y), 0)])
