@@ -10,8 +10,6 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_name
-
 #: From this score on a document is predicted to have label 1.
 THRESHOLD = 0.7
 
@@ -48,14 +46,14 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, unseen: Column
 def score_rows(docs: DataFrame, scores: Callable[[pa.Array], np.ndarray], columns: list[str], name: str = "score") -> DataFrame:
     """The given columns of docs and, as ``name``, the function's value for each text; a column of docs with that name is left out."""
     columns = [c for c in columns if c != name]
-    text = free_name("_text", columns)
+    places = [f"c{k}" for k in range(len(columns))]  # mapInArrow takes no names with dots
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(scores(batch.column(len(columns))), pa.float64())], [*columns, name])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(scores(batch.column(len(places))), pa.float64())], [*places, "score"])
 
-    own = [docs[f"`{c}`"] for c in columns]
-    return docs.select(*own, docs["text"].alias(text)).mapInArrow(add, docs.select(*own).schema.add(name, "double"))
+    own = [docs[f"`{c}`"].alias(k) for c, k in zip(columns, places, strict=True)]
+    return docs.select(*own, docs["text"].alias("of")).mapInArrow(add, docs.select(*own).schema.add("score", "double")).toDF(*columns, name)
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
