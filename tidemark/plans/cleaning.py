@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..catalog import query
 from ..functions.scalars import clamp, finite, sigmoid, squash
 from ..operators import cleaning as C
-from .panels import W, rounded, table, weekly_bars
+from .panels import W, table, weekly_bars
 
 
 @query(
