@@ -106,10 +106,10 @@ def shingle_ranks(docs: DataFrame, n: int) -> np.ndarray:
 
     kind = "part int, salt int, counts binary"
     parts = docs.select("text").mapInArrow(count, kind).repartition(16, "part", "salt").mapInArrow(add, kind).repartition(16, "part").mapInArrow(add, kind)
-    total = np.zeros(COUNTERS, np.int64)
+    total = np.zeros(COUNTERS, np.float32)  # exact enough for ranks, which are eighths of powers of two
     for r in parts.toLocalIterator():
         total[r.part * size : (r.part + 1) * size] = np.frombuffer(pa.decompress(r.counts, decompressed_size=size * 8, codec="zstd", asbytes=True), np.int64)
-    usual, ranks = 2 * total.mean() + 2, np.empty(COUNTERS, np.uint8)
+    usual, ranks = 2 * total.mean(dtype=np.float64) + 2, np.empty(COUNTERS, np.uint8)
     for k in range(0, COUNTERS, size):
         ranks[k : k + size] = np.clip(np.round(8 * np.log2((total[k : k + size] + 1) / usual)), 0, 255)
     return ranks

@@ -14,8 +14,6 @@ import re
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.ml.classification import GBTClassifier
-from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -172,6 +170,10 @@ class CandidateModel:
 
 def train(docs: DataFrame) -> CandidateModel:
     """Boost on two thirds of the samples, calibrate on the rest: per generator the lowest threshold of the wanted precision. Held-out spellings are in neither."""
+    # Imported here, as they hold memory on every driver that only imports this subpackage.
+    from pyspark.ml.classification import GBTClassifier
+    from pyspark.ml.feature import VectorAssembler
+
     spark = docs.sparkSession
     rows = samples(spark, contexts(docs)).filter("held = 0").repartition(2, "id").sortWithinPartitions("id").cache()
     vector = VectorAssembler(inputCols=list(FEATURES), outputCol="features")

@@ -38,7 +38,7 @@ def _distinct(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     for n, row, term in _terms(column):
         pairs = np.unique(row * TERMS + term)
         for x in np.split(pairs % TERMS, np.searchsorted(pairs, np.arange(1, n) * TERMS)):
-            yield x, np.ones(len(x))
+            yield x, np.zeros(0)  # a distinct term counts once
 
 
 @dataclass
