@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, exact_dedup, line_dedup, ngram_jaccard, packing, pii, quality, secrets, toxicity
+from . import chat, decontaminate, divergence, exact_dedup, hard_negatives, line_dedup, ngram_jaccard, packing, pii, quality, secrets, toxicity, urls
 
 
 def queries() -> dict:
@@ -17,6 +17,9 @@ def queries() -> dict:
         "op8_quality": quality.op8_quality,
         "op9_toxicity": toxicity.op9_toxicity,
         "op10_secrets": secrets.op10_secrets,
+        "op11_url_filter": urls.op11_url_filter,
+        "op12_hard_negatives": hard_negatives.op12_hard_negatives,
+        "op13_source_divergence": divergence.op13_source_divergence,
     }
 
 
@@ -26,4 +29,7 @@ def oracle_sql() -> dict[str, str]:
         "op4_chat_format": chat.OP4_SQL,
         "op5_ngram_jaccard": ngram_jaccard.OP5_SQL,
         "op6_exact_dedup": exact_dedup.OP6_SQL,
+        "op11_url_filter": urls.OP11_SQL,
+        "op12_hard_negatives": hard_negatives.OP12_SQL,
+        "op13_source_divergence": divergence.OP13_SQL,
     }
