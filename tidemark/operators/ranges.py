@@ -100,6 +100,27 @@ def vote(rows: DataFrame, agreements: int = 2) -> DataFrame:
     return out.select(*rows.columns, "score", direction.alias("direction"), confidence.alias("confidence"), kind.alias("kind"))
 
 
+def gap_fills(ticks: DataFrame, gap: float = 0.008, fill: float = 0.003, within: int = 1800) -> DataFrame:
+    """(symbol, opened_us, previous, opening, gap, filled_us, fill, signal, strength): the batch form of streaming.monitors.watched_gaps, of whose columns it has the meaning.
+
+    First and last prices by symbol and day are partial aggregates; only the ticks of days that open with a gap are held
+    against their opening.
+    """
+    us, day = F.unix_micros("ts"), F.floor(F.unix_micros("ts") / F.lit(86_400_000_000))
+    rows = ticks.filter("price IS NOT NULL").select("symbol", day.alias("day"), us.alias("us"), "id", "price")
+    ends = rows.groupBy("symbol", "day").agg(F.min(F.struct("us", "id", "price")).alias("a"), F.max(F.struct("us", "id", "price")).alias("z"))
+    was = F.lag("z.price").over(series("symbol", order="day"))
+    opened = ends.select("symbol", "day", F.col("a.us").alias("opened_us"), was.alias("previous"), F.col("a.price").alias("opening")).filter("previous != 0 AND opening != 0")
+    opened = opened.withColumn("gap", F.col("opening") / F.col("previous") - 1).filter(F.abs("gap") >= gap)
+    change = F.col("price") / F.col("opening") - 1
+    filled = F.when(F.col("gap") > 0, change <= -fill).otherwise(change >= fill) & (F.col("us") - F.col("opened_us") <= within * 1_000_000)
+    first = F.min(F.when(filled, F.struct("us", "id", F.abs(change).alias("change"))))
+    out = rows.join(opened, ["symbol", "day"]).groupBy("symbol", "opened_us", "previous", "opening", "gap").agg(first.alias("f"))
+    share = F.col("f.change") / F.abs("gap")
+    signal = F.when(F.col("f").isNotNull(), F.when(F.col("gap") > 0, "buy").otherwise("sell"))
+    return out.select("symbol", "opened_us", "previous", "opening", "gap", F.col("f.us").alias("filled_us"), F.coalesce(share, F.lit(0.0)).alias("fill"), signal.alias("signal"), F.when(signal.isNotNull(), F.least(F.lit(0.8), 0.5 + 0.3 * share)).otherwise(0.0).alias("strength"))
+
+
 def crossover_events(bars: DataFrame, fast: int = 20, slow: int = 50) -> DataFrame:
     """(symbol, date, event) entry at the golden cross of two plain means, exit at the death cross; no others."""
     w = series("symbol")

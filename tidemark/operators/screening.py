@@ -123,14 +123,15 @@ def rule_matches(events: DataFrame, rules: DataFrame) -> DataFrame:
     return events.join(F.broadcast(rules.filter("enabled")), "symbol").filter(compare(F.col("value"), F.col("operator"), F.col("target")))
 
 
-def cooled(matches: DataFrame, keys: list[str], at: str, seconds: int) -> DataFrame:
-    """matches with status: triggered, or cooldown_skipped within ``seconds`` of the last triggered one of the keys.
+def cooled(matches: DataFrame, keys: list[str], at: str, seconds: int, dedup: bool = False) -> DataFrame:
+    """matches with status: triggered, or cooldown_skipped less than ``seconds`` after the last triggered one of the keys.
 
-    Whether a match counts hangs on the one that counted before, but the first one after a gap of ``seconds`` always
-    does: each stretch between such gaps is sorted and streamed, with the last firing as all its state. The gaps are
-    found between slots of ``seconds``, as none fits within one. A match without a time is skipped.
+    With ``dedup`` a match in the same minute as the one before it is dedup_skipped, and counts for nothing else. Whether
+    a match counts hangs on the ones before, but the first one after a gap of ``seconds`` (and, with ``dedup``, a minute)
+    always does: each stretch between such gaps is sorted and streamed, with the last match and firing as all its state.
+    The gaps are found between slots of that width, as none fits within one. A match without a time is skipped.
     """
-    width = max(int(seconds), 1) * 1_000_000
+    width = max(int(seconds), 60 if dedup else 1) * 1_000_000
     rows = matches.select(*keys, "event_id", F.unix_micros(F.col(at).cast("timestamp")).alias("_at")).withColumn("_slot", F.floor(F.col("_at") / F.lit(width)))
     w = Window.partitionBy(*keys).orderBy("_slot")
     slots = rows.filter("_at IS NOT NULL").groupBy(*keys, "_slot").agg(F.min("_at").alias("_first"), F.max("_at").alias("_last"))
@@ -143,14 +144,19 @@ def cooled(matches: DataFrame, keys: list[str], at: str, seconds: int) -> DataFr
     known = rows.filter("_at IS NOT NULL").repartition(*keys, "_stretch").sortWithinPartitions(*keys, "_stretch", "_at", "event_id")
 
     def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        was, last = None, 0
+        was, last, minute = None, 0, None
         for batch in batches:
-            fired = []
+            said = []
             for *key, now in zip(*(batch.column(c).to_pylist() for c in [*keys, "_stretch", "_at"]), strict=True):
-                fires = key != was or now - last >= seconds * 1_000_000
-                was, last = key, now if fires else last
-                fired.append("triggered" if fires else "cooldown_skipped")
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in [*keys, "event_id"]), pa.array(fired, pa.string())], [*keys, "event_id", "status"])
+                if key != was:
+                    was, last, minute = key, None, None
+                if dedup and now // 60_000_000 == minute:
+                    said.append("dedup_skipped")
+                    continue
+                fires = last is None or now - last >= seconds * 1_000_000
+                last, minute = now if fires else last, now // 60_000_000
+                said.append("triggered" if fires else "cooldown_skipped")
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in [*keys, "event_id"]), pa.array(said, pa.string())], [*keys, "event_id", "status"])
 
     out = known.mapInArrow(stream, known.select(*keys, "event_id").schema.add("status", "string"))
     return out.union(rows.filter("_at IS NULL").select(*keys, "event_id", F.lit("cooldown_skipped")))

@@ -6,10 +6,12 @@ from pyspark.sql import functions as F
 
 from ..catalog import query
 from ..operators import bars as B
+from ..operators import ranges as R
 from ..operators import screening as Z
 from ..sources import market as M
 from ..sources.folder import new_path
 from ..streaming import live
+from ..streaming import monitors as S
 from .panels import D, W, daily_bars, rounded, table, ticks, weekly_bars
 from .trading import _MATCH, _rules
 
@@ -138,20 +140,67 @@ def stream_unseen(spark, sf_dir):
     return live.run(live.unseen(rows, ["event_type", "event_id"], "ts"), "unseen").select("event_id", "event_type", "value")
 
 
-def match_stream(spark, sf_dir):
-    events = event_stream(spark, sf_dir).select(F.col("event_type").alias("symbol"), "event_id", F.col("ts").cast("timestamp").alias("ts"), "value")
-    return Z.rule_matches(events, _rules(spark)).select(F.col("rule_id").cast("long").alias("rule"), "event_id", "ts")
+def arrivals(spark, sf_dir, parts=5, late="40 minutes"):
+    """The events in ``parts`` as they arrive: by time, but one in ten comes ``late``."""
+    events = table(spark, sf_dir, "events").select("event_id", "event_type", F.col("ts").cast("timestamp").alias("ts"), "value")
+    arrived = F.unix_micros(F.col("ts") + F.when(F.col("event_id") % 10 == 0, F.expr(f"INTERVAL {late}")).otherwise(F.expr("INTERVAL 0 MINUTES")))
+    first, last = events.agg(F.min(arrived), F.max(arrived)).first()
+    part = F.floor((arrived - first) * parts / (last - first + 1))
+    return [events.filter(part == k) for k in range(parts)]
 
 
-@query(
-    "i01_stream_cooldown",
-    f"""WITH RECURSIVE {_MATCH}, f AS (SELECT rule_id, min(ts) AS ts FROM ma GROUP BY rule_id UNION ALL SELECT f.rule_id, (SELECT min(m.ts) FROM ma m WHERE m.rule_id = f.rule_id AND date_trunc('second', m.ts) >= date_trunc('second', f.ts) + INTERVAL 6 HOURS) FROM f WHERE f.ts IS NOT NULL)
-    SELECT CAST(m.rule_id AS BIGINT) AS rule, m.event_id, CASE WHEN f.ts IS NOT NULL THEN 'triggered' ELSE 'cooldown_skipped' END AS status FROM ma m LEFT JOIN (SELECT DISTINCT * FROM f) f ON f.rule_id = m.rule_id AND f.ts = m.ts""",
-)
+def _matches(spark, events):
+    return Z.rule_matches(events.withColumnRenamed("event_type", "symbol"), _rules(spark)).select(F.col("rule_id").cast("long").alias("rule"), "event_id", "ts")
+
+
+#: The time up to which a stream with a delay of an hour has seen everything.
+_SEEN = "(SELECT date_trunc('milliseconds', max(ts)) - INTERVAL 1 HOUR FROM events)"
+_SEEN_MATCH = "(SELECT date_trunc('milliseconds', max(ts)) - INTERVAL 1 HOUR FROM ma)"
+_ALERTS = f"""WITH RECURSIVE {_MATCH}, mi AS (SELECT rule_id, event_id, epoch_us(ts) AS us, row_number() OVER (PARTITION BY rule_id ORDER BY ts, event_id) AS i FROM ma),
+    al AS (SELECT rule_id, event_id, i, 'triggered' AS status, us AS fired, us // 60000000 AS minute FROM mi WHERE i = 1
+           UNION ALL SELECT mi.rule_id, mi.event_id, mi.i, CASE WHEN mi.us // 60000000 = al.minute THEN 'dedup_skipped' WHEN mi.us - al.fired >= {{cooldown}} THEN 'triggered' ELSE 'cooldown_skipped' END,
+           CASE WHEN mi.us // 60000000 <> al.minute AND mi.us - al.fired >= {{cooldown}} THEN mi.us ELSE al.fired END, mi.us // 60000000 FROM al JOIN mi ON mi.rule_id = al.rule_id AND mi.i = al.i + 1)"""
+
+
+@query("i1_alert_log", _ALERTS.format(cooldown=7200 * 10**6) + " SELECT rule_id, event_id, status FROM al")
+def alert_log(spark, sf_dir):
+    """Every match with what became of it: triggered, held back by the cooldown, or a repeat within the minute."""
+    events = table(spark, sf_dir, "events").select(F.col("event_type").alias("symbol"), "event_id", "ts", "value")
+    return Z.cooled(Z.rule_matches(events, _rules(spark)), ["rule_id"], "ts", 7200, dedup=True)
+
+
+@query("i01_stream_cooldown", _ALERTS.format(cooldown=6 * 3600 * 10**6) + f" SELECT CAST(al.rule_id AS BIGINT) AS rule, al.event_id, status FROM al JOIN ma USING (rule_id, event_id) WHERE ts <= {_SEEN_MATCH}")
 def stream_cooldown(spark, sf_dir):
-    return live.run(live.cooled_alerts(match_stream(spark, sf_dir), 6 * 3600), "alerts")
+    """Alerts as events arrive in five runs, some of them late: up to the watermark what the whole table gives at once."""
+    return live.drained(spark, arrivals(spark, sf_dir), lambda events: S.cooled_alerts(_matches(spark, events), 6 * 3600, dedup=True), "alerts")
 
 
-@query("i02_one_shot", f"WITH {_MATCH} SELECT CAST(rule_id AS BIGINT) AS rule, arg_min(event_id, row(ts, event_id)) AS event_id FROM ma GROUP BY rule_id")
+@query("i02_one_shot", f"WITH {_MATCH}, os AS (SELECT CAST(rule_id AS BIGINT) AS rule, min(row(ts, event_id)) AS x FROM ma GROUP BY rule_id) SELECT rule, x.event_id FROM os WHERE x.ts <= {_SEEN_MATCH}".replace("x.event_id", "x[2] AS event_id").replace("x.ts", "x[1]"))
 def one_shot(spark, sf_dir):
-    return live.run(live.one_shot(match_stream(spark, sf_dir)), "shots")
+    return live.drained(spark, arrivals(spark, sf_dir), lambda events: S.one_shot(_matches(spark, events)), "shots")
+
+
+_GAPS = """tk AS (SELECT event_type AS symbol, epoch_us(ts) AS us, event_id AS id, value AS price, epoch_us(ts) // 86400000000 AS day FROM events),
+    ds AS (SELECT symbol, day, min(us) AS opened_us, arg_min(price, row(us, id)) AS opening, arg_max(price, row(us, id)) AS final FROM tk GROUP BY ALL),
+    op AS (SELECT symbol, day, opened_us, opening, lag(final) OVER (PARTITION BY symbol ORDER BY day) AS previous FROM ds),
+    ga AS (SELECT *, opening / previous - 1 AS gap FROM op WHERE previous <> 0 AND opening <> 0 AND abs(opening / previous - 1) >= 0.05),
+    fl AS (SELECT ga.symbol, ga.day, min(us) AS filled_us, arg_min(abs(price / opening - 1), row(us, id)) AS change FROM ga JOIN tk USING (symbol, day) WHERE us - opened_us <= 21600000000 AND CASE WHEN gap > 0 THEN price / opening - 1 <= -0.02 ELSE price / opening - 1 >= 0.02 END GROUP BY ALL),
+    gf AS (SELECT symbol, opened_us, round(previous, 6) AS previous, round(opening, 6) AS opening, round(gap, 6) AS gap, filled_us, round(coalesce(change / abs(gap), 0), 6) AS fill,
+           CASE WHEN filled_us IS NOT NULL THEN CASE WHEN gap > 0 THEN 'buy' ELSE 'sell' END END AS signal, round(CASE WHEN filled_us IS NOT NULL THEN least(0.8, 0.5 + 0.3 * change / abs(gap)) ELSE 0 END, 6) AS strength FROM ga LEFT JOIN fl USING (symbol, day))"""
+
+
+def _gap_ticks(events):
+    return events.select(F.col("event_type").alias("symbol"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("id"), F.col("value").alias("price"))
+
+
+@query("i6_gap_fills", f"WITH {_GAPS} SELECT * FROM gf")
+def gap_fills(spark, sf_dir):
+    """Days that open 5 percent or more off the price before, and whether 2 percent came back within six hours."""
+    return rounded(R.gap_fills(_gap_ticks(table(spark, sf_dir, "events")), 0.05, 0.02, 21600), 6, "previous", "opening", "gap", "fill", "strength")
+
+
+@query("i06_stream_gaps", f"WITH {_GAPS} SELECT * FROM gf WHERE opened_us <= epoch_us({_SEEN}) AND (filled_us <= epoch_us({_SEEN}) OR opened_us + 21600000000 < epoch_us({_SEEN}))")
+def stream_gaps(spark, sf_dir):
+    """The same from events that arrive in five runs, some of them late."""
+    out = live.drained(spark, arrivals(spark, sf_dir), lambda events: S.watched_gaps(_gap_ticks(events), 0.05, 0.02, 21600, "1 hour"), "gaps")
+    return rounded(out, 6, "previous", "opening", "gap", "fill", "strength")

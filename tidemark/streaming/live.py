@@ -1,28 +1,53 @@
-"""Structured Streaming: bars from ticks, dedup of late repeats, alerts with a cooldown, one-shot alerts.
+"""Structured Streaming: bars from ticks, dedup of late repeats; monitors with state are in ``monitors``.
 
-Each takes a streaming DataFrame and returns one; ``run`` drains what is there into a table, as a scheduled job would.
+Each takes a streaming DataFrame and returns one; ``run`` drains what is there into a table, as a scheduled job would,
+and ``drained`` does so again and again while the input arrives.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..sources.folder import new_path
+from ..sources.folder import new_path, remove
+from .monitors import STORE
+
+
+def take_what_is_there(stream: DataFrame, path: str, mode: str = "append") -> None:
+    """One run over all input that the stream's checkpoint under path has not seen, into the Parquet sink beside it."""
+    conf, key = stream.sparkSession.conf, "spark.sql.streaming.stateStore.providerClass"
+    was = conf.get(key)
+    conf.set(key, STORE)
+    try:
+        query = stream.writeStream.format("parquet").outputMode(mode).option("path", f"{path}/rows").option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
+    finally:
+        conf.set(key, was)
+    query.awaitTermination()
 
 
 def run(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
     """What the stream gives for all input that is there now, from a Parquet sink in the shared folder; the checkpoint lies beside it."""
     spark = stream.sparkSession
     path = new_path(spark, name)
-    stream.writeStream.format("parquet").outputMode(mode).option("path", f"{path}/rows").option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    take_what_is_there(stream, path, mode)
     return spark.read.schema(stream.schema).parquet(f"{path}/rows")
 
 
+def drained(spark: SparkSession, arrivals: list[DataFrame], build: Callable[[DataFrame], DataFrame], name: str) -> DataFrame:
+    """What ``build`` makes of a stream whose input arrives in parts, with a run after each part that starts from the checkpoint of the last one."""
+    path = new_path(spark, name)
+    for part in arrivals:
+        part.write.mode("append").parquet(f"{path}/in")
+        stream = build(spark.readStream.schema(part.schema).parquet(f"{path}/in"))
+        take_what_is_there(stream, path)
+    out = spark.read.schema(stream.schema).parquet(f"{path}/rows")
+    for done in ("in", "checkpoint"):
+        remove(spark, f"{path}/{done}")
+    return out
+
+
 def tick_bars(ticks: DataFrame, minutes: int, late: str = "10 minutes") -> DataFrame:
     """Bars of ticks (symbol, ts, price, volume, id), closed and labelled at the right, once the watermark has passed them."""
     shifted = ticks.withColumn("_t", F.col("ts") - F.expr("INTERVAL 1 MICROSECOND")).withWatermark("_t", late)
@@ -36,41 +61,3 @@ def tick_bars(ticks: DataFrame, minutes: int, late: str = "10 minutes") -> DataF
 def unseen(rows: DataFrame, keys: list[str], ts: str, late: str = "1 hour") -> DataFrame:
     """The first row of each key; repeats may come up to ``late`` after it, and the state of a key goes then."""
     return rows.withWatermark(ts, late).dropDuplicatesWithinWatermark(keys)
-
-
-def cooled_alerts(matches: DataFrame, seconds: int) -> DataFrame:
-    """matches (rule, event_id, ts) with status: triggered, or cooldown_skipped within ``seconds`` of the rule's last trigger.
-
-    The state of a rule is the time of its last trigger. A rule's matches of one batch meet in a task and are sorted
-    there; a batch is bounded by the source's limit on files or offsets.
-    """
-
-    def fire(key: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(chunks)).sort_values(["ts", "event_id"], kind="stable")
-        at = rows["ts"].astype("datetime64[us]").astype("int64") // 1_000_000
-        last, status = (state.get[0] if state.exists else None), []
-        for t in at:
-            fires = last is None or t - last >= seconds
-            last = int(t) if fires else last
-            status.append("triggered" if fires else "cooldown_skipped")
-        if last is not None:
-            state.update((last,))
-        yield pd.DataFrame({"rule": key[0], "event_id": rows["event_id"].to_numpy(), "status": status})
-
-    return matches.groupBy("rule").applyInPandasWithState(fire, "rule long, event_id long, status string", "last long", "append", GroupStateTimeout.NoTimeout)
-
-
-def one_shot(matches: DataFrame) -> DataFrame:
-    """(rule, event_id): the first match of each rule; a rule that has fired is off."""
-
-    def fire(key: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        first = None
-        for rows in chunks:
-            best = rows.sort_values(["ts", "event_id"]).iloc[0]
-            if first is None or (best["ts"], best["event_id"]) < (first["ts"], first["event_id"]):
-                first = best
-        if not state.exists and first is not None:
-            state.update((True,))
-            yield pd.DataFrame({"rule": [key[0]], "event_id": [first["event_id"]]})
-
-    return matches.groupBy("rule").applyInPandasWithState(fire, "rule long, event_id long", "done boolean", "append", GroupStateTimeout.NoTimeout)
