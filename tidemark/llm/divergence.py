@@ -1,10 +1,10 @@
 """Source divergence audit: how far the term frequencies of each source are from those of its language's other sources.
 
-Each term of a language becomes one wide row, an array of its smoothed frequencies by source; higher-order functions
-turn a row into the contributions of the pairs of sources, and the map side of an aggregate adds them up, so that a task
-ships one row for each pair and no more, however many terms it holds. Where a source lacks a term, its frequency is the
-same for all such terms: what terms give that one source or neither has follows from how often each count occurs in a
-source, and rows emit only the pairs of sources that both have the term, as a difference from that.
+Each term of a language becomes one wide row: higher-order functions pivot its counts into an array by source and smooth
+them into frequencies. Rows then emit the contributions of all pairs of sources, and the map side of an aggregate adds
+them up, so that a task ships one row for each pair and no more, however many terms it holds. The pairs come from two
+explodes of the array, and their arithmetic runs in generated code: as a lambda, which Spark interprets, it takes seven
+times as long.
 """
 
 from __future__ import annotations
@@ -61,11 +61,10 @@ def _excess(p: str, q: str) -> str:
 
 
 def wide_terms(terms: DataFrame, langs: DataFrame, total: int) -> DataFrame:
-    """(lang, term, sources, counts, p and none: arrays by source, q: the language's p) of each kept term; none is what p would be without the term; ``total`` counts the terms."""
+    """(lang, term, sources, counts and p: arrays by source, q: the language's p) of each kept term; ``total`` counts them."""
     rows = lookup_join(terms, langs, ["lang"], "v", total, F.col("term"))
     rows = rows.withColumn("counts", F.expr("transform(sources, s -> coalesce(try_element_at(by, s), 0L))"))
-    none = F.expr(f"transform(totals, t -> {_share('0', 't')})")
-    return rows.select("lang", "term", "sources", "counts", F.expr(f"transform(arrays_zip(counts, totals), x -> {_share('x.counts', 'x.totals')})").alias("p"), none.alias("none"), F.expr(_share("n", "total")).alias("q"))
+    return rows.select("lang", "term", "sources", "counts", F.expr(f"transform(arrays_zip(counts, totals), x -> {_share('x.counts', 'x.totals')})").alias("p"), F.expr(_share("n", "total")).alias("q"))
 
 
 def _ranked(rows: DataFrame, part: str) -> DataFrame:
@@ -73,26 +72,14 @@ def _ranked(rows: DataFrame, part: str) -> DataFrame:
     return rows.select("lang", "source", F.lit(part).alias("part"), "item", "value", F.row_number().over(by).alias("rank"))
 
 
-def pair_values(wide: DataFrame, terms: DataFrame, langs: DataFrame) -> DataFrame:
+def pair_values(wide: DataFrame, langs: DataFrame) -> DataFrame:
     """(lang, source, item, value) for each two sources of a language: the sum over its kept terms, 0 without any.
 
-    With f(x, y) of the counts x and y in two sources, the sum is v f(0, 0), and f(x, 0) - f(0, 0) for each term of the
-    first, f(0, y) - f(0, 0) for each of the second, f(x, y) - f(x, 0) - f(0, y) + f(0, 0) for each that both have.
+    A term's array meets itself source by source; what a task ships are sums, one row for each pair of a language.
     """
-    has = wide.select("lang", "p", "none", F.expr("filter(sequence(0, size(p) - 1), i -> counts[i] > 0)").alias("has"))
-    one = has.filter("size(has) > 1").select("lang", "p", "none", "has", F.explode("has").alias("a"))
-    one = one.select("lang", "p", "none", "has", "a", F.expr("p[a]").alias("x"), F.expr("none[a]").alias("x0"))
-    both = F.expr(f"transform(has, b -> struct(b AS b, {_excess('x', 'p[b]')} - {_excess('x', 'none[b]')} - {_excess('x0', 'p[b]')} + {_excess('x0', 'none[b]')} AS f))")
-    both = one.select("lang", "a", F.explode(both).alias("z")).select("lang", "a", "z.b", "z.f")
-    # Terms by source and count, of which there are few, stand for what the terms give that one of two sources lacks.
-    counts = terms.select("lang", F.explode("by").alias("source", "n")).groupBy("lang", "source", "n").agg(F.count("*").alias("times"))
-    known = langs.select("lang", "v", F.expr(f"transform(totals, t -> {_share('0', 't')})").alias("none"), F.explode(F.expr("transform(sources, (s, i) -> struct(s AS source, i AS a, totals[i] AS total))")).alias("g"))
-    known = known.filter("v > 0").select("lang", "v", "none", "g.*")
-    alone = counts.join(known, ["lang", "source"]).select("lang", "a", "times", "none", F.expr("none[a]").alias("x0"), F.expr(_share("n", "total")).alias("x"))
-    first = alone.select("lang", "a", F.posexplode(F.expr(f"transform(none, y0 -> times * ({_excess('x', 'y0')} - {_excess('x0', 'y0')}))")).alias("b", "f"))
-    second = alone.select("lang", F.col("a").alias("b"), F.posexplode(F.expr(f"transform(none, y0 -> times * ({_excess('y0', 'x')} - {_excess('y0', 'x0')}))")).alias("a", "f")).select("lang", "a", "b", "f")
-    neither = known.select("lang", "a", F.posexplode(F.expr(f"transform(none, y0 -> v * {_excess('none[a]', 'y0')})")).alias("b", "f"))
-    sums = both.union(first).union(second).union(neither).filter("a != b").groupBy("lang", "a", "b").agg(F.sum("f").alias("f"))
+    one = wide.select("lang", "p", F.posexplode("p").alias("a", "own"))
+    each = one.select("lang", "a", "own", F.posexplode("p").alias("b", "other")).filter("a != b")
+    sums = each.groupBy("lang", "a", "b").agg(F.sum(F.expr(_excess("own", "other"))).alias("f"))
     pairs = langs.select("lang", "sources", F.posexplode("sources").alias("a", "source"))
     pairs = pairs.select("lang", "a", "source", F.posexplode("sources").alias("b", "item")).filter("a != b")
     return pairs.join(sums, ["lang", "a", "b"], "left").select("lang", "source", "item", F.coalesce("f", F.lit(0).cast("long")).alias("value"))
@@ -114,7 +101,7 @@ def source_divergence(docs: DataFrame, top: int = TOP) -> DataFrame:
     terms = stage(kept_terms(term_counts(docs)), "terms")
     langs = stage(languages(docs, terms), "langs")
     wide = wide_terms(terms, langs, terms.count())
-    out = stage(_ranked(pair_values(wide, terms, langs), "pair").union(_ranked(term_values(wide), "term").filter(F.col("rank") <= top)), "divergence")
+    out = stage(_ranked(pair_values(wide, langs), "pair").union(_ranked(term_values(wide), "term").filter(F.col("rank") <= top)), "divergence")
     discard(terms)
     discard(langs)
     return out
