@@ -1,3 +1,3 @@
 """The queries of the market operators, registered on import."""
 
-from . import cleaning, evaluation, forecasts, indicators, panels, ranges, relate, rotation, scoring, stores, trading, volatility  # noqa: F401
+from . import cleaning, evaluation, forecasts, indicators, options, panels, ranges, relate, rotation, scoring, stores, trading, volatility  # noqa: F401

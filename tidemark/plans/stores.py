@@ -64,13 +64,24 @@ def closest_day(spark, sf_dir):
     return M.closest_days(days, stored).withColumn("trade_date", F.col("trade_date").cast("string"))
 
 
-@query("a12_append_unseen", "SELECT event_id, event_type, value FROM events WHERE event_id % 4 < 3")
+@query("a10_two_symbols_a_day", f"WITH {D} SELECT symbol, date, round(CASE WHEN symbol = 'A' AND day(date) % 2 = 0 THEN close * 2 ELSE close END, 6) AS close FROM b WHERE date BETWEEN DATE '1995-03-01' AND DATE '1995-04-15'")
+def two_symbols_a_day(spark, sf_dir):
+    """A store filled symbol by symbol, and one symbol's even days loaded again with other prices: no load touches what it does not bring."""
+    path = new_path(spark, "bars")
+    bars = daily_bars(spark, sf_dir).filter(F.col("date").between(F.lit("1995-03-01").cast("date"), F.lit("1995-04-15").cast("date"))).select("symbol", "date", "close")
+    for symbol in ("A", "R", "N"):
+        M.write_days(bars.filter(F.col("symbol") == symbol), path, "stock")
+    M.write_days(bars.filter("symbol = 'A' AND day(date) % 2 = 0").withColumn("close", F.col("close") * 2), path, "stock")
+    return rounded(M.read_range(spark, path, "stock", "1995-03-01", "1995-04-15"), 6, "close")
+
+
+@query("a12_append_unseen", "SELECT event_id, event_type, value FROM events")
 def append_unseen(spark, sf_dir):
     """Two loads that overlap: the second one's rows whose time a contract already has are left out (I3)."""
     path = new_path(spark, "greeks")
     rows = table(spark, sf_dir, "events").select("event_id", "event_type", "ts", "value")
-    M.append_unseen(rows.filter("event_id % 4 < 2"), path, ["event_type", "ts"])
-    M.append_unseen(rows.filter("event_id % 4 BETWEEN 1 AND 2"), path, ["event_type", "ts"])
+    M.append_unseen(rows.filter("event_id % 4 < 3"), path, ["event_type", "ts"], "ts")
+    M.append_unseen(rows.filter("event_id % 4 > 0"), path, ["event_type", "ts"], "ts")
     return spark.read.parquet(path).select("event_id", "event_type", "value")
 
 

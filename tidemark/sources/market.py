@@ -1,7 +1,7 @@
 """Stores of bars in day partitions, and text sources and sinks.
 
-A store is Parquet under asset_type=/trade_date=: scans of a range read only its partitions, a day is written again by
-overwriting its partition, and retention drops partitions. Nothing here opens files by hand.
+A store is Parquet under asset_type=/period=/trade_date=: scans of a range read only its partitions, and a load writes
+again only the days that it has rows for. Nothing here opens files by hand.
 """
 
 from __future__ import annotations
@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .folder import Scratch, exists
+
 #: Fixed aliases of the columns of bars.
 ALIASES = {
     "date": ("date", "datetime", "日期", "时间", "trade_date"),
@@ -30,11 +32,29 @@ def normalised(df: DataFrame) -> DataFrame:
     return df.select(*rest, *made)
 
 
-def write_days(bars: DataFrame, path: str, asset_type: str, period: str = "daily") -> None:
-    """Bars (date, ...) into their day partitions; the days that come up replace what they held."""
-    out = bars.select(F.lit(asset_type).alias("asset_type"), F.lit(period).alias("period"), F.to_date("date").alias("trade_date"), *bars.columns)
-    out = out.repartition("trade_date")  # one file a day and load
-    out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("asset_type", "period", "trade_date").parquet(path)
+def write_days(bars: DataFrame, path: str, asset_type: str, period: str = "daily", keys: tuple[str, ...] = ("symbol", "date"), files: int = 4) -> None:
+    """Merge bars (date, ...) into their day partitions: rows with the keys of a new one go, all others of the day stay.
+
+    Only the days that come up are read and written again; of new rows with the same keys any one stays. A day is dealt to
+    ``files`` tasks by its first key, so that none holds a whole day of all symbols. The merged days are written apart first: until
+    the last moment the old ones are there. Null keys are equal to each other.
+    """
+    spark = bars.sparkSession
+    marks = {"asset_type": F.lit(asset_type), "period": F.lit(period), "trade_date": F.to_date("date")}
+    new = bars.dropDuplicates(list(keys)).select(*[c.alias(k) for k, c in marks.items()], *bars.columns)
+    with Scratch(spark) as scratch:
+        new = scratch.table(new, "load")
+        if exists(spark, path):
+            days = [r.trade_date for r in new.select("trade_date").distinct().collect()]  # the partitions that are written again
+            old = spark.read.schema(new.schema).parquet(path).filter((F.col("asset_type") == asset_type) & (F.col("period") == period) & F.col("trade_date").isin(days))
+            same = None
+            for k in keys:
+                eq = old[k].eqNullSafe(new[k])
+                same = eq if same is None else same & eq
+            kept = old.join(new.select("trade_date", *keys), (old["trade_date"] == new["trade_date"]) & same, "left_anti")
+            new = scratch.table(new.unionByName(kept), "merged")
+        out = new.repartition("trade_date", F.pmod(F.xxhash64(keys[0]), F.lit(files)))
+        out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*marks).parquet(path)
 
 
 def read_range(spark: SparkSession, path: str, asset_type: str, start: str, end: str, period: str = "daily", symbols: list[str] | None = None) -> DataFrame:
@@ -52,13 +72,22 @@ def closest_days(asks: DataFrame, days: DataFrame, within: int = 30) -> DataFram
     return asks.join(reach.groupBy("day").agg(F.max("trade_date").alias("trade_date")), "day", "left")
 
 
-def append_unseen(new: DataFrame, path: str, keys: list[str]) -> None:
-    """Append the rows whose keys the table at path lacks, one per key; the table is made if it is not there."""
+def append_unseen(new: DataFrame, path: str, keys: list[str], at: str | None = None) -> None:
+    """Append the rows whose keys the table at path lacks, one per key; the table is made if it is not there.
+
+    Null keys are equal to each other. With ``at``, a key in time, only the table's rows within the load's range of it are read.
+    """
     spark = new.sparkSession
     new = new.dropDuplicates(keys)
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target):
-        new = new.join(spark.read.parquet(path).select(*keys), keys, "left_anti")
+    if exists(spark, path):
+        old = spark.read.schema(new.schema).parquet(path).select(*keys)
+        if at:
+            first, last = new.agg(F.min(at), F.max(at)).first()
+            old = old.filter(F.col(at).isNull() | (F.col(at).between(F.lit(first), F.lit(last)) if first is not None else F.lit(False)))
+        same = new[keys[0]].eqNullSafe(old[keys[0]])
+        for k in keys[1:]:
+            same = same & new[k].eqNullSafe(old[k])
+        new = new.join(old, same, "left_anti")
     new.write.mode("append").parquet(path)
 
 
