@@ -139,3 +139,21 @@ def key_levels(spark, sf_dir):
 @query("j13_divergence")
 def divergence(spark, sf_dir):
     return I.divergence(weekly_bars(spark, sf_dir))
+
+
+@query(
+    "j10_indicator_table",
+    f"""WITH {W}, {MOVES}, {TR}, a AS (SELECT symbol, date, close, {rolling('avg({})', 5, 'close')} AS ma5, {rolling('avg({})', 20, 'close')} AS ma20, {rolling('stddev_pop({})', 20, 'close')} AS dv FROM w),
+    {averaged('e', 'w', {'ef': ('close', 2 / 13), 'es': ('close', 2 / 27)})}, dd AS (SELECT symbol, date, ef - es AS dif FROM e), {averaged('s', 'dd', {'dea': ('dif', 0.2)})}, {averaged('r', 'g', {'up': ('gain', 1 / 14), 'down': ('loss', 1 / 14)})},
+    tt AS (SELECT symbol, date, {rolling('avg({})', 14, 'tr')} AS atr FROM t)
+    SELECT a.symbol, a.date, round(ma5, 6) AS ma5, round(ma20, 6) AS ma20, round(ma20 + 2 * dv, 6) AS upper20, round(s.dif, 6) AS dif, round(s.dea, 6) AS dea, round(CASE WHEN r.i > 14 THEN CASE WHEN r.down = 0 THEN 100 ELSE 100 - 100 / (1 + r.up / r.down) END END, 6) AS rsi14, round(tt.atr, 6) AS atr14
+    FROM a JOIN s USING (symbol, date) JOIN r USING (symbol, date) JOIN tt USING (symbol, date)""",
+)
+def indicator_table(spark, sf_dir):
+    """Any set of indicators by one SQL call."""
+    from ..functions import indicator_table as T
+
+    T.register(spark)
+    weekly_bars(spark, sf_dir).select("symbol", "date", "high", "low", "close").createOrReplaceTempView("weekly_bars_of_brands")
+    out = spark.sql("SELECT * FROM indicators(TABLE(weekly_bars_of_brands) PARTITION BY symbol ORDER BY (date), 'MA5,MA20,BOLL20,MACD,RSI14,ATR14')")
+    return rounded(out.select("symbol", "date", "ma5", "ma20", "upper20", "dif", "dea", "rsi14", "atr14"), 6, "ma5", "ma20", "upper20", "dif", "dea", "rsi14", "atr14")

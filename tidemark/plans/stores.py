@@ -9,9 +9,11 @@ from ..operators import bars as B
 from ..operators import ranges as R
 from ..operators import screening as Z
 from ..sources import market as M
+from ..sources import uploads as U
 from ..sources.folder import new_path
 from ..streaming import live
 from ..streaming import monitors as S
+from ..streaming import recorder as K
 from .panels import D, W, daily_bars, rounded, table, ticks, weekly_bars
 from .trading import _MATCH, _rules
 
@@ -215,3 +217,68 @@ def stream_gaps(spark, sf_dir):
     """The same from events that arrive in five runs, some of them late."""
     out = live.drained(spark, arrivals(spark, sf_dir), lambda events: S.watched_gaps(_gap_ticks(events), 0.05, 0.02, 21600, "1 hour"), "gaps")
     return rounded(out, 6, "previous", "opening", "gap", "fill", "strength")
+
+
+def _uploaded(spark, sf_dir):
+    """A folder of uploads: the orders of each clerk's number modulo 24 in a file, as JSON envelope, JSON array or CSV; some rows and one file in twelve are broken."""
+    path = new_path(spark, "uploads")
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), F.round("o_totalprice", 2).alias("p"), F.to_date("o_orderdate").alias("d"), (F.col("o_orderkey") % 24).alias("f"))
+    price = F.when(F.col("k") % 17 == 0, "n/a").otherwise(F.col("p").cast("string"))
+    day = F.when(F.col("k") % 19 == 0, "soon").otherwise(F.date_format("d", "yyyyMMdd"))
+    rows = o.select("f", "k", price.alias("p"), day.alias("d"))
+    json = F.to_json(F.struct(F.col("d").alias("时间"), F.col("p").alias("开盘"), F.col("p").alias("high"), F.col("p").alias("low"), F.col("p").alias("收盘"), F.col("k").alias("volume")))
+    named = F.to_json(F.struct(F.concat(F.lit("o"), F.col("k")).alias("symbol"), F.col("d").alias("date"), F.col("p").alias("open"), F.col("p").alias("high"), F.col("p").alias("low"), F.col("p").alias("close"), F.col("k").alias("volume")))
+    csv = F.concat_ws(",", F.concat(F.lit('"o,'), F.col("k"), F.lit('"')), "d", "p", "p", "p", F.when(F.col("k") % 23 > 0, F.col("p")), F.col("k").cast("string"))
+    kind = F.col("f") % 3
+    line = F.when(kind == 0, json).when(kind == 1, named).otherwise(csv)
+    files = rows.select("f", "k", line.alias("line")).groupBy("f").agg(F.sort_array(F.collect_list(F.struct("k", "line"))).alias("x"))
+    joined = lambda sep: F.array_join(F.col("x.line"), sep)
+    text = F.when(F.col("f") % 12 == 7, F.concat(F.lit("[{"), joined(","))).when(F.col("f") % 3 == 0, F.concat(F.lit('{"symbol":"s'), F.col("f"), F.lit('","period":"30","data":['), joined(","), F.lit("]}"))).when(F.col("f") % 3 == 1, F.concat(F.lit("["), joined(","), F.lit("]")))
+    files.select("f", F.coalesce(text, F.concat(F.lit("symbol,date,open,high,low,close,volume\n"), joined("\n"))).alias("value")).repartition("f").write.partitionBy("f").text(path)
+    return U.read_uploads(spark, f"{path}/*/")
+
+
+_UPLOADS = """up AS (SELECT o_orderkey AS k, o_orderkey % 24 AS f, round(o_totalprice, 2) AS p, CAST(o_orderdate AS TIMESTAMP) AS d FROM orders WHERE o_orderkey % 24 % 12 <> 7),
+    uj AS (SELECT *, CASE WHEN f % 3 = 2 AND k % 23 = 0 THEN 'not read' WHEN k % 17 = 0 THEN CASE f % 3 WHEN 2 THEN 'no number open high low close' ELSE 'no number open high low close' END WHEN k % 19 = 0 THEN 'no time' END AS reason FROM up)"""
+
+
+@query("a25_uploaded_bars", f"WITH {_UPLOADS} SELECT CASE f % 3 WHEN 0 THEN 'envelope' WHEN 1 THEN 'array' ELSE 'csv' END AS layout, CASE f % 3 WHEN 0 THEN 's' || f WHEN 1 THEN 'o' || k ELSE 'o,' || k END AS symbol, CASE WHEN f % 3 = 0 THEN '30' END AS period, CAST(d AS DATE) AS day, p AS open, p AS close, k::DOUBLE AS volume FROM uj WHERE reason IS NULL")
+def uploaded_bars(spark, sf_dir):
+    """Uploads of three layouts as one table."""
+    bars, _ = U.bars_and_rejects(_uploaded(spark, sf_dir))
+    return bars.select("layout", "symbol", "period", F.to_date("time").alias("day"), "open", "close", "volume")
+
+
+@query("a25_rejects", f"WITH {_UPLOADS}, br AS (SELECT DISTINCT o_orderkey % 24 AS f FROM orders WHERE o_orderkey % 24 % 12 = 7) SELECT CASE f % 3 WHEN 0 THEN 'envelope' WHEN 1 THEN 'array' ELSE 'csv' END AS layout, reason, count(*) AS n FROM uj WHERE reason IS NOT NULL GROUP BY ALL UNION ALL SELECT 'broken', 'not read', count(*) FROM br HAVING count(*) > 0")
+def upload_rejects(spark, sf_dir):
+    """What of the uploads was rejected, and why."""
+    _, rejects = U.bars_and_rejects(_uploaded(spark, sf_dir))
+    return rejects.groupBy("layout", "reason").agg(F.count("*").alias("n"))
+
+
+def _predicted(spark, sf_dir):
+    """A range for every order, by month, and what became of three in four of them."""
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_totalprice").alias("price"), F.trunc("o_orderdate", "month").alias("day"), "o_orderpriority")
+    price = F.col("price")
+    made = o.select(F.col("k").cast("string").alias("id"), F.concat(F.lit("s"), F.col("k") % 50).alias("symbol"), F.when(F.col("k") % 2 == 0, "scheduled").otherwise("on_demand").alias("source"), F.col("o_orderpriority").alias("method"), F.col("day").cast("timestamp").alias("made_at"), "price", (price * (1 - (F.col("k") % 7) / 100)).alias("lower"), (price * (1 + (F.col("k") % 5 - 1) / 100)).alias("upper"), F.lit(0.5).alias("confidence"), "day")
+    came = made.filter("id % 4 > 0").select("symbol", "source", "day", (F.col("price") * 1.02).alias("actual_high"), (F.col("price") * 0.97).alias("actual_low"), (F.col("price") * 1.01).alias("actual_close"))
+    return made, came
+
+
+@query(
+    "t3_recorded",
+    """WITH m AS (SELECT CAST(o_orderkey AS VARCHAR) AS id, 's' || o_orderkey % 50 AS symbol, CASE WHEN o_orderkey % 2 = 0 THEN 'scheduled' ELSE 'on_demand' END AS source, o_orderpriority AS method, o_totalprice AS price, o_totalprice * (1 - (o_orderkey % 7) / 100) AS lower, o_totalprice * (1 + (o_orderkey % 5 - 1) / 100) AS upper, CAST(date_trunc('month', o_orderdate) AS DATE) AS day, o_orderkey AS k FROM orders),
+    c AS (SELECT symbol, source, day, max(row(price * 1.01, price * 1.02, price * 0.97)) AS a FROM m WHERE k % 4 > 0 GROUP BY ALL)
+    SELECT method, source, count(*) AS n, count(a) AS verified, count(*) FILTER (lower <= price AND price <= upper) AS usable, round(avg(CASE WHEN a IS NOT NULL AND lower <= price AND price <= upper THEN CASE WHEN a[2] <= upper AND a[3] >= lower THEN 1.0 ELSE 0 END END), 8) AS hit_rate,
+    round(avg(CASE WHEN a IS NOT NULL AND lower <= price AND price <= upper THEN greatest(0, least(upper, a[2]) - greatest(lower, a[3])) / (a[2] - a[3]) END), 8) AS coverage, round(avg(CASE WHEN a IS NOT NULL AND lower <= price AND price <= upper THEN (upper - lower) / price * 100 END), 8) AS mean_width,
+    round(avg(CASE WHEN a IS NOT NULL AND lower <= price AND price <= upper THEN greatest(0, lower - a[1], a[1] - upper) / price * 100 END), 8) AS mean_miss FROM m LEFT JOIN c USING (symbol, source, day) GROUP BY ALL""",
+)
+def recorded(spark, sf_dir):
+    """Predictions stored from one stream and completed by another, each in two runs of which the second brings the first one's rows again; then the report by method."""
+    path = new_path(spark, "predictions")
+    made, came = _predicted(spark, sf_dir)
+    for name, rows, put in (("made", made, K.recorder(path)), ("came", came, K.completer(path))):
+        for part in (rows, rows.filter(F.month("day") <= 3)):
+            part.write.mode("append").parquet(f"{path}-{name}/in")
+            K.take(spark.readStream.schema(rows.schema).parquet(f"{path}-{name}/in"), put, f"{path}-{name}/checkpoint")
+    return rounded(K.method_report(K.stored(spark, path), ["method", "source"]), 8, "hit_rate", "coverage", "mean_width", "mean_miss")
