@@ -29,8 +29,8 @@ def strategy_events(bars: DataFrame, warm_up: dict[str, int] | None = None, fast
     out = bars.select("symbol", "date", "high", "low", F.col("close").cast("double").alias("close"))
     specs = {"e_fast": ("close", 2 / 13), "e_slow": ("close", 2 / 27), "dif": lambda x: x["e_fast"] - x["e_slow"], "dea": ("dif", 0.2)}
     out = recursive_averages(out, specs).withColumn("i", F.row_number().over(w))
-    move = F.col("close") - F.lag("close").over(w)
-    out = out.withColumns({"s_fast": sma("close", fast, w), "s_slow": sma("close", slow, w), "up": F.when(move.isNotNull(), F.greatest(move, F.lit(0.0))), "down": F.when(move.isNotNull(), F.greatest(-move, F.lit(0.0))), "mean": sma("close", 20, w), "dev": full(F.stddev_samp("close"), 20, w, F.col("close"))})
+    move = F.coalesce(F.col("close") - F.lag("close").over(w), F.lit(0.0))  # a first bar counts as no move
+    out = out.withColumns({"s_fast": sma("close", fast, w), "s_slow": sma("close", slow, w), "up": F.greatest(move, F.lit(0.0)), "down": F.greatest(-move, F.lit(0.0)), "mean": sma("close", 20, w), "dev": full(F.stddev_samp("close"), 20, w, F.col("close"))})
     out = out.withColumns({"g": full(F.avg("up"), 14, w, F.col("up")), "l": full(F.avg("down"), 14, w, F.col("down"))})
     before = w.rowsBetween(-20, -1)
     seen = F.count("high").over(before) == 20

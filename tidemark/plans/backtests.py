@@ -21,7 +21,7 @@ _FLAGS = ", ".join(f"CASE WHEN i > {(K.STRATEGIES | WARM)[k]} THEN CASE WHEN {a}
 _EVENTS = f"""{averaged('qe', 'w', {'ef': ('close', 2 / 13), 'es': ('close', 2 / 27)})}, qd AS (SELECT * EXCLUDE (i), ef - es AS dif FROM qe), {averaged('qs', 'qd', {'dea': ('dif', 0.2)})},
     qm AS (SELECT *, close - lag(close) {OVER} AS d, {rolling('avg({})', 20, 'close')} AS mean, {rolling('stddev_samp({})', 20, 'close')} AS dev, {rolling('avg({})', 20, 'close')} AS sf, {rolling('avg({})', 50, 'close')} AS ss, CASE WHEN count(high) OVER b20 = 20 THEN max(high) OVER b20 END AS top, CASE WHEN count(low) OVER b20 = 20 THEN min(low) OVER b20 END AS bottom, (close / nullif(lag(close, 13) {OVER}, 0) - 1) * 100 AS roc
            FROM qs WINDOW b20 AS (PARTITION BY symbol ORDER BY date ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING)),
-    qg AS (SELECT *, CASE WHEN d IS NOT NULL THEN greatest(d, 0) END AS u, CASE WHEN d IS NOT NULL THEN greatest(-d, 0) END AS n FROM qm), qa AS (SELECT *, {rolling('avg({})', 14, 'u')} AS g, {rolling('avg({})', 14, 'n')} AS l FROM qg),
+    qg AS (SELECT *, greatest(coalesce(d, 0), 0) AS u, greatest(coalesce(-d, 0), 0) AS n FROM qm), qa AS (SELECT *, {rolling('avg({})', 14, 'u')} AS g, {rolling('avg({})', 14, 'n')} AS l FROM qg),
     qr AS (SELECT *, CASE WHEN l > 0 THEN 100 - 100 / (1 + g / l) WHEN g > 0 THEN 100 END AS rsi, CASE WHEN dev > 0 THEN (close - mean) / dev END AS z FROM qa), qf AS (SELECT symbol, date, close, i, {_FLAGS} FROM qr),
     qv AS (SELECT symbol, date, close, i, substr(name, 4) AS strategy, event FROM qf UNPIVOT INCLUDE NULLS (event FOR name IN ({", ".join(f"ev_{k}" for k in _SIDES)})))"""
 _CURVE = """h1 AS (SELECT *, coalesce(last_value(event IGNORE NULLS) OVER v = 'entry', false) AS held, lead(i) OVER o IS NULL AS final FROM qv WINDOW v AS (PARTITION BY strategy, symbol ORDER BY date ROWS UNBOUNDED PRECEDING), o AS (PARTITION BY strategy, symbol ORDER BY date)),
