@@ -23,7 +23,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, unseen: Column
     """(ids and counts of the features of each row, labels) of at most ``rows`` labelled rows, picked by a hash of doc_id.
 
     Features are made where the texts lie; the sample of labels is bounded by ``rows``, and so is what reaches the driver.
-    Rows without a label, and labels other than 0 and 1, are passed over.
+    Rows without a label, and labels other than 0 and 1, are passed over. A doc_id that repeats is one row, with the
+    largest of its labels and the least of its texts, before anything leaves the executors.
     """
     known = labels.filter(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1) & ~unseen).groupBy("doc_id").agg(F.max(label).alias("y"))
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
@@ -36,7 +37,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, unseen: Column
                 counts.append(c.astype(np.int32))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("y"), pa.array(ids, pa.list_(pa.int32())), pa.array(counts, pa.list_(pa.int32()))], ["doc_id", "y", "ids", "counts"])
 
-    some = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("y").cast("int").alias("y"), "text")
+    some = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text"))
+    some = some.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("y").cast("int").alias("y"), "text")
     got = some.mapInArrow(extract, "doc_id long, y int, ids array<int>, counts array<int>").toArrow()
     order = pc.sort_indices(got.column("doc_id")).to_numpy()[:rows]  # the table itself is not copied
     ids, counts = got.column("ids"), got.column("counts")

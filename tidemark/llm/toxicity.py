@@ -16,8 +16,8 @@ from .labelled import THRESHOLD, held_out, score_rows, sigmoid, training_rows
 
 #: Hashed terms; labelled rows to learn from at most; latent factors of a term; least rows of a term that gets weights; z-score under which a term alone says little; bytes of a prefix.
 TERMS, ROWS, FACTORS, LEAST_ROWS, LEAST_Z, PREFIX = 1 << 18, 8000, 4, 4, 4.0, 5
-#: Gradient steps of the training.
-STEPS = 1000
+#: Passes of the training over its rows.
+PASSES = 60
 
 
 def _terms(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -67,8 +67,8 @@ class FactorizationMachine:
         return np.concatenate(parts)
 
 
-def fit(x: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, epochs: int | None = None, rate: float = 0.2, decay: float = 1e-4, batch: int = 256, seed: int = 7) -> FactorizationMachine:
-    """Minimise the log loss by adaptive gradients over all terms of at least LEAST_ROWS rows, in about STEPS steps and 60 passes at most.
+def fit(x: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, epochs: int = PASSES, rate: float = 0.2, decay: float = 1e-4, batch: int = 256, seed: int = 7) -> FactorizationMachine:
+    """Minimise the log loss by adaptive gradients over all terms of at least LEAST_ROWS rows, in ``epochs`` passes.
 
     Terms that do not tell the labels apart alone (|z| < LEAST_Z) are held back by the standard error of their gradient
     and not left out: their linear weight moves once its gradient is beyond LEAST_Z of it, their factors grow once their
@@ -93,7 +93,7 @@ def fit(x: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, epochs: int | Non
     m.v[0] = 0
     weight = np.where(y == 1, 0.5 / rate1, 0.5 / (1 - rate1))  # both labels count alike
     gw, gv, gb = np.full_like(m.w, 1e-6), np.full_like(m.v, 1e-6), 1e-6
-    for _ in range(epochs or min(60, -(-STEPS * batch // len(y)))):
+    for _ in range(epochs):
         order = rng.permutation(len(y))
         for some in np.split(order, range(batch, len(order), batch)):
             s, n = np.concatenate([rows[k] for k in some]), [len(rows[k]) for k in some]
