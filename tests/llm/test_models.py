@@ -4,6 +4,7 @@ import random
 import re
 
 import numpy as np
+import regex
 import pyarrow as pa
 
 from tidemark.llm import decontaminate, pii, quality, secrets, toxicity
@@ -65,13 +66,7 @@ def test_machine_learns_pairs():
         a = int(rng.integers(0, 2))
         terms = [11 + a, 13 + (a if t else 1 - a)]
         x.append((np.array(terms), np.ones(2)))
-    m = toxicity.fit([(np.r_[i, 20 + 0 * i[:1]], np.ones(3)) for i, _ in x], y.astype(float))
-    # No term alone tells the labels apart, so none may pass the filter; with it off the pairs carry the signal.
-    toxicity.LEAST_Z, was = -1.0, toxicity.LEAST_Z
-    try:
-        m = toxicity.fit(x, y.astype(float), epochs=80)
-    finally:
-        toxicity.LEAST_Z = was
+    m = toxicity.fit(x, y.astype(float), epochs=80)
     p = [m.logits(1, np.zeros(2, np.int64), m.slot[i].astype(np.int64))[0] > 0 for i, _ in x]
     assert np.mean(p == y) > 0.9
 
@@ -112,7 +107,7 @@ def test_secret_model_on_strings_not_learnt(spark):
     model = secrets.train(prose)
     rates = secrets.evaluate(prose, model)
     print(rates)
-    assert rates["random"] >= 0.95 and rates["letters"] >= 0.8 and rates["identifiers"] <= 0.01
+    assert min(rates["random_16"], rates["random_20"], rates["random_24"]) >= 0.95 and rates["letters"] >= 0.8 and rates["identifiers"] <= 0.01
     docs = spark.createDataFrame([(1, "=" * 40 + " and " + "-" * 60), (2, "internationalisation_of_the_station_1"), (3, "key QwErTyZxKvPlMnBgHjRd")], "doc_id long, text string")
     out = {r.doc_id: r._random for r in secrets.find_secrets(docs, model).collect()}
     assert not out[1] and len(out[3]) == 1
@@ -153,6 +148,46 @@ def test_pii_in_very_long_runs(spark):
     assert len(out[8]._ip) == 125_000 and not out[0]._card and not out[1]._card
 
 
+def test_very_many_spans_in_one_text(spark):
+    """Forty thousand of each kind side by side: the added ones are held against the fixed ones in blocks."""
+    prose = spark.createDataFrame([(i, " ".join(random.Random(i).choices(WORDS, k=60))) for i in range(100)], "doc_id long, text string")
+    n = 20_000
+    one = spark.createDataFrame([(1, "call me: 212-555-7788 or a@b.co " * n)], "doc_id long, text string")
+    r = pii.find_pii(one, pii.train(prose)).select("_email", "_added").first()
+    assert [x.start for x in r._email] == [25 + 32 * k for k in range(n)] and [x.start for x in r._added] == [9 + 32 * k for k in range(n)]
+    one = spark.createDataFrame([(1, "password=hunter2x aK9dk2LmQ8zPw0RtY3vB " * n)], "doc_id long, text string")
+    rng = random.Random(7)
+    prose = spark.createDataFrame([(i, " ".join("".join(rng.choices(["the", "sta", "tion", "run", "ning", "un", "der", "peo", "ple", "na", "gre", "mo"], k=3)) for _ in range(80))) for i in range(100)], "doc_id long, text string")
+    r = secrets.find_secrets(one, secrets.train(prose)).select("_assign", "_random").first()
+    assert [x.start for x in r._assign] == [39 * k for k in range(n)] and [x.start for x in r._random] == [18 + 39 * k for k in range(n)]
+
+
+def test_added_spans_against_plain_python(spark):
+    """Spellings planted in prose: what is added are the candidates over their threshold that touch no fixed span, the likelier of two that overlap."""
+    rng = random.Random(3)
+    said = ["(212) 555-7788", "030 1234 5678", "anna5 (at) mail3 (dot) com", "12ab:34cd:56ef:78ab:9abc:def0", "4111.1111.1111.1111", "a.b@c.de", "10.0.0.1", "+1 555 123 4567", "order 2024-01-05", "12:30:45:10"]
+    rows = [(i, " ".join(rng.choices(WORDS, k=6)) + " call me: " + rng.choice(said) + rng.choice([" ", ", ", ". ", "/"]) + rng.choice(said) + " " + rng.choice(WORDS)) for i in range(150)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    model = pii.train(docs)
+    out = {r.doc_id: r for r in pii.find_pii(docs, model).collect()}
+    from pyspark.sql import functions as F
+
+    flat = spark.createDataFrame([(i, g, m.start(), m.end(), m[0], t[max(0, m.start() - pii.BEFORE) : m.start()], t[m.end() : m.end() + 1]) for i, t in rows for g, (_, p) in enumerate(pii.GENERATORS) for m in regex.finditer(p, t)], "doc_id long, g int, a int, b int, text string, before string, after string")
+    x = pii._features(F.col("g"), F.col("text"), F.col("before"), F.col("after"))
+    p = {(r.doc_id, r.g, r.a, r.b): r.p for r in flat.withColumn("f", x).select("doc_id", "g", "a", "b", model.probability(F.col("f")).alias("p")).collect()}
+    digits = lambda t: re.sub("[^0-9]", "", t)
+    luhn = lambda d: sum(v if k % 2 == 0 else (2 * v - 9 if v > 4 else 2 * v) for k, v in enumerate(map(int, reversed(d)))) % 10 == 0
+    fits = {"phone": lambda t: 7 <= len(digits(t)) <= 15, "card": lambda t: 13 <= len(digits(t)) <= 19 and luhn(digits(t))}
+    texts, kinds = dict(rows), [k for k, _ in pii.GENERATORS]
+    for i, r in out.items():
+        base = [(s.start, s.end) for k in pii.KINDS for s in r[f"_{k}"]]
+        apart = lambda a, b, of: all(b <= c or a >= d for c, d in of)
+        mine = [(q, g, a, b) for (j, g, a, b), q in p.items() if j == i and fits.get(kinds[g], lambda t: True)(texts[i][a:b]) and apart(a, b, base) and q >= model.thresholds[g]]
+        kept = [(kinds[g], a, b) for q, g, a, b in mine if not any((c < b and a < d) and h != g and (z > q or z == q and h < g) for z, h, c, d in mine)]
+        assert sorted((s.kind, s.start, s.end) for s in r._added) == sorted(kept), texts[i]
+    assert sum(len(r._added) for r in out.values()) > 60
+
+
 def plain_distance(item, words):
     """The least edit distance of item to any stretch of words."""
     row = [0] * (len(words) + 1)

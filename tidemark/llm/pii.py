@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
-from .spans import add_matches, digest, joined, labelled
+from .spans import add_matches, digest, joined, labelled, untouched
 
 KINDS = ("email", "ip", "card", "phone")
 #: A match starts where a run of its characters starts, or where the match before it ended: anything else would be tried in vain.
@@ -231,7 +231,7 @@ def find_pii(docs: DataFrame, model: CandidateModel) -> DataFrame:
     spelled = text.rlike(r"\(at\)|\[at\]|\x20at\x20")
     gates = (at | spelled, F.col("_digits"), text.contains(":"), F.col("_digits"))
     patterns |= {f"_c{g}": (pattern, gate) for g, ((_, pattern), gate) in enumerate(zip(GENERATORS, gates, strict=True))}
-    out = add_matches(out, "_text", patterns)
+    out = add_matches(out, "_text", patterns, before=BEFORE, around=tuple(f"_c{g}" for g in range(len(GENERATORS))))
     digits = lambda x: F.regexp_replace(x["text"], "[^0-9]", "")
     out = out.withColumns(
         {
@@ -240,33 +240,28 @@ def find_pii(docs: DataFrame, model: CandidateModel) -> DataFrame:
             "_phone": F.filter("_phone", lambda x: F.length(digits(x)).between(9, 15)),
         }
     )
-    out = out.withColumn("_base", F.concat("_email", "_ip", "_card", "_phone"))
+    out = out.withColumn("_base", F.transform(F.concat("_email", "_ip", "_card", "_phone"), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"))))
 
     def free(g: int) -> Column:
         # A phone number has 7 to 15 digits, a card 13 to 19 with a check sum.
         rules = {"phone": lambda x: F.length(digits(x)).between(7, 15), "card": lambda x: F.when(F.length(digits(x)).between(13, 19), _luhn(digits(x))).otherwise(False)}
         fits = rules.get(GENERATORS[g][0], lambda x: F.lit(True))
-        return F.filter(f"_c{g}", lambda x: fits(x) & ~F.exists("_base", lambda y: (x["start"] < y["end"]) & (y["start"] < x["end"])))
+        return untouched(F.filter(f"_c{g}", fits), F.col("_base"))
 
     out = out.withColumns({f"_c{g}": free(g) for g in range(len(GENERATORS))})
 
     def judged(g: int) -> Column:
-        def put(x: Column) -> Column:
-            begin = F.greatest(F.lit(0), x["start"] - BEFORE)
-            before, after = F.substring(text, begin + 1, x["start"] - begin), F.substring(text, x["end"] + 1, F.lit(1))
-            return F.struct(x["start"].alias("start"), x["end"].alias("end"), _features(F.lit(g), x["text"], before, after).alias("f"))
-
-        return F.transform(f"_c{g}", put)
+        return F.transform(f"_c{g}", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), _features(F.lit(g), x["text"], x["before"], x["after"]).alias("f")))
 
     out = out.withColumns({f"_c{g}": judged(g) for g in range(len(GENERATORS))})
 
     def scored(g: int) -> Column:
-        spans = F.transform(f"_c{g}", lambda x: F.struct(F.lit(g).alias("g"), x["start"].alias("start"), x["end"].alias("end"), model.probability(x["f"]).alias("p")))
+        spans = F.transform(f"_c{g}", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), F.lit(g).alias("g"), model.probability(x["f"]).alias("p")))
         return F.filter(spans, lambda x: x["p"] >= model.thresholds[g])
 
     out = out.withColumn("_judged", F.concat(*[scored(g) for g in range(len(GENERATORS))]))
-    better = lambda y, x: (y["p"] > x["p"]) | ((y["p"] == x["p"]) & (y["g"] < x["g"]))
-    out = out.withColumn("_judged", F.filter("_judged", lambda x: ~F.exists("_judged", lambda y: (x["start"] < y["end"]) & (y["start"] < x["end"]) & (y["g"] != x["g"]) & better(y, x))))
+    better = lambda y, x: (y["g"] != x["g"]) & ((y["p"] > x["p"]) | ((y["p"] == x["p"]) & (y["g"] < x["g"])))
+    out = out.withColumn("_judged", untouched(F.col("_judged"), F.col("_judged"), better))
     kind = lambda x: F.get(F.array(*[F.lit(k) for k, _ in GENERATORS]), x["g"])
     order = lambda x: F.get(F.array(*[F.lit(KINDS.index(k)) for k, _ in GENERATORS]), x["g"])
     added = F.transform("_judged", lambda x: F.struct(order(x).alias("order"), x["start"].alias("start"), kind(x).alias("kind"), x["end"].alias("end")))
