@@ -19,6 +19,29 @@ def index(spark, path=None):
     return exact_dedup.DigestIndex(spark, f"t_{uuid.uuid4().hex}", path, buckets=4)
 
 
+def test_second_load_meets_the_first(spark, tmp_path):
+    """Of equal texts over both loads the longest row stays, then the least id, whichever load brought it; compaction changes nothing."""
+    first = [(5, "a b"), (6, "c"), (7, "d  d"), (None, "n"), (9, None)]
+    second = [(3, "ab"), (4, "a  b"), (2, "c"), (8, "d d"), (1, "n"), (10, ""), (11, "new"), (12, " ")]
+    index = exact_dedup.DigestIndex(spark, f"t_{uuid.uuid4().hex}", str(tmp_path / "better"), buckets=3)
+    schema = "doc_id long, text string"
+    keep = lambda out: {(r.doc_id, r.keep_id, r.group_size, r.kept) for r in out.collect()}
+    assert keep(exact_dedup.exact_dedup(spark.createDataFrame(first, schema), index, better=True)) == {(5, 5, 1, True), (6, 6, 1, True), (7, 7, 1, True), (None, None, 1, True), (9, 9, 1, True)}
+    want = {(3, 4, 2, False), (4, 4, 2, True), (2, 2, 1, True), (8, 7, 1, False), (1, 1, 1, True), (10, 12, 2, False), (11, 11, 1, True), (12, 12, 2, True)}
+    rows = spark.createDataFrame(second, schema)
+    assert keep(exact_dedup.exact_dedup(rows, index, better=True)) == want
+    assert spark.table(index.name).count() > index.rows().count() == 6
+    assert keep(exact_dedup.exact_dedup(rows, index, better=True)) == want
+    index.compact()
+    assert spark.table(index.name).count() == index.rows().count() == 6
+    assert keep(exact_dedup.exact_dedup(rows, index)) == want
+    again = exact_dedup.DigestIndex(spark, f"t_{uuid.uuid4().hex}", str(tmp_path / "other"), expected=10**9)
+    assert again.buckets == 500
+    plan = index.unseen(exact_dedup._groups(exact_dedup.digests(rows)))._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "LeftAnti" in plan
+
+
+
 def test_exact_groups_ties_and_nulls(spark):
     rows = [(1, "a b"), (2, "ab"), (3, "a  b"), (4, None), (5, ""), (6, " "), (7, "c"), (8, "a  b"), (None, "c")]
     out = {r.doc_id: r for r in exact_dedup.exact_dedup(frame(spark, rows), index(spark)).collect()}
