@@ -147,3 +147,12 @@ def fold_status(rows: DataFrame, by: list[str], status: str) -> DataFrame:
     """(by, status): the worst of ok, degraded, error; what is neither counts as degraded."""
     level = F.when(F.col(status) == "ok", 0).when(F.col(status) == "error", 2).otherwise(1)
     return rows.groupBy(*by).agg(F.get(F.array(F.lit("ok"), F.lit("degraded"), F.lit("error")), F.max(level)).alias("status"))
+
+
+def prediction_metrics(rows: DataFrame, by: list[str]) -> DataFrame:
+    """(by, n, hit_rate, brier, degraded_share, concentration) of predictions (by, symbol, hit, p, degraded): concentration is the sum of the squared shares of symbols; a missing hit is in neither rate."""
+    hit = F.col("hit").cast("int")
+    each = rows.groupBy(*by, "symbol").agg(F.count("*").alias("n"), F.count(hit).alias("k"), F.sum(hit).alias("h"), F.sum(F.when(hit.isNotNull(), (F.col("p") - hit) ** 2)).alias("b"), F.sum(F.col("degraded").cast("int")).alias("d"))
+    n = F.sum("n")
+    known = F.when(F.sum("k") > 0, F.sum("k"))
+    return each.groupBy(*by).agg(n.alias("n"), (F.sum("h") / known).alias("hit_rate"), (F.sum("b") / known).alias("brier"), (F.sum("d") / n).alias("degraded_share"), (F.sum(F.col("n") * F.col("n")) / (n * n)).alias("concentration"))
