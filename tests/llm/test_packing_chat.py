@@ -85,3 +85,15 @@ def test_chat_reads_back(spark):
     text = {r.conv_id: r.formatted for r in made.collect()}
     assert text[2] == "[INST]assistant[/INST]a\\\\</s>[INST]assistant[/INST]b</s>"
     assert chat.format_chats(df.limit(0)).count() == 0
+
+
+def test_other_tokenizers_keep_their_own_ids():
+    """A tokenizer that splits in another way is used as it is; the one that the cached path knows is not."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    texts = ["Hello World, it's 3.14!", "  a\tb\n", "Ünder <|endoftext|> x"]
+    for name, own in (("word_bpe_49k.json", False), ("byte_bpe_50k.json", True)):
+        words, plain = packing.WordTokens(public_tokenizers.path(name)), Tokenizer.from_file(public_tokenizers.path(name))
+        assert words.own is own
+        assert [list(np.frombuffer(x, "<u4")) for x in words.encode(texts)] == [plain.encode(t, add_special_tokens=False).ids for t in texts]

@@ -117,6 +117,10 @@ _PLAIN = re.compile("[^\t-\r -~¡-į]")
 _SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
+#: Texts that tell whether a tokenizer splits as the cached path does: cases, digits, marks, apostrophes, white space, other scripts.
+PROBES = ("Hello, World. it's WE'LL don't", "a1b22 3.14 x_y-z (ok) [q] {r} #t @u", " two  spaces\ttabs\nlines ", "Ünder ÉTÉ straße naïve", "日本語 текст ελ", "!!! ... -- 's 'S", "", "end.", "A,b;c:d", "3rd 4TH 1,000")
+
+
 class WordTokens:
     """Ids of texts, as little-endian 32-bit words, by a tokenizer file with word ends and lower case; words met before come from a bounded cache."""
 
@@ -130,13 +134,22 @@ class WordTokens:
         level = ByteLevel(add_prefix_space=False, use_regex=False)
         self.alphabet = {c: level.pre_tokenize_str(chr(c))[0][0] for c in range(33, 0x130)}
         self.cached, self.words, self.parts = cached, {}, {}
+        self.own = False
+        try:
+            fast = self.encode(list(PROBES))
+        except Exception:  # its model takes no parts, or lacks the byte alphabet
+            fast = []
+        self.own = fast != [self._whole(p) for p in PROBES]
+
+    def _whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
         out: list = [None] * len(texts)
         split = {}
         for k, text in enumerate(texts):
-            if "<|" in text or _PLAIN.search(text):
-                out[k] = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+            if self.own or "<|" in text or _PLAIN.search(text):
+                out[k] = self._whole(text)
             else:
                 split[k] = text.lower().split()
         if len(self.words) > self.cached:
