@@ -152,3 +152,51 @@ def test_sane_change_cases(spark):
     rows = [(-1.0, 99.0, 100.0), (-0.01, 99.0, 100.0), (-39.0, 3900.0, 3939.0), (None, 101.0, 100.0), (7.0, 0.0, 100.0), (3.0, 130.0, 100.0)]
     got = [r[0] for r in spark.createDataFrame(rows, "raw double, p double, b double").select(cleaning.sane_change(F.col("raw"), F.col("p"), F.col("b"))).collect()]
     assert [None if x is None else round(x, 4) for x in got] == [-1.0, -1.0, -0.9901, 1.0, 7.0, 3.0]
+
+
+def test_key_levels_against_plain_python(spark):
+    rng = random.Random(6)
+    rows = [(s, datetime.date(2024, 1, 1) + datetime.timedelta(days=k), base * (1 + rng.uniform(-0.06, 0.06))) for s, base, n in (("a", 3000.0, 90), ("b", 410.0, 90), ("c", 55.0, 15), ("d", 1000.0, 61)) for k in range(n)]
+    rows = [(s, d, c, c * 1.01, c * 0.985) for s, d, c in rows] + [("e", datetime.date(2024, 1, 1), 200.0, 200.0, 200.0)]
+    df = spark.createDataFrame(rows, "symbol string, date date, close double, high double, low double")
+    for r in indicators.key_levels(df).collect():
+        own = [x for x in rows if x[0] == r.symbol]
+        close = own[-1][2]
+        levels = [sum(x[2] for x in own[-20:]) / 20] if len(own) >= 20 else []
+        levels += [math.floor(close / 100) * 100.0, math.ceil(close / 100) * 100.0, max(x[3] for x in own[-60:]), min(x[4] for x in own[-60:])]
+        levels = {x for x in levels if x > 0}
+        for got, keep in ((r.supports, lambda x: x < close), (r.resistances, lambda x: x > close)):
+            ranked = sorted((abs(x - close), x) for x in levels if keep(x))
+            near = [x for gap, x in ranked if gap <= 0.035 * close] or [x for _, x in ranked[:1]]
+            assert [math.isclose(a, b, abs_tol=1e-4) for a, b in zip(got, near[:3], strict=True)] == [True] * len(near[:3]), r.symbol
+
+
+def test_state_composite_against_its_inputs(spark):
+    from tidemark.operators import rotation as R
+    from tidemark.plans import scoring as plans
+    from tidemark.plans.panels import weekly_bars
+
+    folder = "/root/testdata/sf0.01"  # brands of the smallest table have no week in common
+    bars = weekly_bars(spark, folder)
+    metrics = {r.symbol: r for r in R.base_metrics(bars).join(R.mean_abs_correlation(R.correlations(R.log_returns(bars))), "symbol").collect()}
+    states = {r.symbol: r for r in plans.states(spark, folder).collect()}
+    got = {r.symbol: r.score for r in catalog.queries()["l07_state_composite"](spark, folder).collect()}
+    assert set(got) == set(metrics) & set(states) and got
+    for s, value in got.items():
+        m, x = metrics[s], states[s]
+        if None in (m.m20, m.m60, m.mean_corr, x.natr_score):
+            continue
+        mood = (x.macd_state + x.rsi_state) / 2
+        want = mood * abs(m.m20) * 0.3 + mood * abs(m.m60) * 0.25 - x.natr_score * 0.15 + m.mdd60 * 0.05 + x.strength * 0.1 - m.mean_corr * 0.2
+        assert math.isclose(value, want, abs_tol=2e-6)
+        assert x.rsi_state == (1 if 50 <= x.rsi < 70 else -1 if x.rsi < 45 else 0) and x.strength == (1.0 if x.adx >= 25 else 0.6 if x.adx >= 20 else 0.2)
+        assert x.macd_state == (1 if 2 * x.dif > x.dea and x.hist > 0 else -1 if 2 * x.dif < x.dea and x.hist < 0 else 0)
+
+
+def test_score_of_zeros_counts_them_as_missing(spark):
+    rows = [("a", 0.5, 1.0, 0.0, 0.4, 0.0, 0.0, 0.0), ("b", 0.5, 1.0, 0.6, 0.4, 0.8, 0.3, -0.2), ("c", 0.5, 1.0, None, 0.4, None, None, None)]
+    df = spark.createDataFrame(rows, "symbol string, momentum double, gate double, sentiment double, resonance double, leadership double, breadth double, share double")
+    got = {r.symbol: r for r in scoring.three_factor_v3(df).collect()}
+    missing = 0.5 * 0.5 * 0.5 * 0.55 + 0.4 * 0.2 + 0.4 * 0.15 + 0.5 * 0.1
+    assert math.isclose(got["a"].score_v3, missing) and math.isclose(got["c"].score_v3, missing) and got["a"].events == ""
+    assert math.isclose(got["b"].score_v3, 0.5 * 0.8 * 0.3 * 0.55 + 0.08 - 0.03 + 0.06) and got["b"].events == "breadth_collapse,price_share_divergence"

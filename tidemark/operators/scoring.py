@@ -11,8 +11,6 @@ from ..functions.windows import series, sma
 #: Fixed weights of the composite scores.
 LEGACY = {"m20": 0.45, "m60": 0.35, "vol20": -0.15, "mdd60": 0.05}
 FACTORS = {"m20": 0.30, "m60": 0.25, "vol20": -0.15, "mdd60": 0.05, "r2": 0.10, "mean_corr": -0.20}
-#: Fixed multipliers of the market's mood.
-MOODS = {"climax": 0.5, "freezing": 0.5, "ebb": 0.7, "repair": 0.9, "choppy": 1.0}
 #: Fixed shares of price lost to slippage and fees, by instrument.
 SLIPPAGE = {"ETF": 0.0005, "INDEX": 0.0, "OPTION": 0.0015, "MIXED": 0.0008}
 FEES = {"ETF": 0.0002, "INDEX": 0.0, "OPTION": 0.0006, "MIXED": 0.0003}
@@ -48,8 +46,11 @@ def state_composite() -> Column:
     return mood * F.abs("m20") * 0.30 + mood * F.abs("m60") * 0.25 - F.col("natr_score") * 0.15 + F.col("mdd60") * 0.05 + F.col("strength") * 0.10 - F.col("mean_corr") * 0.20
 
 
-def three_factor(rows: DataFrame, by: list[str], mood: str, dispersion: float, sentiment: float, fund_flow: float | None, northbound: float | None) -> DataFrame:
-    """rows (m20, m60, crowding) with momentum, resonance, gate, sentiment and score: min-max momenta, market flows that agree or not, and the mood's gate."""
+def three_factor(rows: DataFrame, by: list[str], mood: str, moods: dict[str, float], dispersion: float, sentiment: float, fund_flow: float | None, northbound: float | None) -> DataFrame:
+    """rows (m20, m60, crowding) with momentum, resonance, gate, sentiment and score: min-max momenta, market flows that agree or not, and the mood's gate.
+
+    moods: the multiplier of each name that the caller's moods go by; a name that is not among them counts 1.
+    """
     w = Window.partitionBy(*by)
 
     def norm(x: Column) -> Column:
@@ -58,17 +59,25 @@ def three_factor(rows: DataFrame, by: list[str], mood: str, dispersion: float, s
 
     known = fund_flow is not None and northbound is not None
     resonance = 0.5 if not known else (1.0 if min(fund_flow, northbound) > 0 else 0.5 if max(fund_flow, northbound) > 0 else 0.0)
-    gate = MOODS.get(mood, 1.0) * (0.7 if dispersion > 0.5 else 0.85 if dispersion > 0.4 else 1.0)
+    gate = moods.get(mood, 1.0) * (0.7 if dispersion > 0.5 else 0.85 if dispersion > 0.4 else 1.0)
     momentum = 0.4 * norm(F.col("m20")) + 0.3 * norm(F.col("m60")) + 0.3 * F.least(norm(F.greatest(F.lit(0.0), F.col("crowding"))) / 0.5, F.lit(1.0))
     out = rows.withColumns({"momentum": momentum, "resonance": F.lit(resonance), "gate": F.lit(gate), "sentiment": F.lit(sentiment)})
     return out.withColumn("score", (F.col("momentum") * 0.40 + F.col("resonance") * 0.35) * F.col("gate") + F.col("sentiment") * 0.25)
 
 
 def three_factor_v3(rows: DataFrame, share_weight: float = 0.15) -> DataFrame:
-    """rows (momentum, gate, sentiment, resonance, leadership, breadth, share) with score_v3 and the risk events of each."""
-    share = F.coalesce("share", "resonance")
-    score = (F.col("momentum") * F.col("leadership") * F.col("breadth") * 0.55 + F.col("resonance") * 0.2 + share * share_weight + F.col("sentiment") * 0.1) * F.col("gate")
-    events = F.array_compact(F.array(F.when(F.col("breadth") < 0.35, "breadth_collapse"), F.when((share < 0) & (F.col("momentum") > 0), "price_share_divergence")))
+    """rows (momentum, gate, sentiment, resonance, leadership, breadth, share) with score_v3 and the risk events of each.
+
+    A share that is missing or 0 counts as the resonance; sentiment, leadership and breadth that are missing or 0 as .5.
+    """
+
+    def known(c: str, default: Column) -> Column:
+        return F.when(F.col(c) != 0, F.col(c)).otherwise(default)
+
+    half = F.lit(0.5)
+    share, breadth = known("share", F.col("resonance")), known("breadth", half)
+    score = (F.col("momentum") * known("leadership", half) * breadth * 0.55 + F.col("resonance") * 0.2 + share * share_weight + known("sentiment", half) * 0.1) * F.col("gate")
+    events = F.array_compact(F.array(F.when(breadth < 0.35, "breadth_collapse"), F.when((share < 0) & (F.col("momentum") > 0), "price_share_divergence")))
     return rows.withColumns({"score_v3": score, "events": F.array_join(events, ",")})
 
 
@@ -114,8 +123,8 @@ def sector_score(industry: Column, extra: Column, listed: Column, top_third: Col
 
 
 def confluence(pools: DataFrame, bonus: float = 4.0, most: float = 12.0) -> DataFrame:
-    """(symbol, score, k) of pools (symbol, paradigm, score, amount): the best score, a bonus for each further paradigm, and up to two points for liquidity among all."""
-    out = pools.groupBy("symbol").agg(F.max("score").alias("_m"), F.count_distinct("paradigm").alias("k"), F.max_by("amount", F.struct("score", "paradigm")).alias("_a"))
+    """(symbol, score, k) of pools (symbol, paradigm, score, amount): the best score, a bonus for each further paradigm, and up to two points for liquidity among all, by the amount beside the best score (ties: the first paradigm by name)."""
+    out = pools.groupBy("symbol").agg(F.max("score").alias("_m"), F.count_distinct("paradigm").alias("k"), F.min_by("amount", F.struct(-F.col("score"), "paradigm")).alias("_a"))
     ends = out.agg(F.min("_a").alias("_low"), F.max("_a").alias("_high"))
     out = out.join(F.broadcast(ends), how="cross")  # one row
     liquid = F.when(F.col("_high") > F.col("_low"), F.round(2 * clamp((F.col("_a") - F.col("_low")) / (F.col("_high") - F.col("_low")), 0.0, 1.0), 2)).otherwise(0.0)

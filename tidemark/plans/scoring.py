@@ -56,7 +56,7 @@ _V2 = """nn AS (SELECT *, max(m20) OVER p AS h20, min(m20) OVER p AS l20, max(m6
 
 
 def factors(spark, sf_dir):
-    return S.three_factor(metrics(spark, sf_dir), ["pool"], "repair", 0.45, 0.6, 1.2, -0.4)
+    return S.three_factor(metrics(spark, sf_dir), ["pool"], "repair", {"climax": 0.5, "ebb": 0.7, "repair": 0.9}, 0.45, 0.6, 1.2, -0.4)
 
 
 @query("l11_three_factor_v2", f"WITH {W}, {_BMC}, {_V2} SELECT symbol, pool, round(momentum, 6) AS momentum, round(score, 6) AS score FROM s2")
@@ -151,7 +151,7 @@ def pool_tops(spark, sf_dir):
 
 @query(
     "m5_confluence",
-    f"""WITH {_POOLED}, g AS (SELECT symbol, max(score) AS m, count(DISTINCT paradigm) AS k, arg_max(amount, row(score, paradigm)) AS a FROM po GROUP BY symbol)
+    f"""WITH {_POOLED}, g AS (SELECT symbol, max(score) AS m, count(DISTINCT paradigm) AS k, arg_min(amount, row(-score, paradigm)) AS a FROM po GROUP BY symbol)
     SELECT symbol, round(m + least(12, 4 * (k - 1)) + CASE WHEN max(a) OVER () > min(a) OVER () THEN round(2 * (a - min(a) OVER ()) / (max(a) OVER () - min(a) OVER ()), 2) ELSE 0 END, 2) AS score, k FROM g""",
 )
 def confluence(spark, sf_dir):
