@@ -101,3 +101,49 @@ def event_trades(curves: DataFrame, share: float = 0.95) -> DataFrame:
     w = Window.partitionBy("strategy", "symbol").orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
     out = curves.withColumns({"entry_date": F.last(F.when(F.col("entered"), F.col("date")), ignorenulls=True).over(w), "_cash": F.last(F.when(F.col("entered"), F.col("cash")), ignorenulls=True).over(w)}).filter("exited")
     return out.select("strategy", "symbol", "entry_date", F.col("date").alias("exit_date"), "entry_price", "exit_price", (share * F.col("_cash") / F.col("entry_price")).alias("size"), ((F.col("exit_price") / F.col("entry_price") - 1) * 100).alias("return_pct"))
+
+
+# --- dips after a limit-up
+
+
+def dip_candidates(payloads: DataFrame, phase: str, least: float = 0.0, keywords: tuple[str, ...] = ()) -> DataFrame:
+    """(date, symbol, name, sector, sector_score, leader_score, limit_close) of the leaders of each day's sectors in a phase, from ``least`` on.
+
+    payloads: date, sectors (name, phase, score, leaders (code, name, latest_price, leader_score)), limit_ups (code,
+    latest_price). A leader without a code goes; one without a price (or 0) takes that of the day's list. With
+    ``keywords`` the sector's name has one of them.
+    """
+    sectors = payloads.select("date", "limit_ups", F.explode("sectors").alias("s")).filter((F.col("s.phase") == phase) & (F.coalesce("s.score", F.lit(0)) >= least))
+    for_ = None
+    for word in keywords:
+        has = F.col("s.name").contains(word)
+        for_ = has if for_ is None else for_ | has
+    sectors = sectors.filter(for_) if for_ is not None else sectors
+    out = sectors.select("date", "limit_ups", "s", F.explode("s.leaders").alias("l")).filter("l.code IS NOT NULL AND l.code != ''")
+    listed = F.get(F.filter("limit_ups", lambda x: x["code"] == F.col("l.code")), 0)["latest_price"]
+    price = F.when(F.col("l.latest_price") != 0, F.col("l.latest_price")).otherwise(listed)
+    return out.select("date", F.col("l.code").alias("symbol"), "l.name", F.col("s.name").alias("sector"), F.coalesce("s.score", F.lit(0)).cast("double").alias("sector_score"), F.coalesce("l.leader_score", F.lit(0)).cast("double").alias("leader_score"), price.alias("limit_close")).filter("limit_close > 0")
+
+
+def dip_trades(signals: DataFrame, bars: DataFrame, params: DataFrame, longest: int) -> DataFrame:
+    """(p, symbol, entry_date, entry, how, held, pnl_pct) of signals (symbol, date, limit_close, sector_score) bought at the next bar's open, for each row of params (p, least_score, hold, stop_pct, target_pct, dip_min, dip_max, shrink).
+
+    A signal is taken where its sector scores ``least_score`` or more, the opening lies ``dip_min`` to ``dip_max`` percent from
+    the limit close, and, for a ``shrink`` under 1, the bar's volume is no more than that share of the one before. The
+    stop is the lower of the low before and ``stop_pct`` under the limit close; of the hold + 1 bars from the entry the
+    first that reaches the stop, or else the target, ends the trade, else the last bar's close. Each signal meets its bars
+    once, the ``longest`` + 1 that any hold needs, as an array; the grid, which is broadcast, is then a test on arrays.
+    """
+    w = series("symbol")
+    ahead = F.collect_list(F.struct("low", "high", "close")).over(w.rowsBetween(0, longest))
+    numbered = bars.select("symbol", F.lag("date").over(w).alias("date"), F.col("date").alias("entry_date"), F.col("open").alias("entry"), F.col("volume").alias("_v"), F.lag("low").over(w).alias("_low"), F.lag("volume").over(w).alias("_was"), ahead.alias("_bars"))
+    x = signals.join(numbered, ["symbol", "date"]).join(F.broadcast(params), how="cross")
+    c = F.col
+    dip = (c("entry") - c("limit_close")) / c("limit_close") * 100
+    thin = (c("shrink") >= 1) | ~F.coalesce((c("_v") > 0) & (c("_was") > 0), F.lit(False)) | (c("_v") / c("_was") <= c("shrink"))
+    x = x.filter((c("sector_score") >= c("least_score")) & (dip <= c("dip_max")) & (dip >= c("dip_min")) & thin)
+    x = x.withColumns({"_stop": F.least(F.coalesce("_low", c("limit_close") * 0.95), c("limit_close") * (1 - c("stop_pct") / 100)), "_target": c("limit_close") * (1 + c("target_pct") / 100), "_bars": F.slice("_bars", F.lit(1), c("hold") + 1)})
+    ends = F.transform("_bars", lambda b, i: F.struct(F.when(b["low"] <= c("_stop"), "stop").when(b["high"] >= c("_target"), "target").alias("how"), F.when(b["low"] <= c("_stop"), c("_stop")).otherwise(c("_target")).alias("price"), i.alias("held")))
+    last = F.struct(F.lit("time").alias("how"), F.element_at("_bars", -1)["close"].alias("price"), (F.size("_bars") - 1).alias("held"))
+    x = x.withColumn("_x", F.coalesce(F.get(F.filter(ends, lambda e: e["how"].isNotNull()), 0), last))
+    return x.select("p", "symbol", "entry_date", "entry", c("_x.how").alias("how"), c("_x.held").cast("int").alias("held"), ((c("_x.price") - c("entry")) / c("entry") * 100).alias("pnl_pct"))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..catalog import query
 from ..operators import backtests as K
+from ..operators import scoring as G
 from .indicators import OVER, averaged, crossing, rolling
 from .panels import W, rounded, weekly_bars
 
@@ -65,3 +66,48 @@ def event_metrics(spark, sf_dir):
     """Also E10: the longest run of bars under the peak."""
     out = K.equity_metrics(K.equity_curves(_events(spark, sf_dir)))
     return rounded(rounded(out, 6, "return_pct", "win_rate", "profit_factor", "max_drawdown_pct"), 4, "final")
+
+
+_PAYLOAD = "pw AS (SELECT *, CAST(substr(symbol, 7) AS INTEGER) AS k FROM w), pc AS (SELECT date, symbol, 'sector ' || k % 5 AS sector, (40 + (day(date) * 7 + k % 5 * 13) % 60)::DOUBLE AS sector_score, (k % 9)::DOUBLE AS leader_score, close AS limit_close FROM pw WHERE k % 5 <> (day(date) + 2) % 5 AND (day(date) + k % 5) % 2 = 0)"
+_GRID4 = [(least, hold, stop, target) for least in (50, 60, 80) for hold in (3, 5, 7) for stop in (3, 5, 8) for target in (3, 5, 8)]
+_PARAMS4 = ", ".join(f"({k}, {m}, {h}, {s}, {t})" for k, (m, h, s, t) in enumerate(_GRID4))
+_DIPS = f"""dp(p, least_score, hold, stop_pct, target_pct) AS (VALUES {_PARAMS4}), dn AS (SELECT symbol, date AS entry_date, open AS entry, volume, lag(date) {OVER} AS date, lag(low) {OVER} AS low_, lag(volume) {OVER} AS was, row_number() {OVER} AS i FROM w),
+    dt AS (SELECT dp.*, n.symbol, n.entry_date, n.entry, n.i, least(coalesce(low_, limit_close * 0.95), limit_close * (1 - stop_pct / 100)) AS stop, limit_close * (1 + target_pct / 100) AS target FROM pc JOIN dn n ON n.symbol = pc.symbol AND n.date = pc.date CROSS JOIN dp WHERE sector_score >= least_score AND (entry - limit_close) / limit_close * 100 BETWEEN -20 AND 10 AND NOT coalesce(volume / was > 0.95, false)),
+    db AS (SELECT t.*, y.i - t.i AS d, CASE WHEN b.low <= stop THEN 'stop' WHEN b.high >= target THEN 'target' END AS how, CASE WHEN b.low <= stop THEN stop WHEN b.high >= target THEN target END AS price, b.close FROM dt t JOIN dn y ON y.symbol = t.symbol AND y.i BETWEEN t.i AND t.i + t.hold JOIN w b ON b.symbol = y.symbol AND b.date = y.entry_date),
+    dr AS (SELECT p, symbol, entry_date, entry, coalesce(arg_min(how, d) FILTER (how IS NOT NULL), 'time') AS how, coalesce(min(d) FILTER (how IS NOT NULL), max(d)) AS held, (coalesce(arg_min(price, d) FILTER (how IS NOT NULL), arg_max(close, d)) - entry) / entry * 100 AS pnl_pct FROM db GROUP BY p, symbol, entry_date, entry)"""
+
+
+def _candidates(spark, sf_dir):
+    """Each week's sectors with their leaders, nested as they are collected, and the candidates among them."""
+    k = F.substring("symbol", 7, 9).cast("int")
+    bars = weekly_bars(spark, sf_dir).withColumns({"k": k, "sector": F.concat(F.lit("sector "), k % 5)})
+    odd = F.col("k") % 2 == 1  # every other leader's price is in the day's list only
+    leader = F.struct(F.col("symbol").alias("code"), F.lower("symbol").alias("name"), F.when(odd, 0.0).otherwise(F.col("close")).alias("latest_price"), (F.col("k") % 9).alias("leader_score"))
+    group = bars.groupBy("date", "sector", (F.col("k") % 5).alias("g")).agg(F.collect_list(leader).alias("leaders"), F.collect_list(F.struct(F.col("symbol").alias("code"), F.col("close").alias("latest_price"))).alias("listed"))
+    phase = F.when((F.day("date") + F.col("g")) % 2 == 0, "start").otherwise("ebb")
+    sector = F.struct(F.col("sector").alias("name"), phase.alias("phase"), (40 + (F.day("date") * 7 + F.col("g") * 13) % 60).alias("score"), "leaders")
+    kept = F.col("g") != (F.day("date") + 2) % 5
+    payloads = group.groupBy("date").agg(F.collect_list(F.when(kept, sector)).alias("sectors"), F.flatten(F.collect_list("listed")).alias("limit_ups"))
+    return K.dip_candidates(payloads, "start")
+
+
+@query("q6_dip_candidates", f"WITH {W}, {_PAYLOAD} SELECT date, symbol, lower(symbol) AS name, sector, sector_score, leader_score, round(limit_close, 6) AS limit_close FROM pc")
+def dip_candidates(spark, sf_dir):
+    return rounded(_candidates(spark, sf_dir), 6, "limit_close")
+
+
+def _dips(spark, sf_dir):
+    params = spark.createDataFrame([(k, float(m), h, float(s), float(t), -20.0, 10.0, 0.95) for k, (m, h, s, t) in enumerate(_GRID4)], "p int, least_score double, hold int, stop_pct double, target_pct double, dip_min double, dip_max double, shrink double")
+    return K.dip_trades(_candidates(spark, sf_dir).select("symbol", "date", "limit_close", "sector_score"), weekly_bars(spark, sf_dir), params, 7)
+
+
+@query("q6_dip_trades", f"WITH {W}, {_PAYLOAD}, {_DIPS} SELECT symbol, entry_date, round(entry, 6) AS entry, how, CAST(held AS INTEGER) AS held, round(pnl_pct, 6) AS pnl_pct FROM dr WHERE p = 40")
+def dip_trades(spark, sf_dir):
+    """Leaders of starting sectors bought on a dip with thin volume, at the middle of the grid."""
+    return rounded(_dips(spark, sf_dir).filter("p = 40").drop("p"), 6, "entry", "pnl_pct")
+
+
+@query("q7_dip_grid", f"WITH {W}, {_PAYLOAD}, {_DIPS}, g AS (SELECT p, count(*) AS trades, avg(CASE WHEN pnl_pct > 0 THEN 1.0 ELSE 0 END) * 100 AS win_rate, avg(pnl_pct) AS avg_pnl, min(pnl_pct) AS worst FROM dr GROUP BY p) SELECT p, trades, round(win_rate, 6) AS win_rate, round(avg_pnl, 6) AS avg_pnl, round(worst, 6) AS worst, round(win_rate * 0.5 + greatest(0, avg_pnl) * 0.3 - abs(worst) * 0.2, 6) AS score FROM g")
+def dip_grid(spark, sf_dir):
+    """All 81 settings of sector score, hold, stop and target."""
+    return rounded(G.pullback_grid(_dips(spark, sf_dir)), 6, "win_rate", "avg_pnl", "worst", "score")
