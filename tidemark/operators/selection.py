@@ -184,3 +184,38 @@ def screening_gate(rows: DataFrame, by: list[str], least: int = 3, most_missing:
     few, bare = F.col("n") < least, F.col("missing_share") > most_missing
     reason = F.array_join(F.filter(F.array(F.when(F.col("n") == 0, "empty").when(few, "few_candidates"), F.when(bare, "missing_amounts")), lambda x: x.isNotNull()), ",")
     return out.withColumns({"quality": F.when(F.col("n") == 0, "failed").when(few | bare, "degraded").otherwise("ok"), "reason": reason})
+
+
+# --- reports
+
+
+def market_report(trends: DataFrame, bars: DataFrame, first: str, second: str, overnight: DataFrame | None = None) -> DataFrame:
+    """(date, first_trend, second_trend, up, down, ratio, score, trend, and before an opening impact, outlook) by date.
+
+    trends: (symbol, date, trend) of indices; bars give the breadth over all symbols. After the close, the two indices'
+    trends and the share of rising symbols make the overall trend. ``overnight`` (date, impact) adds what the night has done:
+    the outlook is the score moved by a tenth of the impact, strong from .7 on and weak to .3.
+    """
+    from ..functions.windows import series
+    from .scoring import overall_trend_score, trend_label
+
+    move = bars.select("date", (F.col("close") - F.lag("close").over(series("symbol"))).alias("d")).filter("d IS NOT NULL")
+    breadth = move.groupBy("date").agg(F.count(F.when(F.col("d") > 0, 1)).alias("up"), F.count(F.when(F.col("d") < 0, 1)).alias("down"), F.avg((F.col("d") > 0).cast("int")).alias("_rising"))
+    one = lambda symbol, name: trends.filter(F.col("symbol") == symbol).select("date", F.col("trend").alias(name))
+    out = one(first, "first_trend").join(one(second, "second_trend"), "date").join(breadth, "date")
+    out = out.withColumn("score", F.round(overall_trend_score(F.col("first_trend"), F.col("second_trend"), F.col("_rising")), 6)).drop("_rising")
+    out = out.withColumns({"ratio": F.when(F.col("up") + F.col("down") > 0, F.col("up") / (F.col("up") + F.col("down"))), "trend": trend_label(F.col("score"))["trend"]})
+    if overnight is None:
+        return out
+    out = out.join(overnight, "date", "left")
+    return out.withColumn("outlook", trend_label(F.round(F.col("score") + F.coalesce("impact", F.lit(0.0)) * 0.1, 6))["trend"])
+
+
+def scenarios(direction: Column, impact: Column, parts: dict[str, Column]) -> dict[str, Column]:
+    """optimistic, neutral and pessimistic: the conditions that hold for each, from the direction of flows, the overnight impact (beyond .15) and what else is there."""
+    flow = F.when(direction.isNotNull(), F.concat(F.lit("flow "), direction))
+    up, down = F.when(impact > 0.15, F.concat(F.lit("impact "), impact.cast("string"))), F.when(impact < -0.15, F.concat(F.lit("impact "), impact.cast("string")))
+    middle = F.when(~F.coalesce((impact > 0.15) | (impact < -0.15), F.lit(False)), "impact near the middle or unknown")
+    listed = lambda *xs: F.array_join(F.array_compact(F.array(*xs)), "; ")
+    turned = (F.when(impact < -0.15, "unless impact turns up"), F.when(impact > 0.15, "unless impact turns down"))
+    return {"optimistic": listed(flow, up, turned[0]), "neutral": listed(flow, middle, *[F.when(x.isNotNull(), F.lit(f"given {k}")) for k, x in parts.items()]), "pessimistic": listed(flow, down, turned[1])}

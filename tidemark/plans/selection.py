@@ -9,7 +9,10 @@ from ..operators import rotation as R
 from ..operators import selection as X
 from .panels import W, rounded, table, weekly_bars
 from .rotation import CORR, METRICS
-from .scoring import _PARADIGMS, paradigms
+from ..operators.scoring import trend_label
+from .scoring import _LABEL as LABEL
+from .scoring import _PARADIGMS, overnight_impact, paradigms, trends
+from .scoring import _TREND as TREND
 
 RULES = X.RotationRules(ma="soft", ma_penalty=0.8, volatility="soft", volatility_range=(0.0, 12.0), drawdown="hard", drawdown_least=-0.97, crowding_soft=0.9, crowding_hard=0.995, correlation="filter", mean_most=0.14)
 _RANKS = ", ".join(
@@ -128,3 +131,16 @@ def enriched(spark, sf_dir):
     a = table(spark, sf_dir, "supplier").filter("s_suppkey % 2 = 0").select(F.col("s_suppkey").alias("k"), F.when(F.col("s_suppkey") % 3 > 0, F.col("s_name")).otherwise(" ").alias("name"))
     b = table(spark, sf_dir, "customer").filter("c_custkey % 5 > 0").select(F.col("c_custkey").alias("k"), F.col("c_name").alias("name"))
     return X.enriched(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k")), "k", [a, b], ["name"])
+
+
+@query(
+    "n5_market_report",
+    f"""WITH {W}, {TREND}, t AS (SELECT symbol, date, {LABEL.format('round(score, 6)')} AS trend FROM it WHERE score IS NOT NULL), d AS (SELECT date, close - lag(close) OVER (PARTITION BY symbol ORDER BY date) AS d FROM w), r AS (SELECT date, count(*) FILTER (d > 0) AS up, count(*) FILTER (d < 0) AS down, avg(CASE WHEN d > 0 THEN 1.0 ELSE 0 END) AS rising FROM d WHERE d IS NOT NULL GROUP BY date),
+    o AS (SELECT a.date, a.trend AS first_trend, b.trend AS second_trend, up, down, round(CASE a.trend WHEN 'strong' THEN 1 WHEN 'weak' THEN 0 ELSE 0.5 END * 0.4 + CASE b.trend WHEN 'strong' THEN 1 WHEN 'weak' THEN 0 ELSE 0.5 END * 0.4 + rising * 0.2, 6)::DOUBLE AS score FROM t a JOIN t b ON a.date = b.date AND a.symbol = 'Brand#11' AND b.symbol = 'Brand#22' JOIN r ON r.date = a.date),
+    c AS (SELECT symbol, date, (close / lag(close) OVER (PARTITION BY symbol ORDER BY date) - 1) * 100 AS c FROM w), n AS (SELECT x.date, round(greatest(-1, least(1, (x.c - y.c) / 3)), 4) AS impact FROM c x JOIN c y ON x.date = y.date AND x.symbol = 'Brand#11' AND y.symbol = 'Brand#22' WHERE x.c IS NOT NULL AND y.c IS NOT NULL)
+    SELECT o.date, first_trend, second_trend, up, down, score, round(up / nullif(up + down, 0), 6) AS ratio, {LABEL.format('score')} AS trend, impact, {LABEL.format('round(score + coalesce(impact, 0) * 0.1, 6)')} AS outlook FROM o LEFT JOIN n ON n.date = o.date""",
+)
+def market_report(spark, sf_dir):
+    """Each week after its close, with the outlook before the next one."""
+    labelled = trends(spark, sf_dir).select("symbol", "date", trend_label(F.col("score"))["trend"].alias("trend"))
+    return rounded(X.market_report(labelled, weekly_bars(spark, sf_dir), "Brand#11", "Brand#22", overnight_impact(spark, sf_dir)), 6, "ratio")

@@ -130,29 +130,9 @@ def json_sink(spark, sf_dir):
     return out.groupBy(F.col("date").alias("day")).agg(F.count("*").alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total"))
 
 
-def event_stream(spark, sf_dir):
-    """The events table as a stream of files."""
-    schema = table(spark, sf_dir, "events").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
-
-
 _STREAM = "SELECT event_type AS symbol, time_bucket(INTERVAL 30 MINUTES, ts - INTERVAL 1 MICROSECOND) + INTERVAL 30 MINUTES AS date, arg_min(value, row(ts, event_id)) AS open, max(value) AS high, min(value) AS low, arg_max(value, row(ts, event_id)) AS close, count(*)::DOUBLE AS volume, count(*) AS trades FROM events GROUP BY ALL"
 
 
-@query("i04_stream_bars", f"SELECT * FROM ({_STREAM}) WHERE date <= (SELECT max(ts) - INTERVAL 1 MICROSECOND - INTERVAL 10 MINUTES FROM events)")
-def stream_bars(spark, sf_dir):
-    """Half-hour bars of the tick stream, as far as its watermark has come."""
-    rows = event_stream(spark, sf_dir).select(F.col("event_type").alias("symbol"), F.col("ts").cast("timestamp").alias("ts"), F.col("value").alias("price"), F.lit(1.0).alias("volume"), F.col("event_id").alias("id"))
-    return live.run(live.tick_bars(rows, 30), "bars").withColumn("date", F.col("date").cast("timestamp_ntz"))
-
-
-@query("i03_stream_unseen", "SELECT event_id, event_type, value FROM events")
-def stream_unseen(spark, sf_dir):
-    """Every event comes twice; once is kept."""
-    rows = event_stream(spark, sf_dir).select("event_id", "event_type", F.col("ts").cast("timestamp").alias("ts"), "value", F.explode(F.array(F.lit(1), F.lit(2))).alias("copy"))
-    return live.run(live.unseen(rows, ["event_type", "event_id"], "ts"), "unseen").select("event_id", "event_type", "value")
-
-
 def arrivals(spark, sf_dir, parts=5, late="40 minutes"):
     """The events in ``parts`` as they arrive: by time, but one in ten comes ``late``."""
     events = table(spark, sf_dir, "events").select("event_id", "event_type", F.col("ts").cast("timestamp").alias("ts"), "value")
@@ -162,6 +142,24 @@ def arrivals(spark, sf_dir, parts=5, late="40 minutes"):
     return [events.filter(part == k) for k in range(parts)]
 
 
+@query("i04_stream_bars", f"SELECT * FROM ({_STREAM}) WHERE date <= (SELECT max(ts) - INTERVAL 1 MICROSECOND - INTERVAL 1 HOUR FROM events)")
+def stream_bars(spark, sf_dir):
+    """Half-hour bars of ticks that arrive in five runs, some of them late, as far as the watermark has come."""
+
+    def bars(events):
+        return live.tick_bars(events.select(F.col("event_type").alias("symbol"), "ts", F.col("value").alias("price"), F.lit(1.0).alias("volume"), F.col("event_id").alias("id")), 30, "1 hour")
+
+    return live.drained(spark, arrivals(spark, sf_dir), bars, "bars").withColumn("date", F.col("date").cast("timestamp_ntz"))
+
+
+@query("i03_stream_unseen", "SELECT event_id, event_type, value FROM events")
+def stream_unseen(spark, sf_dir):
+    """Events that arrive in five runs, each bringing a third of its rows twice; every one is kept once."""
+    parts = arrivals(spark, sf_dir)
+    again = [part.union(part.filter("event_id % 3 = 0")) for part in parts]
+    return live.drained(spark, again, lambda events: live.unseen(events, ["event_type", "event_id"], "ts", "1 hour"), "unseen").select("event_id", "event_type", "value")
+
+
 def _matches(spark, events):
     return Z.rule_matches(events.withColumnRenamed("event_type", "symbol"), _rules(spark)).select(F.col("rule_id").cast("long").alias("rule"), "event_id", "ts")
 

@@ -15,16 +15,26 @@ from ..sources.folder import new_path, remove
 from .monitors import STORE
 
 
-def take_what_is_there(stream: DataFrame, path: str, mode: str = "append") -> None:
-    """One run over all input that the stream's checkpoint under path has not seen, into the Parquet sink beside it."""
-    conf, key = stream.sparkSession.conf, "spark.sql.streaming.stateStore.providerClass"
-    was = conf.get(key)
-    conf.set(key, STORE)
+#: Rows of a stream's input to a partition of its state.
+ROWS_A_PARTITION = 1_000_000
+
+
+def take_what_is_there(stream: DataFrame, path: str, mode: str = "append", partitions: int | None = None) -> None:
+    """One run over all input that the stream's checkpoint under path has not seen, into the Parquet sink beside it.
+
+    State lies in the store that the monitors need. ``partitions`` of the state are fixed by the first run; the session's if not given.
+    """
+    conf = stream.sparkSession.conf
+    held = {"spark.sql.streaming.stateStore.providerClass": STORE} | ({"spark.sql.shuffle.partitions": str(partitions)} if partitions else {})
+    was = {k: conf.get(k) for k in held}
+    for k, v in held.items():
+        conf.set(k, v)
     try:
         query = stream.writeStream.format("parquet").outputMode(mode).option("path", f"{path}/rows").option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
+        query.awaitTermination()
     finally:
-        conf.set(key, was)
-    query.awaitTermination()
+        for k, v in was.items():
+            conf.set(k, v)
 
 
 def run(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
@@ -36,12 +46,18 @@ def run(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
 
 
 def drained(spark: SparkSession, arrivals: list[DataFrame], build: Callable[[DataFrame], DataFrame], name: str) -> DataFrame:
-    """What ``build`` makes of a stream whose input arrives in parts, with a run after each part that starts from the checkpoint of the last one."""
+    """What ``build`` makes of a stream whose input arrives in parts, with a run after each part that starts from the checkpoint of the last one.
+
+    The state has a partition for each ROWS_A_PARTITION rows that are to come, as the first part tells, eight at least and
+    the session's number at most: each costs every run a store to open.
+    """
     path = new_path(spark, name)
+    most = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    partitions = min(most, max(8, arrivals[0].count() * len(arrivals) // ROWS_A_PARTITION))
     for part in arrivals:
         part.write.mode("append").parquet(f"{path}/in")
         stream = build(spark.readStream.schema(part.schema).parquet(f"{path}/in"))
-        take_what_is_there(stream, path)
+        take_what_is_there(stream, path, partitions=partitions)
     out = spark.read.schema(stream.schema).parquet(f"{path}/rows")
     for done in ("in", "checkpoint"):
         remove(spark, f"{path}/{done}")
