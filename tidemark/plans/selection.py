@@ -18,7 +18,7 @@ RULES = X.RotationRules(ma="soft", ma_penalty=0.8, volatility="soft", volatility
 _RANKS = ", ".join(
     f"CASE WHEN count(*) OVER (PARTITION BY pool) > 1 THEN (row_number() OVER (PARTITION BY pool ORDER BY {k} {'ASC' if k in R.ASCENDING else 'DESC'} NULLS LAST, symbol) - 1) / (count(*) OVER (PARTITION BY pool) - 1) ELSE 1 END * {v} AS s_{k}" for k, v in R.WEIGHTS.items()
 )
-_JUDGED = f"""jp AS (SELECT *, CASE CAST(substr(symbol, 7) AS INTEGER) % 2 WHEN 0 THEN 'industry' ELSE 'concept' END AS pool FROM bm JOIN mc USING (symbol)),
+_JUDGED = f"""jp AS (SELECT bm.*, coalesce(mean_corr, 0) AS mean_corr, CASE CAST(substr(symbol, 7) AS INTEGER) % 2 WHEN 0 THEN 'industry' ELSE 'concept' END AS pool FROM bm LEFT JOIN mc USING (symbol)),
     jg AS (SELECT *, CASE WHEN crowding >= 0.995 THEN 'crowding' WHEN mean_corr > 0.14 THEN 'high_mean_corr' WHEN mdd60 < -0.97 THEN 'drawdown' WHEN m60 IS NULL THEN 'short_history' END AS reason,
            CASE WHEN NOT above_ma THEN 0.8 ELSE 1 END * CASE WHEN vol20 < 0 OR vol20 > 12 THEN 0.9 ELSE 1 END * CASE WHEN crowding >= 0.9 THEN 0.95 ELSE 1 END AS penalty FROM jp),
     jr AS (SELECT *, {_RANKS} FROM jg WHERE reason IS NULL), js AS (SELECT symbol, pool, ({' + '.join(f's_{k}' for k in R.WEIGHTS)}) * penalty AS score FROM jr),
