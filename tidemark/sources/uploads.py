@@ -24,25 +24,28 @@ def _fields(line: Column) -> Column:
 
 
 def read_uploads(spark: SparkSession, path: str) -> DataFrame:
-    """(file, layout, envelope, at, row) of the files under path: a VARIANT row for each record, and for what cannot be read one row that is null.
+    """(file, layout, envelope, pos, row) of the files under path: a VARIANT row for each record, and for what cannot be read one row that is null; envelope is a map of what stands beside the records.
 
     A file that starts with a brace or a bracket is JSON: an array of records, or an envelope with such an array under one
     of ROWS. Any other is CSV with a header. A file is one string of a task, so its size is bounded by the uploads.
     """
     files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file"), F.trim(F.regexp_replace("value", "^﻿", "")).alias("text"))
     files = files.withColumn("json", F.col("text").rlike(r"^\s*[\[{]"))
-    parsed = files.filter("json").select("file", F.try_parse_json("text").alias("whole"))
-    inside = F.coalesce(*[F.try_variant_get("whole", f"$.{name}", "variant") for name in ROWS], F.when(F.schema_of_variant("whole").startswith("ARRAY"), F.col("whole")))
-    parsed = parsed.withColumn("rows", F.when(F.schema_of_variant(inside).startswith("ARRAY"), inside))
-    each = parsed.lateralJoin(spark.tvf.variant_explode_outer(F.col("rows").outer()))
-    layout = F.when(F.col("whole").isNull(), "broken").when(F.schema_of_variant("whole").startswith("ARRAY"), "array").otherwise("envelope")
-    json = each.select("file", layout.alias("layout"), F.when(layout == "envelope", F.col("whole")).alias("envelope"), "pos", F.col("value").alias("row"))
+    # What an envelope says beside its rows, and its layout, are small and made before the rows are: a row must not carry its file.
+    said = F.map_filter(F.from_json("text", "map<string,string>"), lambda k, v: ~k.isin(*ROWS) & ~v.rlike(r"^\s*[\[{]"))
+    parsed = files.filter("json").select("file", F.try_parse_json("text").alias("whole"), said.alias("said"))
+    array = F.schema_of_variant("whole").startswith("ARRAY")
+    layout = F.when(F.col("whole").isNull(), "broken").when(array, "array").otherwise("envelope")
+    inside = F.coalesce(*[F.try_variant_get("whole", f"$.{name}", "variant") for name in ROWS], F.when(array, F.col("whole")))
+    parsed = parsed.select("file", layout.alias("layout"), F.when(layout == "envelope", F.col("said")).alias("envelope"), inside.alias("inside"))
+    parsed = parsed.select("file", "layout", "envelope", F.when(F.schema_of_variant("inside").startswith("ARRAY"), F.col("inside")).alias("rows"))
+    json = parsed.lateralJoin(spark.tvf.variant_explode_outer(F.col("rows").outer())).select("file", "layout", "envelope", "pos", F.col("value").alias("row"))
     lines = files.filter("NOT json").select("file", F.filter(F.split("text", r"\r?\n"), lambda x: F.trim(x) != "").alias("lines"))
     lines = lines.withColumn("header", _fields(F.get("lines", 0))).select("file", "header", F.posexplode_outer(F.slice("lines", F.lit(2), F.greatest(F.size("lines") - 1, F.lit(0)))).alias("pos", "line"))
     cells = lines.withColumn("cells", _fields(F.col("line")))
     fits = F.size("cells") == F.size("header")
     record = F.when(fits, F.try_parse_json(F.to_json(F.map_from_arrays("header", "cells"))))
-    csv = cells.select("file", F.lit("csv").alias("layout"), F.lit(None).cast("variant").alias("envelope"), "pos", record.alias("row"))
+    csv = cells.select("file", F.lit("csv").alias("layout"), F.lit(None).cast("map<string,string>").alias("envelope"), "pos", record.alias("row"))
     return json.union(csv)
 
 
@@ -53,8 +56,7 @@ def merged_schema(uploads: DataFrame) -> DataFrame:
 
 def _found(name: str, kind: str, aliases: tuple[str, ...]) -> tuple[Column, Column]:
     """(the value as its type, the value as text) under the first alias that the row has, else its envelope."""
-    paths = [(of, f'$["{a}"]') for of in ("row", "envelope") for a in aliases]
-    text = F.coalesce(*[F.try_variant_get(of, p, "string") for of, p in paths])
+    text = F.coalesce(*[F.try_variant_get("row", f'$["{a}"]', "string") for a in aliases], *[F.try_element_at("envelope", F.lit(a)) for a in aliases])
     return (text.try_cast(kind) if kind != "string" else F.nullif(F.trim(F.regexp_replace(text, "^[\"']+|[\"']+$", "")), F.lit(""))).alias(name), text
 
 
