@@ -209,3 +209,10 @@ def test_uploaded_greeks(spark, tmp_path):
     (tmp_path / "g.json").write_text(json.dumps({"timestamp": "20240105093000", "records": [{"contract_code": "'10010891'", "time": "20240105093001", "Delta": "0.1466", "隐含波动率": "20"}, {"Delta": "1"}, {"contract_code": "1", "Delta": "--"}]}))
     got = U.typed(U.read_uploads(spark, str(tmp_path)), U.GREEKS, ["contract", "time"]).orderBy("pos").collect()
     assert [(r.contract, str(r.time), r.delta, r.iv, r.reason) for r in got] == [("10010891", "2024-01-05 09:30:01", 0.1466, 20.0, None), (None, "2024-01-05 09:30:00", 1.0, None, "missing contract"), ("1", "2024-01-05 09:30:00", None, None, "no number delta")]
+
+
+def test_a_filter_on_uploads_parses_nothing_twice(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("symbol,date,open,high,low,close,volume\na,2024-01-04,1,2,0.5,1.25,9\n")
+    bars, _ = U.bars_and_rejects(U.read_uploads(spark, str(tmp_path)))
+    plan = bars._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("parseJson") == 2 and bars.count() == 1  # of JSON files, and of CSV lines

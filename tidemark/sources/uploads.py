@@ -23,29 +23,36 @@ def _fields(line: Column) -> Column:
     return F.transform(F.regexp_extract_all(line, F.lit(_FIELD), F.lit(1)), lambda x: F.when(x.startswith('"'), quoted(x)).otherwise(F.trim(x)))
 
 
+def _record(header: Column, cells: Column) -> Column:
+    """The VARIANT of a CSV line's cells by the header; null if it has another width."""
+    return F.when(F.size(cells) == F.size(header), F.try_parse_json(F.to_json(F.map_from_arrays(header, cells))))
+
+
 def read_uploads(spark: SparkSession, path: str) -> DataFrame:
-    """(file, layout, envelope, pos, row) of the files under path: a VARIANT row for each record, and for what cannot be read one row that is null; envelope is a map of what stands beside the records.
+    """(folder, file, layout, envelope, pos, row) of the files under path: a VARIANT row for each record, and for what cannot be read one row that is null; envelope is a map of what stands beside the records.
 
     A file that starts with a brace or a bracket is JSON: an array of records, or an envelope with such an array under one
-    of ROWS. Any other is CSV with a header. A file is one string of a task, so its size is bounded by the uploads.
+    of ROWS. Any other is CSV with a header. A file is one string of a task, so its size is bounded by the
+    uploads: what is larger comes in several files of one folder.
     """
-    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file"), F.trim(F.regexp_replace("value", "^﻿", "")).alias("text"))
+    folder = F.get(F.split("_metadata.file_path", "/"), F.size(F.split("_metadata.file_path", "/")) - 2)
+    files = spark.read.text(path, wholetext=True).select(folder.alias("folder"), F.col("_metadata.file_name").alias("file"), F.trim(F.regexp_replace("value", "^﻿", "")).alias("text"))
     files = files.withColumn("json", F.col("text").rlike(r"^\s*[\[{]"))
     # What an envelope says beside its rows, and its layout, are small and made before the rows are: a row must not carry its file.
     said = F.map_filter(F.from_json("text", "map<string,string>"), lambda k, v: ~k.isin(*ROWS) & ~v.rlike(r"^\s*[\[{]"))
-    parsed = files.filter("json").select("file", F.try_parse_json("text").alias("whole"), said.alias("said"))
+    parsed = files.filter("json").select("folder", "file", F.try_parse_json("text").alias("whole"), said.alias("said"))
     array = F.schema_of_variant("whole").startswith("ARRAY")
     layout = F.when(F.col("whole").isNull(), "broken").when(array, "array").otherwise("envelope")
     inside = F.coalesce(*[F.try_variant_get("whole", f"$.{name}", "variant") for name in ROWS], F.when(array, F.col("whole")))
-    parsed = parsed.select("file", layout.alias("layout"), F.when(layout == "envelope", F.col("said")).alias("envelope"), inside.alias("inside"))
-    parsed = parsed.select("file", "layout", "envelope", F.when(F.schema_of_variant("inside").startswith("ARRAY"), F.col("inside")).alias("rows"))
-    json = parsed.lateralJoin(spark.tvf.variant_explode_outer(F.col("rows").outer())).select("file", "layout", "envelope", "pos", F.col("value").alias("row"))
-    lines = files.filter("NOT json").select("file", F.filter(F.split("text", r"\r?\n"), lambda x: F.trim(x) != "").alias("lines"))
-    lines = lines.withColumn("header", _fields(F.get("lines", 0))).select("file", "header", F.posexplode_outer(F.slice("lines", F.lit(2), F.greatest(F.size("lines") - 1, F.lit(0)))).alias("pos", "line"))
-    cells = lines.withColumn("cells", _fields(F.col("line")))
-    fits = F.size("cells") == F.size("header")
-    record = F.when(fits, F.try_parse_json(F.to_json(F.map_from_arrays("header", "cells"))))
-    csv = cells.select("file", F.lit("csv").alias("layout"), F.lit(None).cast("map<string,string>").alias("envelope"), "pos", record.alias("row"))
+    parsed = parsed.select("folder", "file", layout.alias("layout"), F.when(layout == "envelope", F.col("said")).alias("envelope"), inside.alias("inside"))
+    parsed = parsed.select("folder", "file", "layout", "envelope", F.when(F.schema_of_variant("inside").startswith("ARRAY"), F.col("inside")).alias("rows"))
+    json = parsed.lateralJoin(spark.tvf.variant_explode_outer(F.col("rows").outer())).select("folder", "file", "layout", "envelope", "pos", F.col("value").alias("row"))
+    lines = files.filter("NOT json").select("folder", "file", F.filter(F.split("text", r"\r?\n"), lambda x: F.trim(x) != "").alias("lines"))
+    # Records are made within the generator: what is filtered after it would otherwise be pushed down and parse a line once for each use.
+    rest = F.slice("lines", F.lit(2), F.greatest(F.size("lines") - 1, F.lit(0)))
+    records = F.transform(rest, lambda line: F.get(F.transform(F.array(_fields(line)), lambda cells: _record(F.col("header"), cells)), 0))
+    csv = lines.withColumn("header", _fields(F.get("lines", 0))).select("folder", "file", F.posexplode_outer(records).alias("pos", "row"))
+    csv = csv.select("folder", "file", F.lit("csv").alias("layout"), F.lit(None).cast("map<string,string>").alias("envelope"), "pos", "row")
     return json.union(csv)
 
 
@@ -54,31 +61,44 @@ def merged_schema(uploads: DataFrame) -> DataFrame:
     return uploads.filter("row IS NOT NULL").groupBy("layout").agg(F.schema_of_variant_agg("row").alias("schema"))
 
 
-def _found(name: str, kind: str, aliases: tuple[str, ...]) -> tuple[Column, Column]:
-    """(the value as its type, the value as text) under the first alias that the row has, else its envelope."""
-    text = F.coalesce(*[F.try_variant_get("row", f'$["{a}"]', "string") for a in aliases], *[F.try_element_at("envelope", F.lit(a)) for a in aliases])
-    return (text.try_cast(kind) if kind != "string" else F.nullif(F.trim(F.regexp_replace(text, "^[\"']+|[\"']+$", "")), F.lit(""))).alias(name), text
+def _text(record: Column, envelope: Column, aliases: tuple[str, ...]) -> Column:
+    """The text under the first alias that the record has, else its envelope."""
+    return F.coalesce(*[F.try_element_at(x, F.lit(a)) for x in (record, envelope) for a in aliases])
 
 
 def typed(uploads: DataFrame, columns: dict[str, tuple[str, tuple[str, ...]]], required: list[str], time: str = "time") -> DataFrame:
-    """(file, layout, pos, *columns, reason): reason is null for a good row, else why it is rejected.
+    """(folder, file, layout, pos, *columns, reason): reason is null for a good row, else why it is rejected.
 
     Reasons: ``not read`` (no JSON, or a CSV line of another width than its header), ``no rows``, ``missing`` and the required
     columns that have no value, ``no number`` and the columns whose text is none, ``no time``. Times are digits
     (yyyyMMdd, yyyyMMddHHmmss) or ISO.
     """
-    made = {c: _found(c, kind, aliases) for c, (kind, aliases) in columns.items()}
-    out = uploads.select("file", "layout", "pos", "row", *[value for value, _ in made.values()], *[text.alias(f"_{c}") for c, (_, text) in made.items()])
-    digits = F.regexp_replace(time, r"\D", "")
-    parsed = F.coalesce(F.try_to_timestamp(F.when(F.length(digits) == 8, digits), F.lit("yyyyMMdd")), F.try_to_timestamp(F.when(F.length(digits) == 12, digits), F.lit("yyyyMMddHHmm")), F.try_to_timestamp(F.when(F.length(digits) == 14, digits), F.lit("yyyyMMddHHmmss")))
+    unquoted = lambda x: F.nullif(F.trim(F.regexp_replace(x, "^[\"']+|[\"']+$", "")), F.lit(""))
     listed = lambda tests: F.array_join(F.filter(F.array(*[F.when(t, F.lit(c)) for c, t in tests]), lambda x: x.isNotNull()), " ")
-    broken = listed([(c, F.col(f"_{c}").isNotNull() & F.col(c).isNull()) for c, (kind, _) in columns.items() if kind != "string"])
-    absent = listed([(c, F.col(f"_{c}").isNull()) for c in required])
-    reason = F.when(F.col("row").isNull(), F.when(F.col("layout").isin("broken") | F.col("pos").isNotNull(), "not read").otherwise("no rows")).when(absent != "", F.concat(F.lit("missing "), absent)).when(broken != "", F.concat(F.lit("no number "), broken)).when(parsed.isNull(), "no time")
-    return out.withColumn(time, parsed).select("file", "layout", "pos", *columns, reason.alias("reason"))
+
+    def values(text: Column) -> Column:
+        return F.struct(text.alias("text"), *[(unquoted(text[c]) if kind == "string" else text[c].try_cast(kind)).alias(c) for c, (kind, _) in columns.items()])
+
+    def parsed(x: Column) -> Column:
+        digits = F.regexp_replace(x[time], r"\D", "")
+        at = F.coalesce(*[F.try_to_timestamp(F.when(F.length(digits) == len(form), digits), F.lit(form)) for form in ("yyyyMMdd", "yyyyMMddHHmm", "yyyyMMddHHmmss")])
+        return F.struct(x["text"].alias("text"), *[(at if c == time else x[c]).alias(c) for c in columns])
+
+    def judged(x: Column) -> Column:
+        broken = listed([(c, x["text"][c].isNotNull() & x[c].isNull()) for c, (kind, _) in columns.items() if kind != "string"])
+        absent = listed([(c, x["text"][c].isNull()) for c in required])
+        unread = F.when(F.col("layout").isin("broken") | F.col("pos").isNotNull(), "not read").otherwise("no rows")
+        reason = F.when(F.col("row").isNull(), unread).when(absent != "", F.concat(F.lit("missing "), absent)).when(broken != "", F.concat(F.lit("no number "), broken)).when(x[time].isNull(), "no time")
+        return F.struct(*[x[c].alias(c) for c in columns], reason.alias("reason"))
+
+    # Each step binds what the next one uses, and a filter on what comes out stays above the generator: nothing is found or parsed twice.
+    record = F.array(F.try_variant_get("row", "$", "map<string,string>"))
+    texts = F.transform(record, lambda m: F.struct(*[_text(m, F.col("envelope"), aliases).alias(c) for c, (_, aliases) in columns.items()]))
+    rows = F.transform(F.transform(F.transform(texts, values), parsed), judged)
+    return uploads.select("folder", "file", "layout", "pos", F.inline_outer(rows))
 
 
 def bars_and_rejects(uploads: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(bars of all layouts, rejects)."""
     rows = typed(uploads, BARS, ["symbol", "time", "open", "high", "low", "close", "volume"])
-    return rows.filter("reason IS NULL").drop("reason"), rows.filter("reason IS NOT NULL").select("file", "layout", "pos", "reason")
+    return rows.filter("reason IS NULL").drop("reason"), rows.filter("reason IS NOT NULL").select("folder", "file", "layout", "pos", "reason")
