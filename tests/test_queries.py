@@ -132,3 +132,16 @@ def test_quantile_and_terciles_rank_values_not_rows(spark):
     for made in (made, quantile):
         plan = made._jdf.queryExecution().optimizedPlan().toString().split("Window", 1)[1]
         assert "Aggregate" in plan
+
+
+def test_uploads_in_several_files_are_the_same_uploads(spark, duck, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from tidemark.plans import stores
+
+    monkeypatch.setattr(stores, "UPLOAD_ROWS", 20)
+    folder = stores._uploaded(spark, SF).groupBy("folder").agg(F.count_distinct("file").alias("n"))
+    assert folder.count() == 24 and folder.filter("n < 3").count() == 0
+    for name in ("a25_uploaded_bars", "a25_rejects"):
+        got, want = plain(catalog.queries()[name](spark, SF).toPandas()), plain(duck.execute(catalog.oracle_sql()[name]).df())
+        assert got.equals(want[got.columns].astype(got.dtypes)) and len(got) > 7
