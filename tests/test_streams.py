@@ -178,3 +178,58 @@ def test_state_goes_once_it_cannot_matter(spark):
     assert out == [(1, 1, "triggered"), (1, 2, "dedup_skipped")] and monitor.last.exists() and list(monitor.waiting.get()) == []
     assert list(monitor.handleExpiredTimer((1,), Now(20_000), None)) == [] and monitor.last.exists()
     assert list(monitor.handleExpiredTimer((1,), Now(60_000), None)) == [] and not monitor.last.exists()
+
+
+def test_monitors_ask_the_store_per_run_and_not_per_row():
+    import pandas as pd
+
+    asked = []
+
+    class State:
+        def __init__(self):
+            self.value = None
+
+        def __getattribute__(self, name):
+            if name != "value":
+                asked.append(name)
+            return object.__getattribute__(self, name)
+
+        def exists(self):
+            return self.value is not None
+
+        def get(self):
+            return self.value if isinstance(self.value, tuple) else iter(self.value or [])
+
+        def update(self, x):
+            self.value = x
+
+        put = update
+
+        def appendList(self, x):  # noqa: N802
+            self.value = [*(self.value or []), *x]
+
+        def clear(self):
+            self.value = None
+
+    class Handle:
+        def getListState(self, *_):  # noqa: N802
+            return State()
+
+        getValueState = getListState  # noqa: N815
+
+        def registerTimer(self, _):  # noqa: N802
+            asked.append("timer")
+
+    class Now:
+        def getCurrentWatermarkInMs(self):  # noqa: N802
+            return 10**11
+
+    n, day = 4000, 24 * 60 * monitors.MINUTE
+    rows = pd.DataFrame({"us": [k * day // 10 for k in range(n)][::-1], "id": range(n), "price": [1.0 + k // 10 % 2 for k in range(n)]})
+    for monitor in (monitors.Cooldown(10, True), monitors.GapWatch(0.05, 0.02, 3600)):
+        asked.clear()
+        monitor.init(Handle())
+        for part in (rows[: n // 2], rows[n // 2 :]):
+            list(monitor.handleInputRows(("a",), iter([part]), Now()))
+        out = pd.concat(monitor.handleExpiredTimer(("a",), Now(), None))
+        assert len(out) > 100 and len(asked) < 20

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -18,25 +19,28 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 #: The state store that such monitors need.
 STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 MINUTE = 60_000_000
+#: Rows of a block of waiting records, and of a frame that a monitor gives.
+BLOCK = 50_000
 
 
 class InOrder(StatefulProcessor):
     """Rows (us, id, ...) of a key in order, each once the watermark has passed it; rows of one time go by id.
 
-    Waiting rows are at most those of the watermark's delay. A subclass has ``start``, ``step`` (a row; what it gives) and
-    ``due`` (after the rows up to a time; what that gives).
+    Waiting rows are at most those of the watermark's delay. They are kept as blocks of records, and a subclass keeps what
+    it knows in ``state``, a tuple that is read and written once a call: each access to the store is a message to the JVM.
+    A subclass has ``step`` (a row; what it gives) and ``due`` (after the rows up to a time; what that gives).
     """
 
-    #: DDL of the rows that wait, in the order that they are kept in: us and id first.
-    waits = "us long, id long"
+    #: The records that wait, in the order of their fields: us and id first.
+    waits = [("us", "<i8"), ("id", "<i8")]
+    #: DDL of ``state``, None before there is any and once it is dropped.
+    holds = ""
     gives: list[str] = []
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", self.waits)
-        self.start(handle)
-
-    def start(self, handle: StatefulProcessorHandle) -> None: ...
+        self.waiting = handle.getListState("waiting", "block binary")
+        self.last = handle.getValueState("state", self.holds)
 
     def step(self, key: tuple, row: tuple) -> list[tuple]:
         return []
@@ -44,28 +48,58 @@ class InOrder(StatefulProcessor):
     def due(self, key: tuple, now: int) -> list[tuple]:
         return []
 
+    def wakes(self) -> int | None:
+        """When ``due`` has something to do next."""
+        return None
+
     def at(self, us: int) -> None:
         """Be set off once the watermark has reached us."""
         self.handle.registerTimer(-(-us // 1000))
 
+    def _keep(self, rows: np.ndarray) -> None:
+        self.waiting.appendList([(rows[k : k + BLOCK].tobytes(),) for k in range(0, len(rows), BLOCK)])
+
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N803
-        names = [c.split()[0] for c in self.waits.split(", ")]
+        last = None
         for some in rows:
-            new = list(some[names].itertuples(index=False, name=None))
-            self.waiting.appendList(new)
-            self.at(max(r[0] for r in new))
+            new = np.empty(len(some), self.waits)
+            for name in new.dtype.names:
+                np.copyto(new[name], some[name].to_numpy(), casting="same_kind")
+            if len(new):
+                self._keep(new)
+                last = int(new["us"].max()) if last is None else max(last, int(new["us"].max()))
+        if last is not None:
+            self.at(last)
         yield from ()
 
     def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N803
         now = timerValues.getCurrentWatermarkInMs() * 1000
-        held = [tuple(r) for r in self.waiting.get()]
-        ready = sorted(r for r in held if r[0] <= now)
-        if ready:
-            rest = [r for r in held if r[0] > now]
+        blocks = [np.frombuffer(b, self.waits) for (b,) in self.waiting.get()]
+        rows = np.concatenate(blocks) if blocks else np.empty(0, self.waits)
+        early = rows["us"] <= now
+        was = self.state = tuple(self.last.get()) if self.last.exists() else None
+        out = []
+        if early.any():
             self.waiting.clear()
-            if rest:
-                self.waiting.put(rest)
-        out = [x for row in ready for x in self.step(key, row)] + self.due(key, now)
+            if not early.all():
+                self._keep(rows[~early])
+            ready = rows[early]
+            ready = ready[np.lexsort((ready["id"], ready["us"]))]
+            for k in range(0, len(ready), BLOCK):
+                for row in ready[k : k + BLOCK].tolist():
+                    out += self.step(key, row)
+                if len(out) >= BLOCK:
+                    yield pd.DataFrame(out, columns=self.gives, dtype=object)
+                    out = []
+        out += self.due(key, now)
+        if self.state != was:
+            if self.state is None:
+                self.last.clear()
+            else:
+                self.last.update(self.state)
+        wakes = self.wakes()
+        if wakes is not None:
+            self.at(wakes)
         if out:
             yield pd.DataFrame(out, columns=self.gives, dtype=object)
 
@@ -73,31 +107,28 @@ class InOrder(StatefulProcessor):
 class Cooldown(InOrder):
     """triggered, or cooldown_skipped within the cooldown of the last trigger, or dedup_skipped in one minute with the match before."""
 
+    holds = "fired long, minute long"
     gives = ["rule", "event_id", "status"]
 
     def __init__(self, seconds: int, dedup: bool) -> None:
         self.cooldown, self.dedup = seconds * 1_000_000, dedup
 
-    def start(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", "fired long, minute long")
-
     def step(self, key: tuple, row: tuple) -> list[tuple]:
-        fired, minute = self.last.get() if self.last.exists() else (None, None)
+        fired, minute = self.state or (None, None)
         now = row[0] // MINUTE
         if self.dedup and minute == now:
             status = "dedup_skipped"
         else:
             status = "triggered" if fired is None or row[0] - fired >= self.cooldown else "cooldown_skipped"
-        fired = row[0] if status == "triggered" else fired
-        self.last.update((fired, now))
-        self.at(max(fired + self.cooldown, (now + 1) * MINUTE))
+        self.state = (row[0] if status == "triggered" else fired, now)
         return [(key[0], row[1], status)]
 
+    def wakes(self) -> int | None:
+        return max(self.state[0] + self.cooldown, (self.state[1] + 1) * MINUTE) if self.state else None
+
     def due(self, key: tuple, now: int) -> list[tuple]:
-        if self.last.exists():
-            fired, minute = self.last.get()
-            if now >= fired + self.cooldown and now >= (minute + 1) * MINUTE:
-                self.last.clear()  # no later match can be held back by it
+        if self.state and now >= self.wakes():
+            self.state = None  # no later match can be held back by it
         return []
 
 
@@ -126,47 +157,49 @@ class OneShot(StatefulProcessor):
 class GapWatch(InOrder):
     """Each day's opening gap against the last price before, and whether it filled within a time of the opening."""
 
-    waits = "us long, id long, price double"
+    waits = [*InOrder.waits, ("price", "<f8")]
+    holds = "us long, price double, opened long, previous double, opening double"
     gives = ["symbol", "opened_us", "previous", "opening", "gap", "filled_us", "fill", "signal", "strength"]
 
     def __init__(self, gap: float, fill: float, within: int) -> None:
         self.gap, self.fill, self.within = gap, fill, within * 1_000_000
 
-    def start(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", "us long, price double")
-        self.open = handle.getValueState("open", "us long, previous double, opening double")
-
     def step(self, key: tuple, row: tuple) -> list[tuple]:
         us, _, price = row
         day, out = 24 * 60 * MINUTE, []
-        if self.last.exists() and self.last.get()[0] // day < us // day:
-            out += self._unfilled(key)
-            previous = self.last.get()[1]
-            if previous and price and abs(price / previous - 1) >= self.gap:
-                self.open.update((us, previous, price))
-                self.at(us + self.within + 1)
-        if self.open.exists():
-            opened, previous, opening = self.open.get()
+        last, before, *watch = self.state or (None,) * 5
+        if last is not None and last // day < us // day:
+            out += self._unfilled(key, watch)
+            watch = [None] * 3
+            if before and price and abs(price / before - 1) >= self.gap:
+                watch = [us, before, price]
+        if watch[0] is not None:
+            opened, previous, opening = watch
             if us - opened > self.within:
-                out += self._unfilled(key)
+                out += self._unfilled(key, watch)
+                watch = [None] * 3
             else:
                 gap, change = opening / previous - 1, price / opening - 1
                 if (change <= -self.fill) if gap > 0 else (change >= self.fill):
                     fill = abs(change) / abs(gap)
                     out.append((key[0], opened, previous, opening, gap, us, fill, "buy" if gap > 0 else "sell", min(0.8, 0.5 + 0.3 * fill)))
-                    self.open.clear()
-        self.last.update((us, price))
+                    watch = [None] * 3
+        self.state = (us, price, *watch)
         return out
 
-    def _unfilled(self, key: tuple) -> list[tuple]:
-        if not self.open.exists():
-            return []
-        opened, previous, opening = self.open.get()
-        self.open.clear()
-        return [(key[0], opened, previous, opening, opening / previous - 1, None, 0.0, None, 0.0)]
+    def _unfilled(self, key: tuple, watch: list) -> list[tuple]:
+        opened, previous, opening = watch
+        return [] if opened is None else [(key[0], opened, previous, opening, opening / previous - 1, None, 0.0, None, 0.0)]
+
+    def wakes(self) -> int | None:
+        return self.state[2] + self.within + 1 if self.state and self.state[2] is not None else None
 
     def due(self, key: tuple, now: int) -> list[tuple]:
-        return self._unfilled(key) if self.open.exists() and now > self.open.get()[0] + self.within else []
+        if self.wakes() is None or now < self.wakes():
+            return []
+        us, price, *watch = self.state
+        self.state = (us, price, None, None, None)
+        return self._unfilled(key, watch)
 
 
 def _timed(rows: DataFrame, ts: str, late: str) -> DataFrame:
