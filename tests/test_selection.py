@@ -142,3 +142,17 @@ def test_near_money_volatility(spark):
     rows = [("u", day, 100.0, at(5), "call", 100.0, 9.0), ("u", day, 100.0, at(40), "call", 98.0, 20.0), ("u", day, 100.0, at(40), "call", 102.0, 30.0), ("u", day, 100.0, at(40), "put", 98.0, 24.0), ("u", day, 100.0, at(8), "put", 100.0, 1.0), ("v", day, 100.0, at(10), "call", 90.0, 15.0)]
     got = {r.underlying: r for r in N.near_money_volatility(spark.createDataFrame(rows, "underlying string, day date, spot double, expiry date, kind string, strike double, iv double")).collect()}
     assert got["u"].strike == 98.0 and got["u"].iv == 22.0 and math.isclose(got["u"].iv_30d, 22 * math.sqrt(40 / 30)) and (got["v"].iv, got["v"].iv_30d) == (15.0, None)
+
+
+def test_pools_sort_the_best_rows_only(spark):
+    """Scores with ties, nulls and a paradigm that nobody enters against plain sorting; what goes to one task are a few rows."""
+    import random
+
+    rng = random.Random(4)
+    rows = [(p, k, k % 3, 1.0, rng.choice([None, float(rng.randrange(top or 1)), rng.random() * top])) for p, top in (("p", 95), ("q", 60), ("none", 0)) for k in range(3000) if top or k < 20]
+    rows = [(p, k, c, a, None if p == "none" else s) for p, k, c, a, s in rows]
+    df = spark.createDataFrame(rows, "paradigm string, symbol int, class int, amount double, score double").repartition(4)
+    made = X.pooled(df, {"p": 80.0, "q": 85.0}, F.lit(1.0), F.lit(False))
+    want = {(p, place): k for p in "pq" for place, (_, _, k) in enumerate(sorted((s is None, -round(s or 0.0, 10), k) for q, k, _, _, s in rows if q == p)[:10], 1)}
+    assert {(r.paradigm, r.place): r.symbol for r in made.collect()} == want and {r.paradigm for r in made.filter("fallback").collect()} == {"q"}
+    assert made._jdf.queryExecution().executedPlan().toString().count("WindowGroupLimit") >= 2

@@ -122,6 +122,9 @@ def rotation_readiness(pools: DataFrame, ranking: DataFrame, least: int = 5) ->
 
 # --- screening
 
+#: Blocks of a pool's rows whose best scores bound the pool's.
+SPREAD = 1000
+
 
 def pooled(scored: DataFrame, entry: dict[str, float], multiplier: Column, degraded: Column, relief: float = 8.0, most: int = 10) -> DataFrame:
     """(paradigm, symbol, class, amount, score, place, fallback) of gated rows (paradigm, symbol, class, amount, score): each paradigm's best ``most``.
@@ -131,11 +134,18 @@ def pooled(scored: DataFrame, entry: dict[str, float], multiplier: Column, degra
     """
     bar = F.coalesce(*[F.when(F.col("paradigm") == k, F.lit(float(v))) for k, v in entry.items()], F.lit(0.0)) - F.when(degraded, relief).otherwise(0.0)
     out = scored.withColumn("score", F.col("score") * multiplier).withColumn("_in", F.col("score") >= bar)
-    w = Window.partitionBy("paradigm")
-    any_ = F.max(F.col("_in").cast("int")).over(w) == 1
+    # The best of those that enter and the best of the others. Of SPREAD blocks of each, at least ``most`` have a row with the score
+    # of the block that is ``most``-th by its best one, so that rows under it are left out before anything is sorted.
+    out = out.withColumns({"_side": F.coalesce("_in", F.lit(False)), "_key": F.round("score", 10)})
+    best = out.groupBy("paradigm", "_side", F.pmod(F.xxhash64("symbol"), F.lit(SPREAD)).alias("_b")).agg(F.max("_key").alias("_least"))
+    nth = F.row_number().over(Window.partitionBy("paradigm", "_side").orderBy(F.desc("_least"), "_b"))
+    least = best.withColumn("_n", nth).filter(F.col("_n") == most).select(F.col("paradigm").alias("_p"), F.col("_side").alias("_s"), "_least")
+    out = out.join(F.broadcast(least), out["paradigm"].eqNullSafe(least["_p"]) & (out["_side"] == least["_s"]), "left").filter(F.col("_least").isNull() | (F.col("_key") >= F.col("_least")))
+    place = F.row_number().over(Window.partitionBy("paradigm", "_side").orderBy(F.desc("_key"), "symbol"))
+    out = out.withColumn("place", place).filter(F.col("place") <= most)
+    any_ = F.max(F.col("_in").cast("int")).over(Window.partitionBy("paradigm")) == 1
     out = out.withColumn("fallback", ~any_).filter(F.col("_in") | F.col("fallback"))
-    place = F.row_number().over(w.orderBy(F.round("score", 10).desc(), "symbol"))
-    return out.withColumn("place", place).filter(F.col("place") <= most).select("paradigm", "symbol", "class", "amount", "score", "place", "fallback")
+    return out.select("paradigm", "symbol", "class", "amount", "score", "place", "fallback")
 
 
 def merged_pools(pools: DataFrame, bonus: float = 4.0, most_bonus: float = 12.0, k: int = 5, cap: int = 2) -> DataFrame:
