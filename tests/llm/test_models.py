@@ -262,3 +262,8 @@ def test_cgk_keeps_equal_rows_together():
     keys = decontaminate.lsh_keys(np.concatenate([x, x]), 12)
     assert np.array_equal(keys[:3], keys[3:]) and not np.array_equal(keys[0], keys[1])
     assert list(decontaminate.words_of(pa.array([None, "A b"])))[0][1].tolist() == [0, 0, 2]
+
+
+def test_threshold_of_secrets_comes_from_all_words(spark):
+    words = spark.range(25_000).selectExpr("translate(lpad(id, 18, '0'), '0123456789', 'abcdefghij') AS w", "1L AS n")
+    assert secrets.calibration(words).count() == 5 * 25_000

@@ -26,8 +26,8 @@ TOKEN = rf"[A-Za-z0-9+/_=-]{{{LEAST},}}"
 #: The models' alphabet: case does not count, all other characters are one symbol (index 0).
 ALPHABET = "abcdefghijklmnopqrstuvwxyz0123456789"
 SIZE = len(ALPHABET) + 1
-#: Labelled strings of each kind that set the threshold at most, random strings to learn from, and the share of ordinary identifiers that may be called random.
-CALIBRATION, RANDOMS, MISTAKES = 20_000, 4000, 1e-4
+#: Random strings to judge and to learn from, and the share of ordinary identifiers that may be called random.
+JUDGED, RANDOMS, MISTAKES = 5000, 4000, 1e-4
 #: Words that identifiers join others with.
 FIXED = ("user", "name", "config", "value", "index", "total", "data", "file")
 
@@ -95,7 +95,7 @@ def _ordinary_counts(known: DataFrame) -> list[float]:
 
 
 def train(docs: DataFrame) -> MarkovPair:
-    """Count which character follows which, in all documents' words and in random strings; SIZE * SIZE counts a model reach the driver, and two quantiles."""
+    """Count which character follows which, in all documents' words and in random strings; SIZE * SIZE counts a model reach the driver, and one quantile."""
     spark = docs.sparkSession
     every = stage(words(docs), "words")
     tenth = F.pmod(F.xxhash64("w"), F.lit(10))  # the first sets the threshold, the second is for evaluate()
@@ -113,18 +113,17 @@ def train(docs: DataFrame) -> MarkovPair:
 
 
 def calibration(every: DataFrame) -> DataFrame:
-    """(token) of LEAST characters or more, as they are judged (shorter ones scatter more): identifiers of at most CALIBRATION words, picked by a hash."""
-    some = every.select("w").orderBy(F.xxhash64("w", F.lit(3)), "w").limit(CALIBRATION)
+    """(token) of LEAST characters or more, as they are judged (shorter ones scatter more): identifiers of all the words given."""
     pick, other = (F.get(F.array(*[F.lit(x) for x in FIXED]), F.pmod(F.xxhash64("w", F.lit(k)), F.lit(len(FIXED))).cast("int")) for k in (1, 2))
     number = F.pmod(F.xxhash64("w"), F.lit(3000)).cast("string")
     spelled = F.array("w", F.concat_ws("_", pick, "w"), F.concat_ws("-", "w", pick, number), F.concat_ws("_", pick, "w", other), F.concat_ws("_", other, "w", pick, number))
-    return some.select(F.explode(spelled).alias("token")).filter(F.length("token") >= LEAST)
+    return every.select(F.explode(spelled).alias("token")).filter(F.length("token") >= LEAST)
 
 
 def evaluate(docs: DataFrame, model: MarkovPair) -> dict[str, float]:
     """The share of random strings not learnt from (of 16, 20 and 24 characters, and of 16 letters only) that pass the threshold, and that of held-out identifiers which do."""
     above = lambda t: model.per_character(t) > model.threshold
-    tokens = random_strings(docs.sparkSession, 10**9, CALIBRATION // 4)
+    tokens = random_strings(docs.sparkSession, 10**9, JUDGED)
     letters = F.substring(F.regexp_replace("token", "[^A-Za-z]", ""), 1, 16)
     shares = [F.avg(above(F.substring("token", 1, n)).cast("int")).alias(f"random_{n}") for n in (16, 20, 24)]
     rates = tokens.agg(*shares, F.avg(F.when(F.length(letters) == 16, above(letters).cast("int"))).alias("letters")).first().asDict()
