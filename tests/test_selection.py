@@ -156,3 +156,18 @@ def test_pools_sort_the_best_rows_only(spark):
     want = {(p, place): k for p in "pq" for place, (_, _, k) in enumerate(sorted((s is None, -round(s or 0.0, 10), k) for q, k, _, _, s in rows if q == p)[:10], 1)}
     assert {(r.paradigm, r.place): r.symbol for r in made.collect()} == want and {r.paradigm for r in made.filter("fallback").collect()} == {"q"}
     assert made._jdf.queryExecution().executedPlan().toString().count("WindowGroupLimit") >= 2
+
+
+@pytest.mark.parametrize("symbol", ["int", "string"])
+def test_pools_sort_few_of_the_rows_that_tie(spark, symbol):
+    """Nearly all rows of a paradigm have one score, or none; symbols of one beginning and a null among them."""
+    one, none = [("p", k, 50.0) for k in range(3000)], [("none", k, None if k > 4 else 1.0) for k in range(3000)]
+    rows = [*one, ("p", 2999, 60.0), *none, ("q", None, 7.0), *[("q", k, 7.0) for k in range(3000)]]
+    df = spark.createDataFrame(rows, "paradigm string, id int, score double").select("paradigm", F.col("id").cast(symbol).alias("symbol"), F.lit(0).alias("class"), F.lit(1.0).alias("amount"), "score")
+    sides = df.withColumns({"_side": F.lit(True), "_key": F.col("score")})
+    assert X.contenders(sides, 10).count() < 1000
+    name = (lambda k: k) if symbol == "int" else str
+    first = lambda of: sorted((k is not None and (1, name(k)) or (0, 0), -s) for p, k, s in rows if p == of and s)
+    want = {"p": [(1, name(2999)), *[k for k, s in first("p") if s == -50.0]][:10], "q": [k for k, _ in first("q")][:10]}
+    got = sorted(X.pooled(df, {"p": 10.0, "q": 1.0}, F.lit(1.0), F.lit(False)).collect(), key=lambda r: r.place)
+    assert {p: [(0, 0) if r.symbol is None else (1, r.symbol) for r in got if r.paradigm == p] for p in "pq"} == want

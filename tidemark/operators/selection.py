@@ -6,6 +6,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from ..sources.folder import Scratch
 from . import rotation as R
@@ -126,6 +127,35 @@ def rotation_readiness(pools: DataFrame, ranking: DataFrame, least: int = 5) ->
 SPREAD = 1000
 
 
+def _leading(rows: DataFrame, name: str) -> Column:
+    """What orders a column as it is ordered itself, but for ties: of texts their first seven bytes as a number, as the least text of a group would be found by a sort."""
+    if rows.schema[name].dataType != StringType():
+        return F.col(name)
+    return F.conv(F.rpad(F.substring(F.hex(F.col(name)), 1, 14), 14, "0"), 16, 10).cast("long")
+
+
+def contenders(rows: DataFrame, most: int) -> DataFrame:
+    """Of rows (paradigm, _side, symbol, _key) those that can be among a paradigm's and side's first ``most`` by _key, best first, and symbol; found without a sort of rows.
+
+    Of SPREAD blocks of each, at least ``most`` have a row with the _key of the block that is ``most``-th by its best one: rows
+    under it are left out. Of rows with just that _key as many blocks' first symbols bound the symbols in the same way.
+    """
+    block = F.pmod(F.xxhash64("symbol"), F.lit(SPREAD)).alias("_b")
+
+    def bounded(rows: DataFrame, best: DataFrame, order: Column, value: str) -> DataFrame:
+        """rows with the value of their paradigm's and side's ``most``-th block."""
+        nth = F.row_number().over(Window.partitionBy("paradigm", "_side").orderBy(order, "_b"))
+        least = best.withColumn("_n", nth).filter(F.col("_n") == most).select(F.col("paradigm").alias("_p"), F.col("_side").alias("_s"), value)
+        return rows.join(F.broadcast(least), rows["paradigm"].eqNullSafe(least["_p"]) & (rows["_side"] == least["_s"]), "left").drop("_p", "_s")
+
+    out = rows.withColumn("_sym", _leading(rows, "symbol"))
+    out = bounded(out, out.groupBy("paradigm", "_side", block).agg(F.max("_key").alias("_least")), F.desc("_least"), "_least")
+    out = out.filter(F.col("_least").isNull() | (F.col("_key") >= F.col("_least")))
+    tie = F.col("_key").eqNullSafe(F.col("_least"))
+    out = bounded(out, out.filter(tie).groupBy("paradigm", "_side", block).agg(F.min("_sym").alias("_last")), F.asc_nulls_last("_last"), "_last")
+    return out.filter(~tie | F.col("_last").isNull() | F.col("_sym").isNull() | (F.col("_sym") <= F.col("_last"))).drop("_sym", "_least", "_last")
+
+
 def pooled(scored: DataFrame, entry: dict[str, float], multiplier: Column, degraded: Column, relief: float = 8.0, most: int = 10) -> DataFrame:
     """(paradigm, symbol, class, amount, score, place, fallback) of gated rows (paradigm, symbol, class, amount, score): each paradigm's best ``most``.
 
@@ -134,13 +164,8 @@ def pooled(scored: DataFrame, entry: dict[str, float], multiplier: Column, degra
     """
     bar = F.coalesce(*[F.when(F.col("paradigm") == k, F.lit(float(v))) for k, v in entry.items()], F.lit(0.0)) - F.when(degraded, relief).otherwise(0.0)
     out = scored.withColumn("score", F.col("score") * multiplier).withColumn("_in", F.col("score") >= bar)
-    # The best of those that enter and the best of the others. Of SPREAD blocks of each, at least ``most`` have a row with the score
-    # of the block that is ``most``-th by its best one, so that rows under it are left out before anything is sorted.
-    out = out.withColumns({"_side": F.coalesce("_in", F.lit(False)), "_key": F.round("score", 10)})
-    best = out.groupBy("paradigm", "_side", F.pmod(F.xxhash64("symbol"), F.lit(SPREAD)).alias("_b")).agg(F.max("_key").alias("_least"))
-    nth = F.row_number().over(Window.partitionBy("paradigm", "_side").orderBy(F.desc("_least"), "_b"))
-    least = best.withColumn("_n", nth).filter(F.col("_n") == most).select(F.col("paradigm").alias("_p"), F.col("_side").alias("_s"), "_least")
-    out = out.join(F.broadcast(least), out["paradigm"].eqNullSafe(least["_p"]) & (out["_side"] == least["_s"]), "left").filter(F.col("_least").isNull() | (F.col("_key") >= F.col("_least")))
+    # The best of those that enter and the best of the others.
+    out = contenders(out.withColumns({"_side": F.coalesce("_in", F.lit(False)), "_key": F.round("score", 10)}), most)
     place = F.row_number().over(Window.partitionBy("paradigm", "_side").orderBy(F.desc("_key"), "symbol"))
     out = out.withColumn("place", place).filter(F.col("place") <= most)
     any_ = F.max(F.col("_in").cast("int")).over(Window.partitionBy("paradigm")) == 1
