@@ -3,6 +3,7 @@
 import datetime as dt
 import json
 import math
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -216,3 +217,12 @@ def test_a_filter_on_uploads_parses_nothing_twice(spark, tmp_path):
     bars, _ = U.bars_and_rejects(U.read_uploads(spark, str(tmp_path)))
     plan = bars._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("parseJson") == 2 and bars.count() == 1  # of JSON files, and of CSV lines
+
+
+def test_upload_rows_are_typed_in_compiled_code(spark):
+    uploads = spark.range(1).select(*[F.col("id").cast("string").alias(c) for c in ("folder", "file", "layout")], F.lit(None).cast("map<string,string>").alias("envelope"), F.col("id").alias("pos"), F.parse_json(F.lit('{"date":"20240103"}')).alias("row"))
+    for columns in (U.BARS, U.GREEKS):
+        query = U.typed(uploads, columns, ["time"]).filter("reason IS NULL")._jdf.queryExecution()
+        assert "lambda" not in query.optimizedPlan().toString()  # such steps are interpreted
+        sizes = [int(x) for x in re.findall(r"maxMethodCodeSize:(\d+)", spark._jvm.PythonSQLUtils.explainString(query, "codegen"))]
+        assert sizes and max(sizes) < 8000  # the JVM compiles no longer method

@@ -28,6 +28,12 @@ def _record(header: Column, cells: Column) -> Column:
     return F.when(F.size(cells) == F.size(header), F.try_parse_json(F.to_json(F.map_from_arrays(header, cells))))
 
 
+def _bound(**made: Column) -> Column:
+    """Columns of a generator of their own: nothing that uses or filters them is merged with it, so each is made once a row, and in
+    generated code (a chain of lambdas would be interpreted)."""
+    return F.inline_outer(F.array(F.struct(*[x.alias(name) for name, x in made.items()])))
+
+
 def read_uploads(spark: SparkSession, path: str) -> DataFrame:
     """(folder, file, layout, envelope, pos, row) of the files under path: a VARIANT row for each record, and for what cannot be read one row that is null; envelope is a map of what stands beside the records.
 
@@ -48,10 +54,10 @@ def read_uploads(spark: SparkSession, path: str) -> DataFrame:
     parsed = parsed.select("folder", "file", "layout", "envelope", F.when(F.schema_of_variant("inside").startswith("ARRAY"), F.col("inside")).alias("rows"))
     json = parsed.lateralJoin(spark.tvf.variant_explode_outer(F.col("rows").outer())).select("folder", "file", "layout", "envelope", "pos", F.col("value").alias("row"))
     lines = files.filter("NOT json").select("folder", "file", F.filter(F.split("text", r"\r?\n"), lambda x: F.trim(x) != "").alias("lines"))
-    # Records are made within the generator: what is filtered after it would otherwise be pushed down and parse a line once for each use.
     rest = F.slice("lines", F.lit(2), F.greatest(F.size("lines") - 1, F.lit(0)))
-    records = F.transform(rest, lambda line: F.get(F.transform(F.array(_fields(line)), lambda cells: _record(F.col("header"), cells)), 0))
-    csv = lines.withColumn("header", _fields(F.get("lines", 0))).select("folder", "file", F.posexplode_outer(records).alias("pos", "row"))
+    csv = lines.withColumn("header", _fields(F.get("lines", 0))).select("folder", "file", "header", F.posexplode_outer(rest).alias("pos", "line"))
+    csv = csv.select("folder", "file", "header", "pos", _bound(cells=_fields(F.col("line"))))
+    csv = csv.select("folder", "file", "pos", _bound(row=_record(F.col("header"), F.col("cells"))))
     csv = csv.select("folder", "file", F.lit("csv").alias("layout"), F.lit(None).cast("map<string,string>").alias("envelope"), "pos", "row")
     return json.union(csv)
 
@@ -73,29 +79,26 @@ def typed(uploads: DataFrame, columns: dict[str, tuple[str, tuple[str, ...]]], r
     columns that have no value, ``no number`` and the columns whose text is none, ``no time``. Times are digits
     (yyyyMMdd, yyyyMMddHHmmss) or ISO.
     """
-    unquoted = lambda x: F.nullif(F.trim(F.regexp_replace(x, "^[\"']+|[\"']+$", "")), F.lit(""))
-    listed = lambda tests: F.array_join(F.filter(F.array(*[F.when(t, F.lit(c)) for c, t in tests]), lambda x: x.isNotNull()), " ")
-
-    def values(text: Column) -> Column:
-        return F.struct(text.alias("text"), *[(unquoted(text[c]) if kind == "string" else text[c].try_cast(kind)).alias(c) for c, (kind, _) in columns.items()])
-
-    def parsed(x: Column) -> Column:
-        digits = F.regexp_replace(x[time], r"\D", "")
-        at = F.coalesce(*[F.try_to_timestamp(F.when(F.length(digits) == len(form), digits), F.lit(form)) for form in ("yyyyMMdd", "yyyyMMddHHmm", "yyyyMMddHHmmss")])
-        return F.struct(x["text"].alias("text"), *[(at if c == time else x[c]).alias(c) for c in columns])
-
-    def judged(x: Column) -> Column:
-        broken = listed([(c, x["text"][c].isNotNull() & x[c].isNull()) for c, (kind, _) in columns.items() if kind != "string"])
-        absent = listed([(c, x["text"][c].isNull()) for c in required])
-        unread = F.when(F.col("layout").isin("broken") | F.col("pos").isNotNull(), "not read").otherwise("no rows")
-        reason = F.when(F.col("row").isNull(), unread).when(absent != "", F.concat(F.lit("missing "), absent)).when(broken != "", F.concat(F.lit("no number "), broken)).when(x[time].isNull(), "no time")
-        return F.struct(*[x[c].alias(c) for c in columns], reason.alias("reason"))
-
-    # Each step binds what the next one uses, and a filter on what comes out stays above the generator: nothing is found or parsed twice.
-    record = F.array(F.try_variant_get("row", "$", "map<string,string>"))
-    texts = F.transform(record, lambda m: F.struct(*[_text(m, F.col("envelope"), aliases).alias(c) for c, (_, aliases) in columns.items()]))
-    rows = F.transform(F.transform(F.transform(texts, values), parsed), judged)
-    return uploads.select("folder", "file", "layout", "pos", F.inline_outer(rows))
+    unquoted = lambda x: F.trim(F.regexp_replace(x, "^[\"']+|[\"']+$", ""))
+    listed = lambda tests: F.concat_ws(" ", *[F.when(t, F.lit(c)) for c, t in tests])
+    # Each step binds what the next one uses, and a filter on what comes out stays above the last one: nothing is found or parsed twice.
+    # A step that takes over all columns of the one before becomes a method of its own; in one method they are too long for the JVM to compile.
+    kept, texts, values = ["folder", "file", "layout", "pos", "_null"], {c: F.col(f"_text_{c}") for c in columns}, {c: F.col(f"_value_{c}") for c in columns}
+    rows = uploads.select(*kept[:-1], "envelope", _bound(_null=F.col("row").isNull(), _record=F.try_variant_get("row", "$", "map<string,string>")))
+    rows = rows.select(*kept, _bound(**{f"_text_{c}": _text(F.col("_record"), F.col("envelope"), aliases) for c, (_, aliases) in columns.items()}))
+    rows = rows.select(*kept, *texts.values(), _bound(**{f"_value_{c}": unquoted(texts[c]) if kind == "string" else texts[c].try_cast(kind) for c, (kind, _) in columns.items()}))
+    rows = rows.select("*", _bound(_digits=F.regexp_replace(values[time], r"\D", "")))
+    digits = F.col("_digits")
+    at = F.coalesce(*[F.try_to_timestamp(F.when(F.length(digits) == len(form), digits), F.lit(form)) for form in ("yyyyMMdd", "yyyyMMddHHmm", "yyyyMMddHHmmss")])
+    rows = rows.select(*kept, *texts.values(), *values.values(), _bound(_at=at))
+    values[time] = F.col("_at")
+    broken = listed([(c, texts[c].isNotNull() & values[c].isNull()) for c, (kind, _) in columns.items() if kind != "string"])
+    absent = listed([(c, texts[c].isNull()) for c in required])
+    rows = rows.select(*kept, *values.values(), _bound(_absent=absent, _broken=broken))
+    unread = F.when(F.col("layout").isin("broken") | F.col("pos").isNotNull(), "not read").otherwise("no rows")
+    reason = F.when(F.col("_null"), unread).when(F.col("_absent") != "", F.concat(F.lit("missing "), "_absent")).when(F.col("_broken") != "", F.concat(F.lit("no number "), "_broken")).when(F.col("_at").isNull(), "no time")
+    found = [(F.when(x != "", x) if columns[c][0] == "string" and c != time else x).alias(c) for c, x in values.items()]
+    return rows.select("folder", "file", "layout", "pos", *found, _bound(reason=reason))
 
 
 def bars_and_rejects(uploads: DataFrame) -> tuple[DataFrame, DataFrame]:
